@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op7_packing
 from .simhash import op5_simhash
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op5_simhash,)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op5_simhash, op7_packing)
 SQL: dict[str, str] = {}
 
 
