@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op7_packing
 from .simhash import op5_simhash
+from .warc import OP3_SQL, op3_warc
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op5_simhash, op7_packing)
-SQL: dict[str, str] = {}
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op3_warc, op5_simhash, op7_packing)
+SQL: dict[str, str] = {"op3_warc": OP3_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
