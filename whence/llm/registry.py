@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP9_SQL, op9_chat
 from .packing import op7_packing
 from .simhash import op5_simhash
 from .warc import OP3_SQL, op3_warc
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op3_warc, op5_simhash, op7_packing)
-SQL: dict[str, str] = {"op3_warc": OP3_SQL}
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op3_warc, op5_simhash, op7_packing, op9_chat)
+SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op9_chat": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
