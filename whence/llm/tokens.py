@@ -6,14 +6,12 @@ import json
 import os
 import re
 from array import array
+from itertools import groupby
 
-#: Distinct words that a worker remembers before it starts afresh.
-REMEMBER = 400_000
 #: Fixed value: how byte-level BPE cuts a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Above this character versions of Unicode differ, and `tokenizers` decides.
-SETTLED = "ԯ"
-_TWO_SPACES = re.compile(r"\s\s")
+#: Above U+052F versions of Unicode differ, and `tokenizers` decides.
+_UNSETTLED = re.compile("[^\x00-ԯ]")
 _BREAK = re.compile(r"(?<!\s) (?!\s)")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -21,10 +19,11 @@ _ENCODERS: dict[str, Encoder] = {}
 class Encoder:
     """Gives the ids that `tokenizers` gives for a byte-level BPE file.
 
-    The pattern never joins what stands left of a single space with what stands
-    right of it; so a text is cut there, and the ids of each distinct word are
-    computed once.  tiktoken merges most words, by the ranks of the same file,
-    in a third of the time.  Strings of special tokens are plain text.
+    tiktoken merges by the ranks of the same file, in a fifth of the time.  The
+    pattern never joins what stands left of a single space with what stands
+    right of it; so a text is cut there, and only words with characters that
+    the two may class differently go to `tokenizers`.  Strings of special
+    tokens are plain text.
     """
 
     def __init__(self, path: str):
@@ -43,29 +42,20 @@ class Encoder:
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if word not in special}
         self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        if text and max(text) > SETTLED:
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return array("I", self.merge(text)).tobytes()
+    def ids(self, text: str) -> bytes:
+        """Unsigned 32-bit numbers in this machine's (little-endian) order."""
+        if not _UNSETTLED.search(text):
+            return array("I", self.merge(text)).tobytes()
+        first, *words = _BREAK.split(text)
+        out = array("I")
+        for unsettled, run in groupby([first, *[" " + w for w in words]], key=lambda w: bool(_UNSETTLED.search(w))):
+            part = "".join(run)
+            out.extend(self.tokenizer.encode(part, add_special_tokens=False).ids if unsettled else self.merge(part))
+        return out.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text its ids, as unsigned 32-bit numbers of this machine's (little-endian) order."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        known, out = self.known, []
-        for text in texts:
-            first, *words = _BREAK.split(text) if _TWO_SPACES.search(text) else text.split(" ")
-            try:
-                ids = [known[w] for w in words]
-            except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = self._ids(" " + w)
-                ids = [known[w] for w in words]
-            out.append(self._ids(first) + b"".join(ids))
-        return out
+        return [self.ids(t) for t in texts]
 
 
 def encoder(path: str) -> Encoder:
