@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP9_SQL, op9_chat
+from .decontaminate import op10_decontaminate
 from .packing import op7_packing
 from .quality import op1_quality
 from .simhash import op5_simhash
 from .toxicity import op2_toxicity
 from .warc import OP3_SQL, op3_warc
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_quality, op2_toxicity, op3_warc, op5_simhash, op7_packing, op9_chat)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_quality, op2_toxicity, op3_warc, op5_simhash, op7_packing, op9_chat, op10_decontaminate)
 SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op9_chat": OP9_SQL}
 
 
