@@ -160,16 +160,19 @@ def pack(
         rows: list[tuple] = []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            cols = [[] for _ in range(7 + with_ids)]
+            cols, pieces, ends = [[] for _ in range(7)], [], [0]
             for (doc_id, n, ids, at), start, length, number, offset in rows:
                 own = memoryview(ids)[4 * (start - at) : 4 * (start - at + length)]
-                for c, v in zip(cols, (doc_id, start, length, zlib.crc32(own), n, base + number, offset), strict=False):
+                for c, v in zip(cols, (doc_id, start, length, zlib.crc32(own), n, base + number, offset), strict=True):
                     c.append(v)
                 if with_ids:
-                    cols[7].append(memoryview(own).cast("i").tolist())
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
-            names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                    pieces.append(own)
+                    ends.append(ends[-1] + length)
+            arrays = [pa.array(c, pa.int64()) for c in cols]
+            if with_ids:
+                values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(pieces))])
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+            return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids)
 
         for batch in batches:
             ids_in, texts_in = batch.column(0), batch.column(1)
@@ -198,6 +201,13 @@ def pack(
     return source.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents, with their ids."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_packing(spark, sf_dir: str) -> DataFrame:
     """The pieces of all documents, without their ids."""
     import public_tokenizers

@@ -60,17 +60,19 @@ def fingerprint(text: bytes | None, size: int = 4, seed: int = 42) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(id, fp long): the fingerprint's bits as a signed number.  One row per
-    input row, whatever its id; texts are read whole."""
+    """(id, mark long, fp long): a hash of the text that tells rows of one id
+    apart, and the fingerprint's bits as a signed number.  One row per input
+    row, whatever its id; texts are read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x.as_py(), size) for x in batch.column(1)]
+            fps = [fingerprint(x.as_py(), size) for x in batch.column(2)]
             out = np.frombuffer(b"".join(fps), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["id", "mark", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("b"))
-    return rows.mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("b"))
+    return rows.mapInArrow(run, "id long, mark long, fp long")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -230,7 +232,7 @@ def links(reps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(id, fp long, component long) for every row of docs.
+    """(id, mark long, fp long, component long) for every row of docs.
 
     component: the smallest id reachable over links of four differing bits or
     fewer.  Equal fingerprints are linked, blank texts too (fingerprint zero).
@@ -241,7 +243,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(marked.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"), "reps")
     parts = connected_components(links(reps))
     parts = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return marked.join(parts, "fp", "left").select("id", "fp", "component")
+    return marked.join(parts, "fp", "left").select("id", "mark", "fp", "component")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, as it came: that with the smallest id.
+
+    A null id counts as one made from the text, in the range from 2**62 on, so of
+    equal texts without ids one stays too.
+    """
+    made = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), made).alias("id"), F.col("text"))
+    kept = near_duplicates(marked, "id").where("id = component").select("id", "mark").distinct()
+    rows = marked.select("doc", "id", F.xxhash64("text").alias("mark"))
+    return rows.join(kept, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("doc.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
