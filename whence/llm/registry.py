@@ -12,9 +12,10 @@ from .packing import op7_packing
 from .quality import op1_quality
 from .simhash import op5_simhash
 from .toxicity import op2_toxicity
+from .urls import op6_urls
 from .warc import OP3_SQL, op3_warc
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_quality, op2_toxicity, op3_warc, op5_simhash, op7_packing, op9_chat, op10_decontaminate)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_quality, op2_toxicity, op3_warc, op5_simhash, op6_urls, op7_packing, op9_chat, op10_decontaminate)
 SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op9_chat": OP9_SQL}
 
 
