@@ -41,7 +41,7 @@ def temporal_proximity(pairs: DataFrame, windows: dict[tuple[str, str], tuple[in
     """Pairs whose separation overlaps the window declared for their types."""
     low, high = separation("cause_at", "effect_at", clipped=True)
     hit = [(F.col("cause.event_type") == a) & (F.col("effect.event_type") == b) & in_window(low, high, *w, unknown_fits=False) for (a, b), w in windows.items()]
-    return proposals(pairs.where(reduce(lambda x, y: x | y, hit, F.lit(False))), "temporal_proximity", strength, "TEMPORAL")
+    return proposals(pairs.where(reduce(lambda x, y: x | y, hit, F.lit(False))), "temporal_proximity", strength, "DIRECT")
 
 
 def shared_entity(events: DataFrame, entity: str, most_us: int, strength: float = 0.55) -> DataFrame:
@@ -58,7 +58,7 @@ def shared_entity(events: DataFrame, entity: str, most_us: int, strength: float
 
 def shared_identifier(pairs: DataFrame, field: str, strength: float = 0.35) -> DataFrame:
     """Pairs of a timeline that carry the same value of a declared field."""
-    return proposals(pairs.where(F.col(f"cause.{field}") == F.col(f"effect.{field}")), "shared_identifier", strength, "STRUCTURAL")
+    return proposals(pairs.where(F.col(f"cause.{field}") == F.col(f"effect.{field}")), "shared_identifier", strength, "DIRECT")
 
 
 def type_pair_counts(pairs: DataFrame, sequenced: DataFrame, ordered: bool, key: str = "timeline_id") -> DataFrame:

@@ -12,14 +12,13 @@ from .common import EDGES, HOUR, LOG, WINDOWS, pairs, proposed, query, sequenced
 
 #: Declared parameters of scoring and promotion.
 PRIOR, REFERENCE, SATURATION = 20, 3.0, 3
-FLOORS = {"TEMPORAL": 0.215, "STRUCTURAL": 0.23}
-BANDS = (("STRONG", 0.25), ("SUGGESTIVE", 0.22), ("WEAK", 0.0))
+FLOORS = {"DIRECT": 0.22}
+BANDS = (("STRONG", 0.45), ("SUGGESTIVE", 0.22), ("WEAK", 0.0))
 RULES = (
     rules.CausalRule("CLICK_FROM_VIEW", "view", "click", 6 * HOUR, 0.6),
     rules.CausalRule("BUY_FROM_CLICK", "click", "purchase", 12 * HOUR, 0.8, ("effect.value", ">", 20)),
     rules.CausalRule("BUY_FROM_VIEW", "view", "purchase", 24 * HOUR, 0.4, ("any", ("cause.k", "<", 50), ("not", ("effect.value", ">", 10)))),
 )
-#: The floor of a log file's last digits differs by engine: six places are compared.
 _RULES_SQL = (
     "WITH "
     + LOG
@@ -99,14 +98,14 @@ _OUT = "SELECT source, target, source_type, target_type, '{g}' AS generator, '{k
 _NEAR = " OR ".join(f"(source_type = '{a}' AND target_type = '{b}' AND b_us - a_us BETWEEN {lo} AND {hi})" for (a, b), (lo, hi) in WINDOWS.items())
 
 
-@query("WITH " + LOG + _OUT.format(g="temporal_proximity", k="TEMPORAL", s=0.3) + f"pairs WHERE {_NEAR}")
+@query("WITH " + LOG + _OUT.format(g="temporal_proximity", k="DIRECT", s=0.3) + f"pairs WHERE {_NEAR}")
 def cand_temporal_proximity(spark, d):
     return candidates.temporal_proximity(pairs(spark, d), WINDOWS)
 
 
-@query("WITH " + LOG + _OUT.format(g="shared_identifier", k="STRUCTURAL", s=0.35) + "pairs WHERE a_k = b_k")
+@query("WITH " + LOG + _OUT.format(g="shared_identifier", k="DIRECT", s=0.35) + "pairs WHERE floor(a_k / 10) = floor(b_k / 10)")
 def cand_shared_identifier(spark, d):
-    return candidates.shared_identifier(pairs(spark, d), "k")
+    return candidates.shared_identifier(pairs(spark, d), "decade")
 
 
 @query("WITH " + LOG + f"SELECT a.event_id AS source, b.event_id AS target, a.event_type AS source_type, b.event_type AS target_type, 'shared_entity' AS generator, 'STRUCTURAL' AS kind, 0.55::DOUBLE AS strength, 'CERTAIN' AS verdict FROM log a JOIN log b USING (user_id) WHERE b.us > a.us AND b.us - a.us <= {2 * HOUR}")
@@ -211,7 +210,7 @@ def gated_confidence(spark, d):
     return s.select("source", "target", "kind", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("rule", "historical", "statistical", "diversity", "evidence", "scalar")])
 
 
-_BAND = "CASE WHEN round(scalar, 6) >= 0.25 THEN 'STRONG' WHEN round(scalar, 6) >= 0.22 THEN 'SUGGESTIVE' ELSE 'WEAK' END"
+_BAND = "CASE WHEN round(scalar, 6) >= 0.45 THEN 'STRONG' WHEN round(scalar, 6) >= 0.22 THEN 'SUGGESTIVE' ELSE 'WEAK' END"
 
 
 @query("WITH " + _SCORES + f"SELECT {_BAND} AS band, kind, count(*) AS n, round(min(scalar), 6) AS least, round(max(scalar), 6) AS greatest FROM graded GROUP BY 1, 2")
@@ -229,8 +228,8 @@ def component_tallies(spark, d):
 
 # -- the graph ------------------------------------------------------------
 
-_DECIDED = _SCORES + """, decided AS (SELECT *, CASE WHEN kind NOT IN ('TEMPORAL', 'STRUCTURAL') THEN 'NO_THRESHOLD' WHEN n_generators < 1 THEN 'INSUFFICIENT_EVIDENCE' WHEN verdict = 'VIOLATION' THEN 'TEMPORAL_MISMATCH'
-  WHEN verdict <> 'CERTAIN' THEN 'NOT_CERTAIN' WHEN round(scalar, 6) < CASE kind WHEN 'TEMPORAL' THEN 0.215 ELSE 0.23 END THEN 'BELOW_THRESHOLD' ELSE 'PROMOTED' END AS decision FROM graded),
+_DECIDED = _SCORES + """, decided AS (SELECT *, CASE WHEN kind <> 'DIRECT' THEN 'NO_THRESHOLD' WHEN n_generators < 1 THEN 'INSUFFICIENT_EVIDENCE' WHEN verdict = 'VIOLATION' THEN 'TEMPORAL_MISMATCH'
+  WHEN verdict <> 'CERTAIN' THEN 'NOT_CERTAIN' WHEN round(scalar, 6) < 0.22 THEN 'BELOW_THRESHOLD' ELSE 'PROMOTED' END AS decision FROM graded),
 promoted AS (SELECT source, target, source_type, target_type, timeline_id, kind, round(scalar, 6) AS scalar FROM decided WHERE decision = 'PROMOTED')"""
 
 

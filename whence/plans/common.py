@@ -35,8 +35,8 @@ _windows = " OR ".join(f"(source_type = '{a}' AND target_type = '{b}' AND b_us -
 EDGES = (
     LOG
     + f""", proposed AS (
-  SELECT *, 'temporal_proximity' AS generator, 'TEMPORAL' AS kind, 0.3::DOUBLE AS strength FROM pairs WHERE {_windows}
-  UNION ALL SELECT *, 'shared_identifier', 'STRUCTURAL', 0.35::DOUBLE FROM pairs WHERE a_k = b_k
+  SELECT *, 'temporal_proximity' AS generator, 'DIRECT' AS kind, 0.3::DOUBLE AS strength FROM pairs WHERE {_windows}
+  UNION ALL SELECT *, 'shared_identifier', 'DIRECT', 0.35::DOUBLE FROM pairs WHERE floor(a_k / 10) = floor(b_k / 10)
 )"""
 )
 
@@ -61,4 +61,4 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def proposed(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
-    return candidates.temporal_proximity(p, WINDOWS).union(candidates.shared_identifier(p, "k"))
+    return candidates.temporal_proximity(p, WINDOWS).union(candidates.shared_identifier(p, "decade"))

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, timeline_id (user and day), user_id, event_type, at (interval),
-    value, k (the number in props).  The log's times are exact."""
+    value, k (the number in props) and its decade.  The log's times are exact."""
     e = table(spark, sf_dir, "events")
     day = F.date_format(F.to_date("ts"), "yyyy-MM-dd")
     return e.select(
@@ -26,6 +26,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         "value",
         F.get_json_object("props", "$.k").try_cast("bigint").alias("k"),
+        F.floor(F.get_json_object("props", "$.k").try_cast("bigint") / 10).alias("decade"),
     )
 
 
