@@ -23,12 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .common import written
+
 #: About this many labelled documents at most are fitted, chosen by a hash of their id.
 FIT_ROWS = 20_000
 #: A document stays if its posterior of being good is at least this.
 KEEP = 0.5
 #: Weight of a unit of squared coefficient in the fit.
 RIDGE = 1.0
+#: Sites are broadcast up to this many rows of about 100 bytes, and joined by site beyond.
+BROADCAST_SITES = 200_000
 #: Posteriors of sites stay away from 0 and 1 by this.
 EDGE = 1e-4
 
@@ -187,8 +191,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     One row per row of docs, whatever its nulls or repeats; null or blank texts
     are scored by the bias and their site alone.  The model reads each text
-    twice, once for the sites' sums, so that no text is shuffled; Spark
-    broadcasts the sites if they are few and joins them by site otherwise.
+    twice, once for the sites' sums, so that no text is shuffled where the
+    sites are few enough to broadcast; more are joined by site, where AQE splits
+    a site that has most rows.
     """
     good = evidence(model)
 
@@ -197,6 +202,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return rows.withColumn("good", F.least(F.greatest(good("text"), F.lit(1e-9)), F.lit(1 - 1e-9))).drop("text")
 
     found = sites(scored(F.lit(1).alias("doc"))).select("host", "path", "host_rate", "path_rate", "prior")
+    found = written(found, "sites")
+    found = F.broadcast(found) if found.count() <= BROADCAST_SITES else found
     rows = scored(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(found, ["host", "path"], "left")
     return rows.select("doc", "good", "host_rate", "path_rate", posterior(F.col("good"), F.col("prior"), F.col("path_rate")).alias("posterior"))
 
