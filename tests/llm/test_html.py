@@ -41,6 +41,16 @@ def test_wrapper_tells_template_from_content():
             assert H.extract(p, wrapper) == "\n\n".join(blocks)
 
 
+def test_names_that_mislead():
+    text = lambda p: H.extract(p, H.folded([H.parse(p)]))
+    long = "what the page is about, said at some length so that it has most of the letters"
+    assert text(f"<div class='wrap no-sidebar'><article><p>{long}</article></div><div class=sidebar>s</div>") == long
+    assert text(f"<div class='content with-sidebar'><p>{long}</p></div><div class=ads>a</div>") == long
+    assert text(f"<div id=header>site</div><div class=post><div class=entry-header><h1>Title</h1></div><p>{long}</div>") == f"Title\n\n{long}"
+    assert text(f"<article><header><h1>T</h1></header><p>{long}<footer>tags</footer></article><div class=related><article>other</article></div>") == f"T\n\n{long}"
+    assert text(f"<main><p>{long}</p><div id='comments'><article class=comment>no</article></div><div role=alert>!</div></main>") == long
+
+
 def test_matching_is_simple_tree_matching():
     a = ["a", 1, 0, 0, 1, [["b", 1, 0, 0, 1, []], ["c", 1, 0, 0, 1, [["d", 1, 0, 0, 1, []]]]]]
     b = ["a", 1, 0, 0, 1, [["c", 1, 0, 0, 1, [["d", 1, 0, 0, 1, []], ["e", 1, 0, 0, 1, []]]], ["b", 1, 0, 0, 1, []]]]

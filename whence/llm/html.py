@@ -44,7 +44,7 @@ UNPARSED = frozenset("script style textarea title xmp iframe noembed noframes".s
 NOT_TEXT = frozenset("nav footer aside form dialog menu fieldset search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NOT_TEXT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion related recommended recommendations share sharing social widget widgets pagination pager login signup search skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot adunit banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription sidebar aside rail menu menus mainmenu submenu nav navbar topnav subnav navigation breadcrumb breadcrumbs footer foot colophon copyright masthead topbar toolbar comment comments commentlist respond responses reply replies disqus discussion related recommended recommendations share sharing social widget widgets pagination pager login signup search skip".split()
 )
 WHOLE = frozenset("article main".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -66,7 +66,8 @@ class Node:
 
 @lru_cache(4096)
 def signature(tag: str, attributes: str) -> str:
-    """tag, what names say it is (x: can't be content, a: article), class and id."""
+    """tag, what it is (x: never content, n: not by its names, h: a header by its
+    names, a: article), class and id."""
     if not attributes.strip():
         return f"{tag}|{'x' if tag in NOT_TEXT else 'a' if tag in WHOLE else ''}|"
     found: dict[str, str] = {}
@@ -76,12 +77,14 @@ def signature(tag: str, attributes: str) -> str:
     parts = {p.lower() for p in _PARTS.findall(names)}
     role, style = found.get("role", "").lower(), found.get("style", "").replace(" ", "").lower()
     kind = ""
-    if tag in NOT_TEXT or role in ROLES or parts & NOT_TEXT_WORDS or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style:
+    if tag in NOT_TEXT or role in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style:
         kind = "x"
+    elif parts & NOT_TEXT_WORDS:
+        kind = "n"
     elif tag in WHOLE or role in ("main", "article") or found.get("itemprop") == "articleBody":
         kind = "a"
-    if kind == "x" and tag in ("body", "html"):
-        kind = ""
+    elif "header" in parts and not parts & {"post", "entry", "article", "content", "story", "section"} and tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "p"):
+        kind = "h"
     return f"{tag}|{kind}|{re.sub(r'[0-9]+', '#', ' '.join(names.split()))}"
 
 
@@ -157,7 +160,7 @@ def parse(page: str | None) -> Node:
                 if not m[3].endswith("/"):
                     names.append(tag)
                     nodes.append(nodes[-1].items[-1])
-        elif m[3].strip() and tag not in VOID and len(names) <= DEPTH and "|x|" in (sig := signature(tag, m[3])):
+        elif m[3].strip() and tag not in VOID and len(names) <= DEPTH and (sig := signature(tag, m[3])).split("|")[1] in ("x", "n"):
             flush()
             nodes[-1].items.append(Node(sig))
             names.append(tag)
@@ -238,17 +241,26 @@ def content(wrapper: list) -> dict[int, str]:
     it isn't the template's) or none.  Children that no page's tree matched
     take after their parent."""
     labels: dict[int, str] = {}
+    strict = True
 
     def excluded(w: list, inside: bool) -> bool:
         tag, kind, _ = w[SIG].split("|", 2)
-        return kind == "x" or (tag == "header" and not inside)
+        if kind == "n" and not strict:  # names that would leave no content say something else
+            return not (holds_article(w) or total(w) >= DOWN * total(wrapper))
+        return kind in ("x", "n") or ((tag == "header" or kind == "h") and not inside)
+
+    def holds_article(w: list) -> bool:
+        return any("|a|" in k[SIG] or ("|x|" not in k[SIG] and holds_article(k)) for k in w[KIDS])
+
+    def total(w: list) -> int:
+        return w[CHARS] + sum(map(total, w[KIDS]))
 
     def has_article(w: list) -> bool:
         return not excluded(w, False) and ("|a|" in w[SIG] or any(map(has_article, w[KIDS])))
 
     def mark(w: list, how: str, inside: bool) -> None:
         if excluded(w, inside):
-            how = "none"
+            how, inside = "none", True
         elif "|a|" in w[SIG] and not inside:
             how, inside = "all", True
         labels[id(w)] = how
@@ -260,10 +272,10 @@ def content(wrapper: list) -> dict[int, str]:
             return 0
         return (0 if constant(w) else w[CHARS]) + sum(map(mass, w[KIDS]))
 
+    strict = has_article(wrapper)
+    mark(wrapper, "none", False)
     if has_article(wrapper):
-        mark(wrapper, "none", False)
         return labels
-    mark(wrapper, "none", False)
     root = wrapper
     while root[KIDS]:
         best = max(root[KIDS], key=mass)
@@ -297,7 +309,7 @@ def extract(page: str | None, wrapper: list) -> str:
     def walk(n: Node, above: str) -> None:
         at = n.at
         if at is None:
-            at = "none" if "|x|" in n.sig else above
+            at = "none" if n.sig.split("|")[1] in ("x", "n") else above
         for i in n.items:
             if isinstance(i, Node):
                 walk(i, at)
