@@ -86,10 +86,13 @@ def by_types(pairs: DataFrame, chosen: DataFrame, generator: str, strength: floa
     return proposals(hit, generator, strength, "STATISTICAL")
 
 
-def connected_within(links: DataFrame, hops: int) -> DataFrame:
-    """a, b, hops: different entities joined by up to so many undirected links, the fewest."""
+def connected_within(links: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
+    """a, b, hops: what each source (a) is joined to by up to so many undirected
+    links, by the fewest.  Only paths from the sources are followed: between all
+    entities of a hub there would be as many as its square."""
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
-    found, step = both.withColumn("hops", F.lit(1)), both
+    step = both.join(sources.select("a").distinct(), "a", "left_semi")
+    found = step.withColumn("hops", F.lit(1))
     for h in range(2, hops + 1):
         step = step.join(both.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").where("a <> c").select("a", F.col("c").alias("b")).distinct()
         found = found.union(step.withColumn("hops", F.lit(h)))

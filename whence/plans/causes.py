@@ -128,15 +128,16 @@ def cand_statistical_association(spark, d):
     return candidates.by_types(p, _lifts(spark, d).where(F.round("lift", 6) >= 0.5), "statistical_association", 0.2)
 
 
-@query("""WITH RECURSIVE l AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier WHERE s_suppkey <= 50),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), h AS (SELECT a, b, 1 AS hops FROM e UNION SELECT h.a, e.b, hops + 1 FROM h JOIN e ON h.b = e.a WHERE hops < 3 AND h.a <> e.b)
+@query("""WITH RECURSIVE l AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), h AS (SELECT a, b, 1 AS hops FROM e WHERE a[1] IN ('n', 'r') UNION SELECT h.a, e.b, hops + 1 FROM h JOIN e ON h.b = e.a WHERE hops < 3 AND h.a <> e.b)
 SELECT a, b, min(hops) AS hops FROM h GROUP BY 1, 2""")
 def cand_structural_path(spark, d):
-    """Suppliers, nations and regions within three links of each other."""
-    n, s = tables.table(spark, d, "nation"), tables.table(spark, d, "supplier").where("s_suppkey <= 50")
+    """What nations and regions are tied to by three links or fewer, suppliers among it."""
+    n, s = tables.table(spark, d, "nation"), tables.table(spark, d, "supplier")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     links = n.select(name("n", "n_nationkey").alias("a"), name("r", "n_regionkey").alias("b")).union(s.select(name("s", "s_suppkey"), name("n", "s_nationkey")))
-    return candidates.connected_within(links, 3)
+    sources = n.select(name("n", "n_nationkey").alias("a")).union(n.select(name("r", "n_regionkey")))
+    return candidates.connected_within(links, sources, 3)
 
 
 _MERGED = EDGES + """, merged AS (SELECT source, target, source_type, target_type, kind, verdict, any_value(timeline_id) AS timeline_id, string_agg(DISTINCT generator, ',' ORDER BY generator) AS generators, count(DISTINCT generator) AS n_generators, 1 - product(1 - strength) AS strength

@@ -102,12 +102,12 @@ def derivation_audit(spark, d):
     return profiling.residuals(j, "o_orderdate", "l_shipdate", "l_linenumber")
 
 
-@query("""SELECT o_custkey % 7 AS part, count(*) AS orders, count(*) FILTER (NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)) AS orphans FROM orders GROUP BY 1""")
+@query("""SELECT o_orderpriority, count(*) AS orders, count(*) FILTER (NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)) AS orphans FROM orders GROUP BY 1""")
 def orphan_keys(spark, d):
     """Orders whose customer isn't among those in credit."""
     o, c = tables.table(spark, d, "orders"), tables.table(spark, d, "customer").where("c_acctbal > 0")
-    missing = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti").groupBy((F.col("o_custkey") % 7).alias("part")).agg(F.count("*").alias("orphans"))
-    return o.groupBy((F.col("o_custkey") % 7).alias("part")).agg(F.count("*").alias("orders")).join(missing, "part", "left").select("part", "orders", F.coalesce("orphans", F.lit(0)).alias("orphans"))
+    missing = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti").groupBy("o_orderpriority").agg(F.count("*").alias("orphans"))
+    return o.groupBy("o_orderpriority").agg(F.count("*").alias("orders")).join(missing, "o_orderpriority", "left").select("o_orderpriority", "orders", F.coalesce("orphans", F.lit(0)).alias("orphans"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey || '|' || l_suppkey AS print FROM lineitem),
@@ -164,14 +164,14 @@ def value_kinds(spark, d):
     return v.groupBy(transforms.classify(F.col("value")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH r AS (SELECT n_name, r_name FROM nation, region), w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(n_name), '[^a-z0-9]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(r_name), '[^a-z0-9]+'), lambda x: x <> '')) AS b,
+@query("""WITH r AS (SELECT p_partkey, p_name AS n_name, p_type AS r_name FROM part), w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(n_name), '[^a-z0-9]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(r_name), '[^a-z0-9]+'), lambda x: x <> '')) AS b,
   regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS p, regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g') AS q FROM r),
 g AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(p) - 1, 1) + 1), lambda i: substr(p, i, 2))) AS x, list_distinct(list_transform(range(1, greatest(length(q) - 1, 1) + 1), lambda i: substr(q, i, 2))) AS y FROM w)
-SELECT n_name, r_name, round(greatest(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 2.0 * len(list_intersect(x, y)) / (len(x) + len(y))), 6) AS similarity FROM g""")
+SELECT p_partkey, round(greatest(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 2.0 * len(list_intersect(x, y)) / (len(x) + len(y))), 6) AS similarity FROM g""")
 def name_similarity(spark, d):
-    """Every nation's name against every region's: two tables of fixed size."""
-    n, r = tables.table(spark, d, "nation"), tables.table(spark, d, "region")
-    return n.crossJoin(F.broadcast(r)).select("n_name", "r_name", F.round(transforms.name_similarity(F.col("n_name"), F.col("r_name")), 6).alias("similarity"))
+    """How much each part's name is like its type."""
+    p = tables.table(spark, d, "part")
+    return p.select("p_partkey", F.round(transforms.name_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
 
 
 @query("""SELECT c_nationkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS value, count(*) FILTER (l_tax = 0) AS untaxed, round(min(l_extendedprice / nullif(l_tax, 0)), 4) AS least_ratio
