@@ -90,7 +90,7 @@ def choose_words(sample: DataFrame) -> list[tuple[str, float]]:
     """(feature, signed root of its likelihood ratio), the largest first."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (b[at : at + 500] for b in batches for at in range(0, len(b), 500)):  # bounds the words held
             toxic, other = Counter(), Counter()
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
                 own = words(text)
