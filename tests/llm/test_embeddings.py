@@ -56,7 +56,7 @@ def test_against_brute_force(spark, monkeypatch, block):
 def test_tree_covers():
     rng = np.random.default_rng(2)
     rows = E.unit(rng.normal(size=(500, 6)))
-    t = E.Tree(rows)
+    t = E.Tree(rows, E.nodes(rows))
     for starts, radius, most in zip(t.starts, t.radius, E.RADII):
         assert radius.max() <= 2 * most
         for s, e, r in zip(starts, [*starts[1:], 500], radius):

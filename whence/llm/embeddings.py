@@ -82,23 +82,29 @@ def cover(rows: np.ndarray, radius: float) -> np.ndarray:
     return node
 
 
+def nodes(rows: np.ndarray) -> list[np.ndarray]:
+    """By level the number of each row's node; nodes lie within one of the level above."""
+    keys: list[np.ndarray] = []
+    for radius in RADII:
+        node = np.zeros(len(rows), np.int64)
+        if not keys:
+            node = cover(rows, radius)
+        else:
+            n = 0
+            order = np.argsort(keys[-1], kind="stable")
+            cuts = np.flatnonzero(np.diff(keys[-1][order])) + 1
+            for part in np.split(order, cuts):
+                node[part] = n + (cover(rows[part], radius) if len(part) > 1 else 0)
+                n = int(node[part].max()) + 1
+        keys.append(node)
+    return keys
+
+
 class Tree:
-    """Rows ordered so that each node's rows are contiguous on every level."""
-
-    def __init__(self, rows: np.ndarray):
-        keys: list[np.ndarray] = []
-        for radius in RADII:
-            node = np.zeros(len(rows), np.int64)
-            if not keys:
-                node = cover(rows, radius)
-            else:
-                n = 0
-                order = np.argsort(keys[-1], kind="stable")
-                cuts = np.flatnonzero(np.diff(keys[-1][order])) + 1
-                for part in np.split(order, cuts):
-                    node[part] = n + (cover(rows[part], radius) if len(part) > 1 else 0)
-                    n = int(node[part].max()) + 1
-            keys.append(node)
+    """Rows ordered so that each node's rows are contiguous on every level.  Of
+    a part of a block's rows it is the tree that the block's nodes give it."""
+
+    def __init__(self, rows: np.ndarray, keys: list[np.ndarray]):
         self.order = np.lexsort(keys[::-1])
         self.rows = rows[self.order]
         self.starts, self.radius = [], []
@@ -169,14 +175,14 @@ class Links:
                 self.label = self.label[self.label]
 
 
-def compare(rows: np.ndarray, weights: np.ndarray, side: np.ndarray, cosine: float) -> Links:
+def compare(rows: np.ndarray, weights: np.ndarray, side: np.ndarray, keys: list[np.ndarray], cosine: float) -> Links:
     """rows of two blocks (side 0 and 1), or of one (side 0)."""
     links, units = Links(weights), unit(rows)
     own = [np.flatnonzero(side == s) for s in (0, 1)]
     if len(own[0]) == 0 or (len(own[1]) == 0 and (side == 1).any()):
         return links
-    a = Tree(units[own[0]])
-    b = Tree(units[own[1]]) if len(own[1]) else a
+    a, b = (Tree(units[o], [k[o] for k in keys]) if len(o) else None for o in own)
+    b = b or a
     norm = np.sqrt((rows * rows).sum(axis=1))
     for mine, theirs in leaf_pairs(a, b, reach(cosine)):
         i, j = own[0][a.order[mine]], own[1 if len(own[1]) else 0][b.order[theirs]]
@@ -189,35 +195,50 @@ def compare(rows: np.ndarray, weights: np.ndarray, side: np.ndarray, cosine: flo
     return links
 
 
+def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
+    """Rows sorted by the named columns -> the rows of each of their values."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        cols = [batch.column(n).to_numpy() for n in names]
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        cuts = [0, *(np.flatnonzero(new) + 1), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e > s:
+                key = tuple(c[s] for c in cols)
+                if held and key != last:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                last = key
+                held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _build(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block: with the nodes of the block's tree."""
+        for t in _groups(batches, "block"):
+            for i, key in enumerate(nodes(unit(matrix(t.column("vec").chunk(0), dim)))):
+                t = t.append_column(f"k{i}", pa.array(key, pa.int64()))
+            yield from t.to_batches(max_chunksize=2000)
+
+    return run
+
+
 def _compare(dim: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (low, high): what two blocks have to compare."""
-
-        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts).combine_chunks()
+        for t in _groups(batches, "low", "high"):
             node, n, side, low, high = (t.column(c).to_numpy() for c in ("node", "n", "side", "low", "high"))
             if low[0] != high[0] and side.min() == side.max():
-                return
-            found = compare(matrix(t.column("vec").chunk(0), dim), n.astype(float), side, cosine)
+                continue
+            keys = [t.column(f"k{i}").to_numpy() for i in range(len(RADII))]
+            found = compare(matrix(t.column("vec").chunk(0), dim), n.astype(float), side, keys, cosine)
             hit = np.flatnonzero(found.counts)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(found.counts[hit]), pa.array(node[found.label[hit]])], names=["node", "links", "root"])
 
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
-            cuts = [0, *(np.flatnonzero((low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1), batch.num_rows]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if e > s:
-                    if held and key != (low[s], high[s]):
-                        yield from done(held)
-                        held = []
-                    key = (low[s], high[s])
-                    held.append(batch.slice(s, e - s))
-        if held:
-            yield from done(held)
-
     return run
 
 
@@ -244,28 +265,38 @@ def _one_dimension(reps: DataFrame, dim: int, n: int, cosine: float) -> DataFram
         radius[cell] = sizes[cell][1]
     cells = np.array(sorted(sizes), np.int64)
     limits = np.array([radius[c] for c in cells.tolist()]) + reach(cosine) + SPARE
+    many_of, first_of = (np.array([by[c] for c in cells.tolist()]) for by in (blocks, first))
+
+    def own_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy().astype(np.uint64)
+            salt = (node * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            at = np.searchsorted(cells, batch.column(3).to_numpy())
+            block = first_of[at] + (salt % many_of[at].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(block)], names=["node", "vec", "n", "block"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each pair of blocks that a vector takes part in."""
         pivots = shared.value[cells]
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                node, cell = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
                 row, other = np.nonzero(distances(unit(matrix(batch.column(1), dim)), pivots) <= limits)
-                mine = np.array([first[c] + k % blocks[c] for c, k in zip(cell.tolist(), ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).tolist(), strict=True)])
-                many = np.array([blocks[c] for c in cells.tolist()])[other]
-                start = np.array([first[c] for c in cells.tolist()])[other]
-                row, theirs = np.repeat(row, many), _ranges(start, start + many)
-                own = mine[row]
+                many = many_of[other]
+                own = np.repeat(batch.column(3).to_numpy()[row], many)
+                theirs = _ranges(first_of[other], first_of[other] + many)
                 low, high = np.minimum(own, theirs), np.maximum(own, theirs)
-                take = pa.array(row)
+                take = pa.array(np.repeat(row, many))
+                kept = [i for i, name in enumerate(batch.schema.names) if name != "block"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low), pa.array(high), pa.array((own == high) & (low != high), pa.int64()), *(batch.column(i).take(take) for i in range(3))],
-                    names=["low", "high", "side", "node", "vec", "n"],
+                    [pa.array(low), pa.array(high), pa.array((own == high) & (low != high), pa.int64()), *(batch.column(i).take(take) for i in kept)],
+                    names=["low", "high", "side", *(batch.schema.names[i] for i in kept)],
                 )
 
-    rows = placed.mapInArrow(meet, "low long, high long, side long, node long, vec array<float>, n long")
+    levels = "".join(f", k{i} long" for i in range(len(RADII)))
+    rows = placed.mapInArrow(own_block, "node long, vec array<float>, n long, block long")
+    rows = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_build(dim), "node long, vec array<float>, n long, block long" + levels)
+    rows = rows.mapInArrow(meet, "low long, high long, side long, node long, vec array<float>, n long" + levels)
     return rows.repartition("low", "high").sortWithinPartitions("low", "high").mapInArrow(_compare(dim, cosine), "node long, links long, root long")
 
 
