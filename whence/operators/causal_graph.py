@@ -5,15 +5,18 @@ from __future__ import annotations
 import uuid
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .profiling import first_rows
+
 
 def share_of_incoming(edges: DataFrame) -> DataFrame:
-    """weight: an edge's scalar over the sum of its effect's; equal parts if that is zero."""
-    w = Window.partitionBy("target")
-    total = F.sum("scalar").over(w)
-    return edges.withColumn("weight", F.when(total > 0, F.col("scalar") / total).otherwise(1 / F.count("*").over(w)))
+    """weight: an edge's scalar over the sum of its effect's; equal parts if that
+    is zero.  Sums combine before the shuffle, and AQE splits the join's hot effects."""
+    total = edges.groupBy("target").agg(F.sum("scalar").alias("total"), F.count("*").alias("links"))
+    weight = F.when(F.col("total") > 0, F.col("scalar") / F.col("total")).otherwise(1 / F.col("links"))
+    return edges.join(total, "target").withColumn("weight", weight).drop("total", "links")
 
 
 def promotion(edges: DataFrame, floors: dict[str, float], least_evidence: int) -> DataFrame:
@@ -35,8 +38,7 @@ def promotion(edges: DataFrame, floors: dict[str, float], least_evidence: int) -
 
 
 def top_per_effect(edges: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("target").orderBy(F.col("scalar").desc(), "source", "kind")
-    return edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
+    return first_rows(edges, ["target"], [F.col("scalar").desc(), "source", "kind"], n).drop("r")
 
 
 def type_projection(edges: DataFrame) -> DataFrame:

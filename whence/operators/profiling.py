@@ -8,25 +8,32 @@ from pyspark.sql import functions as F
 from ..functions.transforms import classify
 
 
+def first_rows(rows: DataFrame, key: list[str], order: list, n: int, parts: int = 256) -> DataFrame:
+    """Each key's first n rows, with their place as r.  Ranked within hashed parts
+    of a key first, so that a key with most of the rows isn't one task's."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+    near = rows.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy(*key, "part").orderBy(*order))).where(F.col("r") <= n)
+    return near.drop("part").withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("r") <= n)
+
+
 def column_profile(rows: DataFrame, top: int = 3) -> DataFrame:
     """Of every column: rows, blanks, distinct values, least and greatest text,
     the kinds of values and the most frequent ones, in one unpivoted pass."""
     text = rows.select([F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
     long = text.unpivot([], text.columns, "column", "value")
-    counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))  # before anything gathers by column
-    kind = classify(F.col("value"))
-    often = Window.partitionBy("column").orderBy(F.col("n").desc(), "value")
-    ranked = counts.withColumn("kind", kind).withColumn("r", F.row_number().over(often))
+    counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
     used = F.trim(F.coalesce("value", F.lit(""))) != ""
-    return ranked.groupBy("column").agg(
+    summary = counts.groupBy("column").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(used, 0).otherwise(F.col("n"))).alias("blanks"),
         F.count(F.when(used, F.lit(1))).alias("distinct_values"),
         F.min(F.when(used, F.col("value"))).alias("least"),
         F.max(F.when(used, F.col("value"))).alias("greatest"),
-        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= top, F.struct("r", "value")))), lambda x: x["value"]), "|").alias("often"),
+        F.array_join(F.array_sort(F.collect_set(classify(F.col("value")))), ",").alias("kinds"),
     )
+    often = first_rows(counts, ["column"], [F.col("n").desc(), "value"], top)
+    often = often.groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]), "|").alias("often"))
+    return summary.join(often, "column")
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 1024) -> DataFrame:

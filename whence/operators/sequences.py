@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,32 +52,39 @@ def replay(sequenced: DataFrame, transitions: dict[tuple[str, str], str], key: s
     transitions: (from state, event type) -> to state.  The first event that
     triggers any transition sets the state; from then on an event that triggers
     a transition but not from here halts the timeline as illegal, and one that
-    triggers none is ignored.  A row per taken event, and one per halt.
+    triggers none is ignored.  A row per taken event, and one per halt.  Each
+    partition folds its sorted events one by one and holds one state.
     """
-    by_trigger: dict[str, str] = {}
+    first: dict[str, str] = {}
     for (_, trigger), to in sorted(transitions.items()):
-        by_trigger.setdefault(trigger, to)
-    first = F.create_map(*[x for t, s in by_trigger.items() for x in (F.lit(t), F.lit(s))])
-    table = F.create_map(*[x for (s, t), to in transitions.items() for x in (F.lit(f"{s}>{t}"), F.lit(to))])
-    # The state before an event follows from the last triggering event alone while all is legal.
-    w = Window.partitionBy(key).orderBy("position")
-    rows = sequenced.where(F.col("event_type").isin(*by_trigger))
-    rows = rows.withColumn("log", F.collect_list("event_type").over(w))
-    start = F.lit(None).cast("string")
-
-    def step(state: Column, trigger: Column) -> Column:
-        to = F.try_element_at(table, F.concat(state, F.lit(">"), trigger))
-        return F.when(state.isNull(), F.try_element_at(first, trigger)).when(state == "!", "!").otherwise(F.coalesce(to, F.lit("!")))
-
-    rows = rows.withColumn("state", F.aggregate("log", start, step)).withColumn("was", F.lag("state").over(w))
-    return rows.where("was is null or was <> '!'").select(key, "event_id", "event_type", "position", "at", F.col("was").alias("from_state"), F.when(F.col("state") != "!", F.col("state")).alias("to_state"), (F.col("state") == "!").alias("illegal"))
+        first.setdefault(trigger, to)
+    columns = [key, "event_id", "event_type", "position", "entered"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), None
+        for batch in batches:
+            was, now, kept = [], [], []
+            for i, (timeline, trigger) in enumerate(zip(batch[key], batch["event_type"], strict=True)):
+                if timeline != last:
+                    last, state = timeline, None
+                if state == "!":
+                    continue
+                was.append(state)
+                state = first[trigger] if state is None else transitions.get((state, trigger), "!")
+                now.append(state)
+                kept.append(i)
+            yield batch.iloc[kept].assign(from_state=was, to_state=[None if s == "!" else s for s in now], illegal=[s == "!" for s in now])
+
+    rows = sequenced.where(F.col("event_type").isin(*first)).select(key, "event_id", "event_type", "position", F.col("at.t_earliest").alias("entered"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", from_state string, to_state string, illegal boolean"
+    return rows.select(*columns).repartition(key).sortWithinPartitions(key, "position").mapInPandas(fold, schema)
 
 
 def state_intervals(replayed: DataFrame, key: str = "timeline_id") -> DataFrame:
     """[entered, left) of each state taken; left is null while it holds."""
     w = Window.partitionBy(key).orderBy("position")
     taken = replayed.where("not illegal")
-    return taken.select(key, F.col("to_state").alias("state"), F.col("at.t_earliest").alias("entered"), F.lead("at.t_earliest").over(w).alias("left"))
+    return taken.select(key, F.col("to_state").alias("state"), "entered", F.lead("entered").over(w).alias("left"))
 
 
 def holding_at(intervals: DataFrame, instant: Column, key: str = "timeline_id") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, temporal, transforms
@@ -82,9 +81,8 @@ def row_validation_counts(spark, d):
         F.when(~F.col("c_name").rlike("[0-9]$"), "NAME_FORMAT"),
     )
     rows = c.select(F.explode(found).alias("code"), "c_custkey").where("code is not null")
-    w = F.row_number().over(Window.partitionBy("code").orderBy("c_custkey"))
     counts = rows.groupBy("code").agg(F.count("*").alias("n"))
-    first = rows.withColumn("r", w).where("r <= 5").groupBy("code").agg(F.array_join(F.array_sort(F.collect_list("c_custkey")).cast("array<string>"), ",").alias("examples"))
+    first = profiling.first_rows(rows, ["code"], ["c_custkey"], 5).groupBy("code").agg(F.array_join(F.array_sort(F.collect_list("c_custkey")).cast("array<string>"), ",").alias("examples"))
     return counts.join(first, "code")
 
 

@@ -55,7 +55,7 @@ def conformance(spark, d):
 
 @query(_REPLAY + "SELECT timeline_id, event_id, event_type, position, was AS from_state, nullif(state, '!') AS to_state, state = '!' AS illegal FROM m")
 def state_replay(spark, d):
-    return sequences.replay(sequenced(spark, d), MACHINE).drop("at")
+    return sequences.replay(sequenced(spark, d), MACHINE).drop("entered")
 
 
 @query(_REPLAY + "SELECT timeline_id, state, ts AS entered, lead(ts) OVER (PARTITION BY timeline_id ORDER BY position) AS left FROM m WHERE state <> '!'")
