@@ -19,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, ROUNDS = 0.85, 20
 #: Block a host if distrust > THRESHOLD * trust, each relative to its largest.
 THRESHOLD = 1.0
+#: Broadcast ranks and verdicts of hosts up to this many rows of about 60 bytes.
+BROADCAST_HOSTS = 200_000
 _LINK = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -73,20 +75,25 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def personalised_pagerank(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """links(src, dst, n), seeds(host, seed) -> host, rank.  Seeds add up to one
-    of rank, which flows along links in proportion to n; what reaches a host
-    without links is lost.  Hosts that nothing reaches have no row; without
-    seeds there is none.  Every fourth round is written, so plans stay short."""
-    total = seeds.agg(F.sum("seed").alias("total"))
-    start = written(seeds.groupBy("host").agg(F.sum("seed").alias("seed")).crossJoin(F.broadcast(total)).select("host", (F.col("seed") / F.col("total")).alias("seed")), "seeds")
-    out = links.groupBy("src").agg(F.sum("n").alias("all"))
-    shares = written(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
-    rank = start.select("host", F.col("seed").alias("rank"))
+    """links(side, src, dst, n), seeds(side, host, seed) -> side, host, rank.
+
+    Sides are walks of their own, in one loop.  A side's seeds add up to one of
+    rank, which flows along its links in proportion to n; what reaches a host
+    without links is lost.  Hosts that nothing reaches have no row; a side
+    without seeds has none.  Every fifth round is written, so plans stay short.
+    Ranks of few hosts are broadcast to the links, those of more are joined.
+    """
+    total = seeds.groupBy("side").agg(F.sum("seed").alias("total"))
+    start = written(seeds.groupBy("side", "host").agg(F.sum("seed").alias("seed")).join(total, "side").select("side", "host", (F.col("seed") / F.col("total")).alias("seed")), "seeds")
+    out = links.groupBy("side", "src").agg(F.sum("n").alias("all"))
+    shares = written(links.join(out, ["side", "src"]).select("side", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
+    few = shares.count() + start.count() <= BROADCAST_HOSTS
+    back = start.select("side", "host", ((1 - damping) * F.col("seed")).alias("rank"))
+    rank = start.select("side", "host", F.col("seed").alias("rank"))
     for i in range(rounds):
-        flow = shares.join(rank, shares.src == rank.host).groupBy("dst").agg((damping * F.sum(F.col("share") * F.col("rank"))).alias("rank"))
-        back = start.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
-        rank = flow.select(F.col("dst").alias("host"), "rank").union(back).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 4 == 3 or i == rounds - 1:
+        flow = shares.join(F.broadcast(rank) if few else rank, ["side", "host"]).select("side", F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
+        rank = flow.union(back).groupBy("side", "host").agg(F.sum("rank").alias("rank"))
+        if i % 5 == 4 or i == rounds - 1:
             rank = written(rank, "rank")
     return rank
 
@@ -102,20 +109,17 @@ def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int
     _, verdict = by_rule(rules, F.col("host"), F.col("path"))
     hosts = written(rows.groupBy("host").agg(F.count_if(verdict == "allow").alias("allowed"), F.count_if(verdict == "block").alias("blocked")), "hosts")
     links = written(host_links(pages), "links")
-    seeds = lambda c: hosts.where(F.col(c) > 0).select("host", F.col(c).cast("double").alias("seed"))
-    trust = personalised_pagerank(links, seeds("allowed"), rounds).withColumnRenamed("rank", "trust")
-    against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = personalised_pagerank(against, seeds("blocked"), rounds).withColumnRenamed("rank", "distrust")
-    found = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").fillna(0.0, ["trust", "distrust"])
+    sides = (("trust", "allowed", "src", "dst"), ("distrust", "blocked", "dst", "src"))  # distrust goes against links
+    seeds = [hosts.where(F.col(c) > 0).select(F.lit(side).alias("side"), "host", F.col(c).cast("double").alias("seed")) for side, c, _, _ in sides]
+    edges = [links.select(F.lit(side).alias("side"), F.col(a).alias("src"), F.col(b).alias("dst"), "n") for side, _, a, b in sides]
+    rank = personalised_pagerank(edges[0].union(edges[1]), seeds[0].union(seeds[1]), rounds)
+    both = rank.groupBy("host").agg(*[F.sum(F.when(F.col("side") == side, F.col("rank"))).alias(side) for side, *_ in sides])
+    found = hosts.select("host").join(both, "host", "left").fillna(0.0, ["trust", "distrust"])
     most = found.agg(F.max("trust").alias("t"), F.max("distrust").alias("d"))
     both = found.crossJoin(F.broadcast(most)).select("host", F.coalesce(F.col("trust") / F.nullif("t", F.lit(0.0)), F.lit(0.0)).alias("trust"), F.coalesce(F.col("distrust") / F.nullif("d", F.lit(0.0)), F.lit(0.0)).alias("distrust"))
     return both.withColumn("verdict", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow"))
 
 
-#: Broadcast the hosts' verdicts up to this many rows of about 60 bytes.
-BROADCAST_HOSTS = 200_000
-
-
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page.
 
