@@ -4,7 +4,7 @@ Which windows: those of an item's length that start at a shingle of an item of
 that length and hold enough such shingles to be similar at all; a window that
 scores best can always be moved to start at one, so none is lost.  Each window
 has a fingerprint of its shingles.  Eight blocks of eight bits index the items'
-fingerprints: within 24 differing bits some block differs in three or fewer, so
+fingerprints: within 28 differing bits some block differs in three or fewer, so
 the items near in some block are all that can be within the radius.  These are
 verified by the shingles themselves, weighted by how often each occurs.
 """
@@ -25,7 +25,7 @@ from pyspark.sql.types import BooleanType
 
 SHINGLE = 5
 SIMILAR = 0.8
-RADIUS, BLOCKS, BITS = 24, 8, 8
+RADIUS, BLOCKS, BITS = 28, 8, 8
 #: Bytes and items of the benchmark that are searched for at once; the rest follows in further passes.
 INDEX_BYTES, INDEX_ITEMS = 16 << 20, 2000
 #: Bytes of text that are searched at once.
