@@ -77,3 +77,16 @@ def test_both_ways_to_hand_out_wrappers(spark, monkeypatch):
     monkeypatch.setattr(H, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, H.op4_html(spark, d).collect())) == one and len(one) == table(spark, d, "pages").count()
     assert all(len(t) == n for _, _, t, n in one)
+
+
+def test_hosts_of_mixed_layouts(spark):
+    rng = random.Random(3)
+    rows = [(i, f"http://h{i % 3}.example/{i}", *page(rng, i % 2 == 0)) for i in range(120)]
+    rows += [(200 + i, None, *page(rng, i == 0)) for i in range(20)]  # without a host, one of them with an article
+    story = [f"story {i} tells of {rng.random()}" for i in range(3)]  # a second layout, rare on its host
+    rows += [(300 + i, f"http://h0.example/s{i}", f"<nav>n</nav><div class=story><div class=in><p>{t}</p></div></div>", [t]) for i, t in enumerate(story)]
+    card = "<article><p>a teaser</p></article>"
+    rows += [(400, "http://h1.example/card", f"<div class=list>{card}</div>", ["a teaser"]), (401, "http://h1.example/r", f"<div class=text><p>{'the text ' * 9}</p></div><div class=related>{card}</div>", [("the text " * 9).strip()])]
+    df = spark.createDataFrame([(i, u, h) for i, u, h, _ in rows], "page_id long, url string, html string").repartition(4)
+    want = {i: "\n\n".join(b) for i, _, _, b in rows}
+    assert {r.page_id: r.text for r in H.main_text(df).collect()} == want

@@ -5,8 +5,9 @@ into one node.  The trees of a host are aligned by simple tree matching and
 merged into its wrapper: where the host's pages hold the same text at a node it
 is template, where the text varies it is content.  Element names, roles and
 class names say which nodes of the wrapper can't be content whatever they hold;
-an article element says which can't be template.  A page's text is then what
-its own tree, aligned with its host's wrapper, holds at content nodes.
+an article element says which can't be template.  A page's text is what its
+article element holds; the wrapper is made of the host's pages without one, and
+their text is what their own trees, aligned with it, hold at content nodes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .urls import host_path
 CONSTANT, PAGES = 0.5, 5
 #: A page's body without an article: go down while one child has this share of the varying text.
 DOWN = 0.8
+#: An article in an element whose names exclude it counts if that has this share of the page's text.
+HALF = 0.5
 #: Wrappers are sent to all executors up to this many bytes, and joined by host beyond.
 BROADCAST_BYTES = 16 << 20
 #: Elements nested deeper than this count as their ancestor at this depth; their text stays.
@@ -236,92 +239,126 @@ def constant(w: list) -> bool:
     return w[N] >= PAGES and w[VOTES] >= CONSTANT * w[N]
 
 
-def content(wrapper: list) -> dict[int, str]:
-    """By the id of each wrapper node: all (its text), varying (its text, where
-    it isn't the template's) or none.  Children that no page's tree matched
-    take after their parent."""
-    labels: dict[int, str] = {}
-    strict = True
+def excluding(own: list, strict: bool, known: dict[int, list]) -> tuple[Callable[[list, bool], bool], Callable[[list], int]]:
+    """(is a node of the page's tree excluded by element and names, its characters
+    with all below it).  known: the wrapper's node of each, whose characters count."""
+    sizes: dict[int, int] = {}
+
+    def total(w: list) -> int:
+        if id(w) not in sizes:
+            sizes[id(w)] = known.get(id(w), w)[CHARS] + sum(map(total, w[KIDS]))
+        return sizes[id(w)]
+
+    def holds_article(w: list) -> bool:
+        return any("|a|" in k[SIG] or ("|x|" not in k[SIG] and holds_article(k)) for k in w[KIDS])
 
     def excluded(w: list, inside: bool) -> bool:
         tag, kind, _ = w[SIG].split("|", 2)
         if kind == "n" and not strict:  # names that would leave no content say something else
-            return not (holds_article(w) or total(w) >= DOWN * total(wrapper))
+            return total(w) < (HALF if holds_article(w) else DOWN) * total(own)
         return kind in ("x", "n") or ((tag == "header" or kind == "h") and not inside)
 
-    def holds_article(w: list) -> bool:
-        return any("|a|" in k[SIG] or ("|x|" not in k[SIG] and holds_article(k)) for k in w[KIDS])
+    return excluded, total
+
+
+def article(own: list) -> dict[int, str]:
+    """By the id of each node of a page's tree: all, within an article element that
+    holds text, or none.  Empty for a page that has no such element."""
+    for strict in (True, False):
+        excluded, total = excluding(own, strict, {})
+        labels: dict[int, str] = {}
+
+        def mark(w: list, how: str, inside: bool) -> None:
+            if excluded(w, inside):
+                how, inside = "none", True
+            elif "|a|" in w[SIG] and not inside and total(w):
+                how, inside = "all", True
+            labels[id(w)] = how
+            for k in w[KIDS]:
+                mark(k, how, inside)
+
+        mark(own, "none", False)
+        if "all" in labels.values():
+            return labels
+    return {}
+
+
+def varying(own: list, known: dict[int, list]) -> dict[int, str]:
+    """By the id of each node of a page's tree: varying (its text, where it isn't
+    the template's) or none.  known: the wrapper's node of each.  The body is sought
+    among the nodes that the page has: another layout's tell nothing about it."""
+    excluded, _ = excluding(own, False, known)
+    masses: dict[int, int] = {}
+    labels: dict[int, str] = {}
 
-    def total(w: list) -> int:
-        return w[CHARS] + sum(map(total, w[KIDS]))
+    def mass(w: list) -> int:
+        if id(w) not in masses:
+            of = known.get(id(w), w)
+            masses[id(w)] = 0 if excluded(w, False) else (0 if constant(of) else of[CHARS]) + sum(map(mass, w[KIDS]))
+        return masses[id(w)]
 
-    def has_article(w: list) -> bool:
-        return not excluded(w, False) and ("|a|" in w[SIG] or any(map(has_article, w[KIDS])))
+    def mark(w: list, how: str) -> None:
+        if excluded(w, False):
+            how = "none"
+        of = known.get(id(w))
+        same = how == "varying" and of and constant(of) and w[TEXT] == of[TEXT]
+        labels[id(w)] = "none" if same else how
+        for k in w[KIDS]:
+            mark(k, how)
 
-    def mark(w: list, how: str, inside: bool) -> None:
-        if excluded(w, inside):
-            how, inside = "none", True
-        elif "|a|" in w[SIG] and not inside:
-            how, inside = "all", True
-        labels[id(w)] = how
+    def outside(w: list) -> None:
+        labels[id(w)] = "none"
         for k in w[KIDS]:
-            mark(k, how, inside)
+            outside(k)
 
-    def mass(w: list) -> int:
-        if excluded(w, False):
-            return 0
-        return (0 if constant(w) else w[CHARS]) + sum(map(mass, w[KIDS]))
-
-    strict = has_article(wrapper)
-    mark(wrapper, "none", False)
-    if has_article(wrapper):
-        return labels
-    root = wrapper
+    outside(own)
+    root = own
     while root[KIDS]:
         best = max(root[KIDS], key=mass)
         if excluded(best, False) or mass(best) < DOWN * mass(root) or not best[KIDS]:
             break
         root = best
-    mark(root, "varying", False)
+    mark(root, "varying")
     return labels
 
 
-def extract(page: str | None, wrapper: list) -> str:
-    """The page's blocks at content nodes of its host's wrapper, in page order.
-    Elements that the wrapper doesn't know take after their parent."""
+def extract(page: str | None, wrapper: list | None) -> str:
+    """The page's blocks at content nodes, in page order: those of its article
+    element, or what varies by the wrapper of its host's pages that have none."""
     tree, places = parse(page), {}
     own = folded([tree], places)
-    labels = content(wrapper)
+    known: dict[int, list] = {}
 
     def place(w: list, p: list, memo: dict) -> None:
-        label = labels[id(w)]
-        same = label == "varying" and constant(w) and p[TEXT] == w[TEXT]
-        for n in places[id(p)]:
-            n.at = "none" if same else label
+        known[id(p)] = w
         for a, b in aligned(w, p, memo):
             if a and b:
                 place(a, b, memo)
 
-    if own[SIG] == wrapper[SIG]:
-        place(wrapper, own, {})
+    labels = article(own)
+    if not labels:
+        if wrapper and own[SIG] == wrapper[SIG]:
+            place(wrapper, own, {})
+        labels = varying(own, known)
+    for k, nodes in places.items():
+        for n in nodes:
+            n.at = labels[k]
     out: list[str] = []
 
-    def walk(n: Node, above: str) -> None:
-        at = n.at
-        if at is None:
-            at = "none" if n.sig.split("|")[1] in ("x", "n") else above
+    def walk(n: Node) -> None:
         for i in n.items:
             if isinstance(i, Node):
-                walk(i, at)
-            elif at != "none":
+                walk(i)
+            elif n.at != "none":
                 out.append(i)
 
-    walk(tree, "varying")
+    walk(tree)
     return "\n\n".join(out)
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper (JSON): every host's pages, equal ones counted once a task.
+    """host, wrapper (JSON): every host's pages without an article, equal ones
+    counted once a task.
 
     Each task merges its own pages of a host, so at most as many wrappers as
     there are tasks meet in one, whatever the host's share of the pages."""
@@ -336,6 +373,8 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
                     continue
                 seen.add(key)
                 w = folded([parse(page)])
+                if article(w):
+                    continue
                 held[host] = merge(held[host], w) if host in held else w
             if len(held) > HOSTS:
                 yield _wrapped(held)
@@ -391,7 +430,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
                 if host not in known:
                     if len(known) > HOSTS:
                         known.clear()
-                    known[host] = json.loads(w if shared is None else shared.value[host])
+                    known[host] = json.loads((w if shared is None else shared.value.get(host)) or "null")
                 texts.append(extract(page, known[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
