@@ -90,3 +90,21 @@ def test_hosts_of_mixed_layouts(spark):
     df = spark.createDataFrame([(i, u, h) for i, u, h, _ in rows], "page_id long, url string, html string").repartition(4)
     want = {i: "\n\n".join(b) for i, _, _, b in rows}
     assert {r.page_id: r.text for r in H.main_text(df).collect()} == want
+
+
+def test_copies_and_partitions_change_no_text(spark):
+    wrap = lambda t: f"<div class=top>Site line</div><div class=body><p>{t}</p></div>"
+    rows = [(i, "http://h.example/", wrap("copied text")) for i in range(40)] + [(100 + i, "http://h.example/", wrap(f"text {i}")) for i in range(7)]
+    rows += [(200 + i, "http://one.example/", wrap("the host's only text")) for i in range(30)]
+    # Of ten pages seven, then eight, hold one text at a node; the others differ.
+    rows += [(300 + i, "http://seven.example/", f"<h2>{'same' if i < 7 else i}</h2><p>text {i}</p>") for i in range(10)]
+    rows += [(400 + i, "http://eight.example/", f"<h2>{'same' if i < 8 else i}</h2><p>text {i}</p>") for i in range(10)]
+    # Siblings in either order.
+    rows += [(500 + i, "http://turned.example/", "".join([f"<h2>line</h2><p>text {i}</p>", "<h3>x</h3>"][:: 1 if i % 3 else -1])) for i in range(12)]
+    heads = {i: "same" if i < 307 else str(i % 100) for i in range(300, 310)}
+    want = {i: "copied text" for i in range(40)} | {100 + i: f"text {i}" for i in range(7)} | {200 + i: "Site line\n\nthe host's only text" for i in range(30)}
+    want |= {i: f"{heads[i]}\n\ntext {i % 100}" for i in range(300, 310)} | {i: f"text {i % 100}" if i < 408 else f"{i % 100}\n\ntext {i % 100}" for i in range(400, 410)} | {500 + i: f"text {i}" for i in range(12)}
+    for n, seed in ((1, 0), (7, 1), (31, 2)):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        assert {r.page_id: r.text for r in H.main_text(df).collect()} == want

@@ -18,16 +18,18 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
 from .urls import host_path
 
-#: A node is template if its most frequent text wins this share of the vote
-#: (three of four pages), and the host has at least so many pages with it.
+#: A node is template if its most frequent text is ahead of all others together by
+#: this share (three of four pages), and the host has at least so many distinct pages with it.
 CONSTANT, PAGES = 0.5, 5
 #: A page's body without an article: go down while one child has this share of the varying text.
 DOWN = 0.8
@@ -228,7 +230,7 @@ def aligned(a: list, b: list, memo: dict) -> list[tuple]:
 
 
 def merge(a: list, b: list, memo: dict | None = None) -> list:
-    """The wrapper of both; texts by majority vote, which merges in any order."""
+    """The wrapper of both; texts by majority vote, in whose place wrappers() puts exact counts."""
     memo = {} if memo is None else memo
     text, votes = (a[TEXT], a[VOTES] + b[VOTES]) if a[TEXT] == b[TEXT] else max((a[TEXT], a[VOTES] - b[VOTES]), (b[TEXT], b[VOTES] - a[VOTES]), key=lambda v: v[1])
     kids = [merge(x, y, memo) if x and y else x or y for x, y in aligned(a, b, memo)]
@@ -356,48 +358,77 @@ def extract(page: str | None, wrapper: list | None) -> str:
     return "\n\n".join(out)
 
 
+def paths(w: list, above: int = 0) -> Iterator[tuple[int, list]]:
+    """(hash of its signature and those above it, node) of all nodes of a tree."""
+    at = xxhash.xxh64_intdigest(w[SIG].encode("utf-8", "replace"), above) >> 1
+    yield at, w
+    for k in w[KIDS]:
+        yield from paths(k, at)
+
+
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper (JSON): every host's pages without an article, equal ones
-    counted once a task.
+    """host, wrapper (JSON): every host's pages without an article.
 
     Each task merges its own pages of a host, so at most as many wrappers as
-    there are tasks meet in one, whatever the host's share of the pages."""
+    there are tasks meet in one, whatever the host's share of the pages.  What
+    the nodes hold is counted by path over the host's distinct pages: a page of
+    the host has a path once, and all its nodes match the wrapper's in order, so
+    texts don't depend on how pages are dealt to tasks or how often they come."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         seen: set[tuple[str, int]] = set()
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = (host, hash(page))
-                if key in seen:
+            rows = []
+            for host, mark, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (host, mark) in seen:
                     continue
-                seen.add(key)
+                seen.add((host, mark))
                 w = folded([parse(page)])
                 if article(w):
                     continue
+                rows.append((host, mark, [{"path": at, "text": k[TEXT], "chars": k[CHARS]} for at, k in paths(w)], None))
                 held[host] = merge(held[host], w) if host in held else w
+            if rows:
+                yield _parts(rows)
             if len(held) > HOSTS:
-                yield _wrapped(held)
+                yield _parts([(host, None, None, json.dumps(w)) for host, w in held.items()])
                 held, seen = {}, set()
         if held:
-            yield _wrapped(held)
+            yield _parts([(host, None, None, json.dumps(w)) for host, w in held.items()])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, w = None, None
-        for batch in batches:
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w is not None and host == last:
-                    w = merge(w, json.loads(text))
-                    continue
-                if w is not None:
-                    yield _wrapped({last: w})
-                last, w = host, json.loads(text)
-        if w is not None:
-            yield _wrapped({last: w})
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for host, own in groupby(rows, key=lambda r: r[0]):
+            w, counts = None, {}
+            for _, text, path, *n in own:
+                if text is None:
+                    counts[path] = n
+                else:
+                    w = json.loads(text) if w is None else merge(w, json.loads(text))
+            for path, k in paths(w):
+                k[N], k[CHARS], k[TEXT], most = counts[path]
+                k[VOTES] = 2 * most - k[N]
+            yield _wrapped({host: w})
 
     host, _ = host_path(F.col(url))
-    parts = pages.select(host.alias("host"), F.col(html).cast("string").alias("page")).mapInArrow(partial, "host string, wrapper string")
-    return parts.repartition("host").sortWithinPartitions("host").mapInArrow(whole, "host string, wrapper string")
+    page = F.col(html).cast("string")
+    parts = written(pages.select(host.alias("host"), F.xxhash64(page).alias("mark"), page.alias("page")).mapInArrow(partial, PARTS_DDL), "parts")
+    nodes = parts.where("wrapper is null").groupBy("host", "mark").agg(F.first("nodes").alias("nodes")).select("host", F.inline("nodes"))
+    texts = nodes.groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    counts = texts.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.max(F.struct("n", "text")).alias("most"))
+    trees = parts.where("wrapper is not null").select("host", "wrapper", *[F.lit(None).cast("long").alias(c) for c in ("path", "n", "chars", "text", "most")])
+    both = trees.union(counts.select("host", F.lit(None).cast("string"), "path", "n", "chars", "most.text", "most.n"))
+    return both.repartition("host").sortWithinPartitions("host").mapInArrow(whole, "host string, wrapper string")
+
+
+#: Pages (mark: the hash of one; its nodes) and trees of a task.
+PARTS = pa.schema([("host", pa.string()), ("mark", pa.int64()), ("nodes", pa.list_(pa.struct([("path", pa.int64()), ("text", pa.int64()), ("chars", pa.int64())]))), ("wrapper", pa.string())])
+PARTS_DDL = "host string, mark long, nodes array<struct<path: bigint, text: bigint, chars: bigint>>, wrapper string"
+
+
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PARTS, strict=True)], schema=PARTS)
 
 
 def _wrapped(held: dict[str, list]) -> pa.RecordBatch:
