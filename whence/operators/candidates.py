@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import in_window, separation, verdict
+from .rules import CausalRule
 
 
 def ordered_pairs(sequenced: DataFrame, key: str = "timeline_id") -> DataFrame:
@@ -86,6 +88,17 @@ def by_types(pairs: DataFrame, chosen: DataFrame, generator: str, strength: floa
     return proposals(hit, generator, strength, "STATISTICAL")
 
 
+def rule_kind(rule: CausalRule) -> str:
+    return "DIRECT" if rule.condition == ("all",) else "CONDITIONAL"
+
+
+def rule_based(fired: DataFrame, rules: Sequence[CausalRule]) -> DataFrame:
+    """A proposal of each firing, as strong as its rule; a firing's cause is earlier."""
+    of = {"source_type": lambda r: r.cause_type, "target_type": lambda r: r.effect_type, "kind": rule_kind}
+    by = {c: reduce(lambda w, r: w.when(F.col("rule_id") == r.rule_id, v(r)), rules, F.when(F.lit(False), None)) for c, v in of.items()}
+    return fired.select("source", "target", by["source_type"].alias("source_type"), by["target_type"].alias("target_type"), F.lit("rule_based").alias("generator"), by["kind"].alias("kind"), "strength", F.lit("CERTAIN").alias("verdict"))
+
+
 def connected_within(links: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     """a, b, hops: what each source (a) is joined to by up to so many undirected
     links, by the fewest.  Only paths from the sources are followed: between all

@@ -146,7 +146,7 @@ _MERGED = EDGES + """, merged AS (SELECT source, target, source_type, target_typ
 
 @query("WITH " + _MERGED + "SELECT source, target, source_type, target_type, kind, verdict, generators, n_generators, round(strength, 6) AS strength FROM merged")
 def fuse_claims(spark, d):
-    """One candidate per pair and kind, from all generators' proposals."""
+    """One candidate per pair and kind, from the proposals by proximity and identifier."""
     return candidates.merge(proposed(spark, d)).withColumn("strength", F.round("strength", 6))
 
 
@@ -170,6 +170,40 @@ def confounding_triangles(spark, d):
     return candidates.triangles(proposed(spark, d))
 
 
+_RULE_TYPES = {c: "CASE rule_id " + " ".join(f"WHEN '{r.rule_id}' THEN '{v(r)}'" for r in RULES) + " END" for c, v in (("source_type", lambda r: r.cause_type), ("target_type", lambda r: r.effect_type), ("kind", candidates.rule_kind))}
+_BY_RULE = f"SELECT source, target, {_RULE_TYPES['source_type']} AS source_type, {_RULE_TYPES['target_type']} AS target_type, 'rule_based' AS generator, {_RULE_TYPES['kind']} AS kind, strength, 'CERTAIN' AS verdict FROM fired"
+_EVERY = (
+    _RULES_SQL
+    + _COUNTS
+    + f""", every AS ({_BY_RULE}
+  UNION ALL {_OUT.format(g="temporal_proximity", k="DIRECT", s=0.3)} pairs WHERE {_NEAR}
+  UNION ALL {_OUT.format(g="shared_identifier", k="DIRECT", s=0.35)} pairs WHERE floor(a_k / 10) = floor(b_k / 10)
+  UNION ALL SELECT a.event_id, b.event_id, a.event_type, b.event_type, 'shared_entity', 'STRUCTURAL', 0.55, 'CERTAIN' FROM log a JOIN log b USING (user_id) WHERE b.us > a.us AND b.us - a.us <= {2 * HOUR}
+  UNION ALL {_OUT.format(g="historical_frequency", k="STATISTICAL", s=0.4)} pairs JOIN rates ON source_type = cause_type AND target_type = effect_type WHERE "both" >= 5
+  UNION ALL {_OUT.format(g="statistical_association", k="STATISTICAL", s=0.2)} pairs JOIN rates ON source_type = cause_type AND target_type = effect_type WHERE round({_LIFT}, 6) >= 0.5),
+merged AS (SELECT source, target, source_type, target_type, kind, verdict, string_agg(DISTINCT generator, ',' ORDER BY generator) AS generators, count(DISTINCT generator) AS n_generators, round(1 - product(1 - strength), 6) AS strength
+  FROM every GROUP BY source, target, source_type, target_type, kind, verdict)"""
+)
+
+
+@query(_RULES_SQL + _BY_RULE)
+def cand_rule_based(spark, d):
+    """One proposal per firing, conditional where the rule has a condition."""
+    return candidates.rule_based(_fired(spark, d), RULES)
+
+
+@query(_EVERY + "SELECT *, CASE WHEN source = target THEN 'SELF_EDGE' WHEN verdict = 'VIOLATION' THEN 'TEMPORAL_VIOLATION' WHEN source_type = 'error' THEN 'CONSTRAINT_SUPPRESSED' END AS reason FROM merged")
+def fuse_every_claim(spark, d):
+    """One candidate per pair and kind from the proposals of all six generators over
+    events, with the gate's reason where it is refused; errors may cause nothing."""
+    every = proposed(spark, d)
+    for generator in (cand_shared_entity, cand_historical_frequency, cand_statistical_association, cand_rule_based):
+        every = every.unionByName(generator(spark, d))
+    types = ("signup", "view", "click", "purchase", "error")
+    barred = spark.createDataFrame([("error", t) for t in types], "source_type string, target_type string")
+    return candidates.gate(candidates.merge(every).withColumn("strength", F.round("strength", 6)), barred)
+
+
 # -- scores ---------------------------------------------------------------
 
 _SCORES = (
