@@ -89,3 +89,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100}
+
+
+def test_rows_without_ids_link_others(spark, monkeypatch):
+    a, null, b, alone, other = 0, 0b1111, 0b11111111, 0xFF << 40, 0xFFFF << 20
+    rows = [(7, 0, a), (None, 0, null), (5, 0, b), (None, 0, alone), (9, 0, other), (None, 0, other)]
+    monkeypatch.setattr(S, "fingerprints", lambda docs, *_: docs)
+    got = S.near_duplicates(spark.createDataFrame(rows, "id long, mark long, fp long")).collect()
+    assert sorted((r.fp, r.component) for r in got) == sorted([(a, 5), (null, 5), (b, 5), (alone, None), (other, 9), (other, 9)])

@@ -236,13 +236,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component: the smallest id reachable over links of four differing bits or
     fewer.  Equal fingerprints are linked, blank texts too (fingerprint zero).
-    Repeated rows come back as often as they came.  A null id gets the
-    component of its fingerprint's other rows, null if none of them has an id.
+    Repeated rows come back as often as they came.  Rows with a null
+    id link others too, and get the component of what they reach, null if nothing has an id.
     """
     marked = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    reps = written(marked.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"), "reps")
-    parts = connected_components(links(reps))
-    parts = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    reps = written(marked.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
+    if reps.where("rep is null").isEmpty():
+        parts = connected_components(links(reps))
+        parts = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    else:  # without ids fingerprints still link others: they are their own numbers
+        parts = connected_components(links(reps.select(F.col("fp").alias("rep"), "fp")))
+        parts = written(reps.join(parts, reps.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("part")), "parts")
+        parts = parts.join(parts.groupBy("part").agg(F.min("rep").alias("component")), "part").select("fp", "component")
     return marked.join(parts, "fp", "left").select("id", "mark", "fp", "component")
 
 
