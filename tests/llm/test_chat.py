@@ -81,3 +81,15 @@ def test_sql_agrees(spark, tmp_path):
         con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet{files}'")
         want = con.execute(C.OP9_SQL).fetchall()
         assert sorted(map(tuple, C.op9_chat(spark, d).collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_long_shared_path_is_merged(spark):
+    import public_tokenizers
+    from whence.llm import chat
+
+    shared = "long " * 100
+    rows = [(i, t, "user", shared if t == 0 else f"own {i}") for i in range(40) for t in range(2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    blocks = chat.prefix_trees(df, public_tokenizers.path("byte_bpe_50k.json"), block_chars=400)
+    assert blocks.select("text").toPandas()["text"].str.count(shared.strip()).sum() < 20
+    assert {(r.conv_id, tuple(r.texts)) for r in chat.read_back(blocks).collect()} == {(i, (shared, f"own {i}")) for i in range(40)}

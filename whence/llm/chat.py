@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, takewhile
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,7 +26,8 @@ from .tokens import encoder
 #: Fixed values of the template: `### role: text</turn>` and a line end.
 HEAD, MIDDLE, TAIL = "### ", ": ", "</turn>\n"
 LEARNT = "assistant"
-#: A block ends with the conversation that reaches one of these sizes.
+#: A block ends with the conversation that reaches one of these sizes; turns that its
+#: first one shares with the block before don't count, or a long path would fill it alone.
 BLOCK_CHARS = 1 << 18
 BLOCK_CONVERSATIONS = 2048
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -179,12 +180,16 @@ def prefix_trees(rows: DataFrame, tokenizer: str, block_chars: int = BLOCK_CHARS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         number = TaskContext.get().partitionId() << 33
-        block = Block(encode)
+        block, before, again = Block(encode), [], 0
         for _, conv_id, roles, texts in _rows(batches):
-            block.add(conv_id, list(zip(roles, texts, strict=True)))
-            if block.chars >= block_chars or len(block.leaves) >= block_conversations:
+            turns = list(zip(roles, texts, strict=True))
+            block.add(conv_id, turns)
+            if len(block.leaves) == 1:
+                same = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(turns, before)))
+                again = block.segments[same - 1]["end"] if same else 0
+            if block.chars - again >= block_chars or len(block.leaves) >= block_conversations:
                 yield block.row(number)
-                block, number = Block(encode), number + 1
+                block, before, number = Block(encode), turns, number + 1
         if block.leaves:
             yield block.row(number)
 
