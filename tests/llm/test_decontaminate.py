@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from whence.llm import decontaminate as D
 from whence.llm.common import table
 
@@ -75,11 +76,54 @@ def test_many_indexes_lose_nothing(spark, monkeypatch):
 
 
 def test_blocks_find_all_within_the_radius():
-    rng = random.Random(3)
-    index = D.Index([(i, " ".join(rng.choice("abcdefgh") for _ in range(20))) for i in range(50)])
-    for _ in range(200):
-        f = int(rng.choice(list(index.prints))) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 30)))
-        assert list(index.candidates(f)) == [i for i, p in enumerate(index.prints) if bin(int(p) ^ f).count("1") <= D.RADIUS]
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**63, 50).astype(np.uint64)
+    blocks = D.Blocks(prints)
+    near = [int(rng.choice(prints)) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 20), replace=False)) for _ in range(300)]
+    got = set(zip(*(a.tolist() for a in blocks.near(np.array(near, np.uint64))), strict=True))
+    assert got == {(r, i) for r, f in enumerate(near) for i, p in enumerate(prints) if (int(p) ^ f).bit_count() <= D.RADIUS}
+
+
+def test_prints_are_majorities():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 700).astype(np.uint64)
+    for size in {D.window_size(n) for n in range(1, 800)}:
+        got = D.Votes(h).prints(size, slice(0, None, 7))
+        for row, s in enumerate(range(0, len(h) - size + 1, 7)):
+            own = h[s : s + size].tolist()
+            assert int(got[row]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > size)
+
+
+def test_fingerprints_choose_and_find_nine_in_ten():
+    """Edited items among other words: most that are similar are candidates, and little else is."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 6))) for _ in range(2000)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(say(rng.randint(12, 120)))) for i in range(60)]
+    index = D.Index(items)
+    docs, want = [], []
+    for _ in range(1500):
+        i = rng.randrange(60)
+        part = items[i][1].split()
+        n = max(1, len(part) // 5)
+        how = rng.randrange(3)
+        if how == 0:
+            for _ in range(rng.randint(1, max(1, len(part) // 20))):
+                part[rng.randrange(len(part))] = rng.choice(vocabulary)
+        elif how == 1:
+            part = part[rng.randint(0, n) :]
+        else:
+            at = rng.randint(0, len(part) - n)
+            part[at : at + n] = say(n)
+        doc = [w.encode() for w in say(rng.randint(0, 200)) + part + say(rng.randint(0, 200))]
+        k = min(5, index.sizes[i])
+        best = index._verified(D.grams(doc, k), len(doc), k, i)
+        if best and best[0] < 0.85:
+            docs.append(doc)
+            want.append(i)
+    near = index.candidates(docs)
+    assert len(want) > 200 and sum(i in found for i, found in zip(want, near, strict=True)) >= 0.9 * len(want)
+    assert sum(map(len, near)) < 1.1 * len(docs)
 
 
 def test_empty(spark):
