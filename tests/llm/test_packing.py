@@ -1,5 +1,6 @@
 import itertools
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -24,12 +25,20 @@ def test_fill_is_closest():
         assert sum(k * n for k, n in use.items()) == max(s for s in sums if s <= room)
 
 
-def test_words_encode_as_whole_texts():
+def test_ids_are_those_of_tokenizers():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     rng = random.Random(2)
-    texts = ["", " ", "  a", "a  b", "a\u0378b \u4e2d\u6587 x", "a \n b", "x y z", "don't  we'll <|endoftext|> end ", "\t \t", "é  ²½ 12 　 x\x1cy"]
+    texts = ["", " ", "  a", "a  b", "a\u0378b \u4e2d\u6587 x", "a \n b", "x y z", "don't  we'll <|endoftext|> end ", "\t \t", "é  ²½ 12 　 x\x1cy"]
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", " <|endoftext|><|endoftext|>  ", "<|endoftext", "<|ENDOFTEXT|>", "é<|endoftext|>\u4e2d \u4e2d"]
     texts += ["".join(rng.choice(" \n\tab'1é.") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    kinds = defaultdict(list)  # every class of characters, among words and white space
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000:
+            kinds[unicodedata.category(chr(c))].append(chr(c))
+    for own in kinds.values():
+        for _ in range(40):
+            some = [*rng.choices(own, k=6), " ", "  ", "a", "'s", "1", "<|endoftext|>", "\n"]
+            texts.append("".join(rng.choice(some) for _ in range(rng.randint(1, 30))))
     got = [np.frombuffer(b, "<u4").tolist() for b in encoder(PATH).encode(texts)]
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
@@ -60,7 +69,7 @@ def check(rows, docs, t, capacity):
 def test_round_trip(spark):
     rng = random.Random(3)
     t = Tokenizer.from_file(PATH)
-    docs = [(0, None), (1, ""), (2, "word " * 5000), (3, "x" * 9000)]
+    docs = [(0, None), (1, ""), (2, "word " * 5000), (3, "x" * 9000), (999, "a <|endoftext|> b")]
     docs += [(i, " ".join(rng.choice(["the", "of", "tion", "ed", "é", "\n"]) for _ in range(rng.randint(0, 300)))) for i in range(4, 300)]
     df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, sequence_id int").repartition(3)
     for window in (4096, 32):

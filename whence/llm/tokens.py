@@ -23,7 +23,7 @@ class Encoder:
     pattern never joins what stands left of a single space with what stands
     right of it; so a text is cut there, and only words with characters that
     the two may class differently go to `tokenizers`.  Strings of special
-    tokens are plain text.
+    tokens in a text become their ids, as there.
     """
 
     def __init__(self, path: str):
@@ -32,27 +32,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # Printable bytes stand for themselves, the others for characters from 256 on.
         kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
         moved = [b for b in range(256) if b not in kept]
         byte = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(moved)}
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if word not in special}
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("special tokens that take or ask for what stands beside them")
+        self.special = {t.content: i for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
+        ranks = {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if word not in self.special}
         self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
         """Unsigned 32-bit numbers in this machine's (little-endian) order."""
+        if self.cut is None or not self.cut.search(text):
+            return self._plain(text).tobytes()
+        out = array("I")
+        for part in self.cut.split(text):
+            out.extend([self.special[part]] if part in self.special else self._plain(part))
+        return out.tobytes()
+
+    def _plain(self, text: str) -> array:
         if not _UNSETTLED.search(text):
-            return array("I", self.merge(text)).tobytes()
+            return array("I", self.merge(text))
         first, *words = _BREAK.split(text)
         out = array("I")
         for unsettled, run in groupby([first, *[" " + w for w in words]], key=lambda w: bool(_UNSETTLED.search(w))):
             part = "".join(run)
             out.extend(self.tokenizer.encode(part, add_special_tokens=False).ids if unsettled else self.merge(part))
-        return out.tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self.ids(t) for t in texts]
