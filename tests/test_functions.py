@@ -95,11 +95,11 @@ def test_transforms(spark):
 
 
 def test_empty_tables(spark):
-    at = f"timeline_id string, user_id long, event_id long, event_type string, at {AT}, ts timestamp_ntz, value double, k long"
+    at = f"timeline_id string, user_id long, event_id long, event_type string, at {AT}, known {AT}, ts timestamp_ntz, value double, k long"
     none = spark.createDataFrame([], at)
     s = sequences.sequence(none)
     p = candidates.ordered_pairs(s)
-    assert p.count() == 0 and candidates.merge(candidates.temporal_proximity(p, {("a", "b"): (0, 1)})).count() == 0
+    assert p.count() == 0 and candidates.shared_identifier(candidates.near_pairs(none, "user_id", 10), "k").count() == 0
     assert sequences.gaps(s, ("a", "b")).count() == 0 and sequences.replay(s, {("x", "a"): "y"}).count() == 0
     assert rules.firings(none, [rules.CausalRule("r", "a", "b", 10, 0.5)], "user_id").count() == 0
     assert profiling.column_profile(none.select("event_type", "value")).count() == 0

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import in_window, separation, verdict
@@ -22,11 +23,88 @@ def ordered_pairs(sequenced: DataFrame, key: str = "timeline_id") -> DataFrame:
     cols = [c for c in sequenced.columns if c != key]
     a = sequenced.select(key, F.struct(*cols).alias("cause"))
     b = sequenced.select(key, F.struct(*cols).alias("effect"))
-    return a.join(b, key).where("cause.position < effect.position").select(key, "cause", "effect", *[F.col(f"{s}.at").alias(f"{s}_at") for s in ("cause", "effect")])
-
-
-def proposals(pairs: DataFrame, generator: str, strength: float, kind: str) -> DataFrame:
-    """source, target, types, generator, kind, strength, verdict of each pair."""
+    return a.join(b, key).where("cause.position < effect.position").select(key, "cause", "effect")
+
+
+def near_pairs(events: DataFrame, entity: str, most_us: int, ties: bool = False) -> DataFrame:
+    """(cause, effect) structs of an entity's events within a span, by a bucketed
+    band join: an event meets its own and the next bucket of that width only.
+    ties: events of one instant too, in order of their ids."""
+    rows = events.where(F.col(entity).isNotNull()).withColumn("us", F.unix_micros(F.col("at.t_earliest").cast("timestamp")))
+    bucket = F.floor(F.col("us") / most_us)
+    own = F.struct(*rows.columns)
+    a = rows.select(F.col(entity).alias("entity"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"), own.alias("cause"))
+    b = rows.select(F.col(entity).alias("entity"), bucket.alias("bucket"), own.alias("effect"))
+    gap = F.col("effect.us") - F.col("cause.us")
+    after = (gap > 0) | ((gap == 0) & (F.col("cause.event_id") < F.col("effect.event_id"))) if ties else gap > 0
+    # By merging: a pair is dearer than a row, so even a small log's pairs are dealt to all tasks.
+    return a.join(b.hint("merge"), ["entity", "bucket"]).where(after & (gap <= most_us)).select("cause", "effect")
+
+
+class Generator(NamedTuple):
+    """Proposes the pairs that fit, all of one kind and strength."""
+
+    name: str
+    kind: str
+    strength: float
+    fits: Column
+
+
+def judged(pairs: DataFrame, generators: Sequence[Generator], hops: int = 0) -> DataFrame:
+    """Of each (cause, effect) that some generator proposes: source, target, types,
+    verdict, hops, width (microseconds that the two times leave open) and whether
+    each generator (g0, g1, ...) does.  One pass, with nothing shuffled."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    open_ = sum(us(f"{e}.known.t_latest") - us(f"{e}.known.t_earliest") for e in ("cause", "effect"))
+    rows = pairs.select(
+        F.col("cause.event_id").alias("source"),
+        F.col("effect.event_id").alias("target"),
+        F.col("cause.event_type").alias("source_type"),
+        F.col("effect.event_type").alias("target_type"),
+        verdict("cause.known", "effect.known").alias("verdict"),
+        F.lit(hops).alias("hops"),
+        open_.alias("width"),
+        *[F.coalesce(g.fits, F.lit(False)).alias(f"g{i}") for i, g in enumerate(generators)],
+    )
+    return rows.where(" or ".join(f"g{i}" for i in range(len(generators))))
+
+
+def claimed(rows: DataFrame, generators: Sequence[Generator]) -> DataFrame:
+    """A row for each proposal of judged() pairs."""
+    hit = [
+        F.when(F.col(f"g{i}"), F.struct(F.lit(g.name).alias("generator"), F.lit(g.kind).alias("kind"), F.lit(g.strength).alias("strength")))
+        for i, g in enumerate(generators)
+    ]
+    own = rows.select("source", "target", "source_type", "target_type", "verdict", "hops", F.explode(F.array(*hit)).alias("hit"))
+    return own.where("hit is not null").select("*", "hit.*").drop("hit")
+
+
+def fused(rows: DataFrame, generators: Sequence[Generator]) -> DataFrame:
+    """judged() pairs, each of which comes once, as one candidate per pair and kind:
+    its generators, their strengths by noisy or, and that of its rules alone (0
+    if none proposes it)."""
+    kinds = []
+    for kind in sorted({g.kind for g in generators}):
+        own = [(F.col(f"g{i}"), g) for i, g in enumerate(generators) if g.kind == kind]
+        names = {g.name: reduce(lambda a, b: a | b, [c for c, x in own if x.name == g.name]) for _, g in own}
+        chance = lambda of: 1 - reduce(lambda a, b: a * b, [F.when(c, 1 - g.strength).otherwise(1.0) for c, g in of], F.lit(1.0))
+        claim = F.struct(
+            F.lit(kind).alias("kind"),
+            F.concat_ws(",", *[F.when(names[n], F.lit(n)) for n in sorted(names)]).alias("generators"),
+            sum((c.cast("bigint") for c in names.values()), F.lit(0).cast("bigint")).alias("n_generators"),
+            chance(own).alias("strength"),
+            chance([(c, g) for c, g in own if g.name == "rule_based"]).alias("rule"),
+        )
+        kinds.append(F.when(reduce(lambda a, b: a | b, [c for c, _ in own]), claim))
+    base = [c for c in rows.columns if not (c[0] == "g" and c[1:].isdigit())]
+    each = rows.select(*base, F.explode(F.array(*kinds)).alias("claim")).where("claim is not null")
+    return each.select(*base, "claim.*")
+
+
+def proposals(pairs: DataFrame, generator: str, strength: float, kind: str, hops: int = 0) -> DataFrame:
+    """source, target, types, generator, kind, strength, verdict and the links
+    between their entities (0: the same entity) of each pair.  The verdict goes
+    by the interval in which each event is known to lie."""
     return pairs.select(
         F.col("cause.event_id").alias("source"),
         F.col("effect.event_id").alias("target"),
@@ -35,27 +113,32 @@ def proposals(pairs: DataFrame, generator: str, strength: float, kind: str) -> D
         F.lit(generator).alias("generator"),
         F.lit(kind).alias("kind"),
         F.lit(strength).alias("strength"),
-        verdict("cause_at", "effect_at").alias("verdict"),
+        verdict("cause.known", "effect.known").alias("verdict"),
+        F.lit(hops).alias("hops"),
     )
 
 
 def temporal_proximity(pairs: DataFrame, windows: dict[tuple[str, str], tuple[int, int]], strength: float = 0.3) -> DataFrame:
     """Pairs whose separation overlaps the window declared for their types."""
-    low, high = separation("cause_at", "effect_at", clipped=True)
-    hit = [(F.col("cause.event_type") == a) & (F.col("effect.event_type") == b) & in_window(low, high, *w, unknown_fits=False) for (a, b), w in windows.items()]
-    return proposals(pairs.where(reduce(lambda x, y: x | y, hit, F.lit(False))), "temporal_proximity", strength, "DIRECT")
+    return proposals(pairs.where(within_windows(windows)), "temporal_proximity", strength, "DIRECT")
+
+
+def within_windows(windows: dict[tuple[str, str], tuple[int, int]]) -> Column:
+    low, high = separation("cause.at", "effect.at", clipped=True)
+    fits = lambda a, b, w: (F.col("cause.event_type") == a) & (F.col("effect.event_type") == b) & in_window(low, high, *w, unknown_fits=False)
+    return reduce(lambda x, y: x | y, [fits(a, b, w) for (a, b), w in windows.items()], F.lit(False))
 
 
 def shared_entity(events: DataFrame, entity: str, most_us: int, strength: float = 0.55) -> DataFrame:
-    """Pairs of events about one entity within a span, by a bucketed band join:
-    an event meets its own and the next bucket of that width only."""
-    width = F.lit(most_us)
-    at = F.unix_micros(F.col("at.t_earliest").cast("timestamp"))
-    rows = events.withColumn("us", at).withColumn("bucket", F.floor(at / width))
-    a = rows.select(F.col(entity).alias("entity"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.struct("event_id", "event_type", "us").alias("cause"), F.col("at").alias("cause_at"))
-    b = rows.select(F.col(entity).alias("entity"), "bucket", F.struct("event_id", "event_type", "us").alias("effect"), F.col("at").alias("effect_at"))
-    near = a.join(b, ["entity", "bucket"]).where((F.col("cause.us") < F.col("effect.us")) & (F.col("effect.us") - F.col("cause.us") <= width))
-    return proposals(near, "shared_entity", strength, "STRUCTURAL")
+    """Pairs of events about one entity within a span."""
+    return proposals(near_pairs(events, entity, most_us), "shared_entity", strength, "STRUCTURAL")
+
+
+def structural_path(events: DataFrame, tie: str, own: str, most_us: int, hops: int, strength: float = 0.45) -> DataFrame:
+    """Pairs of events of different entities (own) that a path of so many links
+    ties to one another (tie: what the path goes through), within a span."""
+    near = near_pairs(events, tie, most_us).where(F.col(f"cause.{own}") != F.col(f"effect.{own}"))
+    return proposals(near, "structural_path", strength, "STRUCTURAL", hops)
 
 
 def shared_identifier(pairs: DataFrame, field: str, strength: float = 0.35) -> DataFrame:
@@ -63,28 +146,35 @@ def shared_identifier(pairs: DataFrame, field: str, strength: float = 0.35) -> D
     return proposals(pairs.where(F.col(f"cause.{field}") == F.col(f"effect.{field}")), "shared_identifier", strength, "DIRECT")
 
 
-def type_pair_counts(pairs: DataFrame, sequenced: DataFrame, ordered: bool, key: str = "timeline_id") -> DataFrame:
+def type_pair_counts(events: DataFrame, ordered: bool, key: str = "timeline_id") -> DataFrame:
     """cause_type, effect_type, both, with_cause, with_effect, instances: in how
-    many timelines.  ordered: both counts an earlier cause only; else presence."""
-    types = sequenced.select(key, "event_type").distinct()
+    many timelines.  ordered: in how many some cause comes before some effect,
+    that is, the first of the one type before the last of the other, so only the
+    types of a timeline are joined, not its events; else presence."""
+    at = F.struct("at.t_earliest", "at.t_latest", "event_id")
+    place = [F.min(at).alias("first"), F.max(at).alias("last")] if ordered else [F.lit(1).alias("present")]
+    types = events.groupBy(key, "event_type").agg(*place)
     n = types.groupBy("event_type").agg(F.count("*").alias("n"))
     total = types.select(key).distinct().agg(F.count("*").alias("instances"))
-    if ordered:
-        seen = pairs.select(key, F.col("cause.event_type").alias("cause_type"), F.col("effect.event_type").alias("effect_type")).distinct()
-    else:
-        seen = types.withColumnRenamed("event_type", "cause_type").join(types.withColumnRenamed("event_type", "effect_type"), key).where("cause_type <> effect_type")
-    both = seen.groupBy("cause_type", "effect_type").agg(F.count("*").alias("both"))
+    a = types.select(key, F.col("event_type").alias("cause_type"), *(["first"] if ordered else []))
+    b = types.select(key, F.col("event_type").alias("effect_type"), *(["last"] if ordered else []))
+    both = a.join(b, key).where("first < last" if ordered else "cause_type <> effect_type").groupBy("cause_type", "effect_type").agg(F.count("*").alias("both"))
     return (
-        both.join(n.select(F.col("event_type").alias("cause_type"), F.col("n").alias("with_cause")), "cause_type")
-        .join(n.select(F.col("event_type").alias("effect_type"), F.col("n").alias("with_effect")), "effect_type")
+        both.join(F.broadcast(n.select(F.col("event_type").alias("cause_type"), F.col("n").alias("with_cause"))), "cause_type")
+        .join(F.broadcast(n.select(F.col("event_type").alias("effect_type"), F.col("n").alias("with_effect"))), "effect_type")
         .crossJoin(F.broadcast(total))
         .select("cause_type", "effect_type", "both", "with_cause", "with_effect", "instances")
     )
 
 
-def by_types(pairs: DataFrame, chosen: DataFrame, generator: str, strength: float) -> DataFrame:
-    """Pairs whose types are among the chosen (cause_type, effect_type)."""
-    hit = pairs.join(F.broadcast(chosen.select("cause_type", "effect_type")), (F.col("cause.event_type") == F.col("cause_type")) & (F.col("effect.event_type") == F.col("effect_type")), "left_semi")
+def by_types(pairs: DataFrame, chosen: DataFrame, generator: str, strength: float, both_ways: bool = False) -> DataFrame:
+    """Pairs whose types are among the chosen (cause_type, effect_type).  both_ways:
+    what tells no order proposes the reverse too where times leave it open."""
+    types = (F.col("cause.event_type") == F.col("cause_type")) & (F.col("effect.event_type") == F.col("effect_type"))
+    hit = pairs.select("cause", "effect").join(F.broadcast(chosen.select("cause_type", "effect_type")), types, "left_semi")
+    if both_ways:
+        open_ = hit.where(verdict("cause.known", "effect.known") == "UNDETERMINED")
+        hit = hit.union(open_.select("effect", "cause"))
     return proposals(hit, generator, strength, "STATISTICAL")
 
 
@@ -93,10 +183,19 @@ def rule_kind(rule: CausalRule) -> str:
 
 
 def rule_based(fired: DataFrame, rules: Sequence[CausalRule]) -> DataFrame:
-    """A proposal of each firing, as strong as its rule; a firing's cause is earlier."""
-    of = {"source_type": lambda r: r.cause_type, "target_type": lambda r: r.effect_type, "kind": rule_kind}
-    by = {c: reduce(lambda w, r: w.when(F.col("rule_id") == r.rule_id, v(r)), rules, F.when(F.lit(False), None)) for c, v in of.items()}
-    return fired.select("source", "target", by["source_type"].alias("source_type"), by["target_type"].alias("target_type"), F.lit("rule_based").alias("generator"), by["kind"].alias("kind"), "strength", F.lit("CERTAIN").alias("verdict"))
+    """A proposal of each firing (with its cause and effect), as strong as its rule."""
+    kind = reduce(lambda w, r: w.when(F.col("rule_id") == r.rule_id, rule_kind(r)), rules, F.when(F.lit(False), None))
+    return fired.select(
+        F.col("cause.event_id").alias("source"),
+        F.col("effect.event_id").alias("target"),
+        F.col("cause.event_type").alias("source_type"),
+        F.col("effect.event_type").alias("target_type"),
+        F.lit("rule_based").alias("generator"),
+        kind.alias("kind"),
+        "strength",
+        verdict("cause.known", "effect.known").alias("verdict"),
+        F.lit(0).alias("hops"),
+    )
 
 
 def connected_within(links: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
@@ -112,15 +211,6 @@ def connected_within(links: DataFrame, sources: DataFrame, hops: int) -> DataFra
     return found.groupBy("a", "b").agg(F.min("hops").alias("hops"))
 
 
-def merge(proposed: DataFrame) -> DataFrame:
-    """One candidate per (source, target, kind): generators, their strengths by noisy or."""
-    return proposed.groupBy("source", "target", "source_type", "target_type", "kind", "verdict").agg(
-        F.array_join(F.array_sort(F.collect_set("generator")), ",").alias("generators"),
-        F.count_distinct("generator").alias("n_generators"),
-        (1 - F.product(1 - F.col("strength"))).alias("strength"),
-    )
-
-
 def gate(candidates: DataFrame, prohibited: DataFrame | None = None) -> DataFrame:
     """reason: why a candidate is refused, null if it isn't.  Refused ones stay as rows."""
     if prohibited is None:

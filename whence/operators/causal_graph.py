@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .profiling import first_rows
 
 
@@ -59,50 +59,46 @@ def circuits(types: DataFrame, longest: int) -> DataFrame:
     return found
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table in the cluster's checkpoint folder, if it names one."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return df.persist()
-    path = f"{base.rstrip('/')}/walk-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, without: DataFrame | None = None) -> DataFrame:
-    """seed, node, distance of what each seed(set_id, node) reaches in up to depth
-    steps, the seed itself left out, in one loop for all of them.
+    """set_id, seed, node, distance of what each seed(set_id, node) reaches in up to
+    depth steps, the seed itself left out, in one loop for all of them.
 
-    edges(source, target); without(set_id, node): nodes that a set may not
-    enter.  Stops when nothing new is reached.
+    edges(source, target); without(set_id, node): nodes that a set may not enter.
+    A round reads one table of all that is known and writes
+    the next one; it stops when nothing new is reached.
     """
     e = edges.select("source", "target").distinct()
-    found = _written(seeds.select("set_id", F.col("node").alias("seed"), "node", F.lit(0).alias("distance")).distinct())
-    last = found
+    start = seeds.select("set_id", F.col("node").alias("seed"), "node").distinct()
+    known = written(start.withColumn("distance", F.lit(0)), "reach")
     for d in range(1, depth + 1):
-        step = last.join(e, last.node == e.source).select("set_id", "seed", F.col("target").alias("node")).distinct()
+        last = known.where(F.col("distance") == d - 1)
+        step = last.join(e, last.node == e.source).select("set_id", "seed", F.col("target").alias("node"), F.lit(d).alias("distance"))
         if without is not None:
-            step = step.join(without, ["set_id", "node"], "left_anti")
-        last = _written(step.join(found.select("set_id", "seed", "node"), ["set_id", "seed", "node"], "left_anti").withColumn("distance", F.lit(d)).select("set_id", "seed", "node", "distance"))
-        if last.isEmpty():
+            step = step.join(without.select("set_id", "node"), ["set_id", "node"], "left_anti")
+        merged = known.unionByName(step).groupBy("set_id", "seed", "node").agg(F.min("distance").alias("distance"))
+        known = written(merged, "reach")
+        if known.where(F.col("distance") == d).isEmpty():
             break
-        found = found.union(last)
-    return found.where("distance > 0")
+    return known.where("distance > 0")
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """seed, node, distance, routes, weight: shortest distance, how many routes of
-    at most depth steps without a circuit lead there, and the weakest link's
-    strength on the strongest of them.  Routes are rows, so depth bounds them."""
+    """seed, node, distance, routes, weight: shortest distance, in how many walks of
+    at most depth steps the node is reached, and the weakest link's strength on
+    the strongest of them.  A round keeps one row per seed and node, whatever the
+    number of walks; a walk that comes back to its seed ends there.
+
+    edges(source, target, scalar), one row per pair.
+    """
     e = edges.select("source", "target", "scalar")
-    paths = seeds.select(F.col("node").alias("seed"), F.col("node"), F.array("node").alias("path"), F.lit(1.0).alias("weak"))
+    last = seeds.select(F.col("node").alias("seed"), F.col("node"), F.lit(1).cast("bigint").alias("routes"), F.lit(1.0).alias("weight"))
     every = None
-    for _ in range(depth):
-        paths = paths.join(e, paths.node == e.source).where(~F.array_contains("path", F.col("target")))
-        paths = _written(paths.select("seed", F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"), F.least("weak", "scalar").alias("weak")))
-        every = paths if every is None else every.union(paths)
-    return every.groupBy("seed", "node").agg(F.min(F.size("path") - 1).alias("distance"), F.count("*").alias("routes"), F.max("weak").alias("weight"))
+    for d in range(1, depth + 1):
+        step = last.join(e, (last.node == e.source) & (e.target != last.seed)).groupBy("seed", F.col("target").alias("node"))
+        last = written(step.agg(F.sum("routes").alias("routes"), F.max(F.least("weight", "scalar")).alias("weight")), "walk")
+        found = last.withColumn("distance", F.lit(d))
+        every = found if every is None else every.union(found)
+    return every.groupBy("seed", "node").agg(F.min("distance").alias("distance"), F.sum("routes").alias("routes"), F.max("weight").alias("weight"))
 
 
 def motifs(edges: DataFrame, least: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.conditions import compile_condition
@@ -20,10 +20,18 @@ class CausalRule(NamedTuple):
     condition: tuple = ("all",)  # fields as cause.x and effect.x
 
 
-def firings(events: DataFrame, rules: Sequence[CausalRule], entity: str, order: str = "event_id") -> DataFrame:
-    """rule_id, source, target, strength of every pair that a rule's types, span
-    and condition fit.  Events are cut to the rules' types before the join, and
-    meet by entity and by buckets of the rule's span."""
+def fits(rule: CausalRule) -> Column:
+    """Does a (cause, effect) pair of one entity, with us, fit a rule?"""
+    gap = F.col("effect.us") - F.col("cause.us")
+    types = (F.col("cause.event_type") == rule.cause_type) & (F.col("effect.event_type") == rule.effect_type)
+    return types & (gap > 0) & (gap <= rule.within_us) & compile_condition(rule.condition)
+
+
+def firings(events: DataFrame, rules: Sequence[CausalRule], entity: str, order: str = "event_id", with_events: bool = False) -> DataFrame:
+    """rule_id, source, target, gap_us, strength (and cause, effect) of every pair
+    that a rule's types, span and condition fit.  Events are cut to the rules'
+    types before the join, and meet by entity and by buckets of the rule's span."""
+    kept = ["cause", "effect"] if with_events else []
     parts = []
     for rule in rules:
         us = F.unix_micros(F.col("at.t_earliest").cast("timestamp"))
@@ -32,7 +40,7 @@ def firings(events: DataFrame, rules: Sequence[CausalRule], entity: str, order:
         b = rows.where(F.col("event_type") == rule.effect_type).select(F.col(entity).alias("entity"), "bucket", F.struct(*rows.columns).alias("effect"))
         gap = F.col("effect.us") - F.col("cause.us")
         hit = a.join(b, ["entity", "bucket"]).where((gap > 0) & (gap <= rule.within_us) & compile_condition(rule.condition))
-        parts.append(hit.select(F.lit(rule.rule_id).alias("rule_id"), F.col(f"cause.{order}").alias("source"), F.col(f"effect.{order}").alias("target"), gap.alias("gap_us"), F.lit(rule.strength).alias("strength")))
+        parts.append(hit.select(F.lit(rule.rule_id).alias("rule_id"), F.col(f"cause.{order}").alias("source"), F.col(f"effect.{order}").alias("target"), gap.alias("gap_us"), F.lit(rule.strength).alias("strength"), *kept))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

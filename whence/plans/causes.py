@@ -1,4 +1,4 @@
-"""Queries on causes: rules, candidates, scores, the graph, what follows from it."""
+"""Queries on causes: scores, the graph, what follows from it."""
 
 from __future__ import annotations
 
@@ -6,243 +6,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import candidates, causal_graph, rules
+from ..operators import causal_graph
+from ..shared import written
 from ..sources import tables
-from .common import EDGES, HOUR, LOG, WINDOWS, pairs, proposed, query, sequenced
+from .claims import EDGES, LIFT, SHRINK, SQUASH, gated
+from .common import HOUR, LOG, pairs, query
 
-#: Declared parameters of scoring and promotion.
-PRIOR, REFERENCE, SATURATION = 20, 3.0, 3
-FLOORS = {"DIRECT": 0.22}
+#: Declared parameters of scoring and promotion, this library's own.
+SATURATION, GENERATORS, WIDE_US = 3, 7, 6 * HOUR
+FLOORS = {"DIRECT": 0.22, "CONDITIONAL": 0.3}
 BANDS = (("STRONG", 0.45), ("SUGGESTIVE", 0.22), ("WEAK", 0.0))
-RULES = (
-    rules.CausalRule("CLICK_FROM_VIEW", "view", "click", 6 * HOUR, 0.6),
-    rules.CausalRule("BUY_FROM_CLICK", "click", "purchase", 12 * HOUR, 0.8, ("effect.value", ">", 20)),
-    rules.CausalRule("BUY_FROM_VIEW", "view", "purchase", 24 * HOUR, 0.4, ("any", ("cause.k", "<", 50), ("not", ("effect.value", ">", 10)))),
-)
-_RULES_SQL = (
-    "WITH "
-    + LOG
-    + f""", fired AS (
-  SELECT 'CLICK_FROM_VIEW' AS rule_id, a.event_id AS source, b.event_id AS target, b.us - a.us AS gap_us, 0.6::DOUBLE AS strength FROM log a JOIN log b USING (user_id) WHERE a.event_type = 'view' AND b.event_type = 'click' AND b.us > a.us AND b.us - a.us <= {6 * HOUR}
-  UNION ALL SELECT 'BUY_FROM_CLICK', a.event_id, b.event_id, b.us - a.us, 0.8 FROM log a JOIN log b USING (user_id) WHERE a.event_type = 'click' AND b.event_type = 'purchase' AND b.us > a.us AND b.us - a.us <= {12 * HOUR} AND b.value > 20
-  UNION ALL SELECT 'BUY_FROM_VIEW', a.event_id, b.event_id, b.us - a.us, 0.4 FROM log a JOIN log b USING (user_id) WHERE a.event_type = 'view' AND b.event_type = 'purchase' AND b.us > a.us AND b.us - a.us <= {24 * HOUR} AND (coalesce(a.k < 50, false) OR NOT coalesce(b.value > 10, false)))"""
-)
-_COUNTS = """, types AS (SELECT DISTINCT timeline_id, event_type FROM seq), n AS (SELECT event_type, count(*) AS n FROM types GROUP BY 1), total AS (SELECT count(DISTINCT timeline_id) AS instances FROM seq),
-o AS (SELECT source_type AS cause_type, target_type AS effect_type, count(DISTINCT timeline_id) AS "both" FROM pairs GROUP BY 1, 2),
-rates AS (SELECT cause_type, effect_type, "both", a.n AS with_cause, b.n AS with_effect, instances FROM o JOIN n a ON a.event_type = cause_type JOIN n b ON b.event_type = effect_type, total)"""
-_LIFT = '("both" / with_cause) / (with_effect / instances)'
-_SQUASH = f"CASE WHEN {_LIFT} <= 1 THEN 0.0 ELSE least(1.0, ln({_LIFT}) / ln({REFERENCE})) END"
-_SHRINK = f'("both" / ("both" + {PRIOR}.0))'
-
-
-def _fired(spark, d) -> DataFrame:
-    return rules.firings(tables.log_events(spark, d), RULES, "user_id")
-
-
-@query(_RULES_SQL + "SELECT * FROM fired")
-def rule_causal_firings(spark, d):
-    """Every pair of a user's events that a declared rule fits."""
-    return _fired(spark, d)
-
-
-@query(_RULES_SQL + """, f AS (SELECT *, row_number() OVER (PARTITION BY target, rule_id ORDER BY gap_us DESC, source) AS r FROM fired WHERE rule_id IN ('BUY_FROM_CLICK', 'BUY_FROM_VIEW'))
-SELECT target, string_agg(source::VARCHAR, ',' ORDER BY rule_id) AS sources FROM f WHERE r = 1 GROUP BY 1 HAVING count(*) = 2""")
-def rule_joint(spark, d):
-    """Purchases that a click and a view both contribute to."""
-    return rules.joint(_fired(spark, d), ("BUY_FROM_CLICK", "BUY_FROM_VIEW"))
-
-
-@query(_RULES_SQL + "SELECT event_type, count(*) AS events, count(*) FILTER (event_id IN (SELECT target FROM fired)) AS explained, count(*) FILTER (event_id IN (SELECT target FROM fired)) / count(*) AS share FROM log GROUP BY 1")
-def rule_coverage(spark, d):
-    return rules.coverage(_fired(spark, d), tables.log_events(spark, d))
-
-
-@query(_RULES_SQL + "SELECT target, round(1 - product(1 - strength), 6) AS support, count(*) AS firings FROM fired GROUP BY 1")
-def rule_support(spark, d):
-    """Noisy or over the rules that explain an event."""
-    return _fired(spark, d).groupBy("target").agg(F.round(scoring.noisy_or(F.col("strength")), 6).alias("support"), F.count("*").alias("firings"))
-
-
-@query("WITH " + LOG + _COUNTS + "SELECT * FROM rates")
-def pair_base_rates(spark, d):
-    """In how many user-days one type comes before another."""
-    return candidates.type_pair_counts(pairs(spark, d), sequenced(spark, d), ordered=True)
-
-
-def _lifts(spark, d) -> DataFrame:
-    r = candidates.type_pair_counts(pairs(spark, d), sequenced(spark, d), ordered=True)
-    lift = scoring.lift(F.col("both"), F.col("with_cause"), F.col("with_effect"), F.col("instances"))
-    shrunk, squash = scoring.shrinkage(F.col("both"), PRIOR), scoring.squashed(lift, REFERENCE)
-    return r.select("cause_type", "effect_type", "both", lift.alias("lift"), scoring.blend(shrunk, squash, 2 / 3).alias("historical"), scoring.blend(shrunk, squash, 1 / 3).alias("statistical"))
-
-
-@query("WITH " + LOG + _COUNTS + f""", s AS (SELECT cause_type, effect_type, "both", {_LIFT} AS lift, {_SHRINK} AS sh, {_SQUASH} AS sq FROM rates)
-SELECT cause_type, effect_type, "both", round(lift, 6) AS lift, round(CASE WHEN sq <= 0 THEN 0 ELSE pow(sh, 2.0/3) * pow(sq, 1.0/3) END, 6) AS historical, round(CASE WHEN sq <= 0 THEN 0 ELSE pow(sh, 1.0/3) * pow(sq, 2.0/3) END, 6) AS statistical
-FROM s ORDER BY round(lift, 6) DESC, cause_type, effect_type LIMIT 10""")
-def pair_lift_topk(spark, d):
-    """The ten type pairs whose cause most raises the chance of its effect later that day."""
-    r = _lifts(spark, d).select("cause_type", "effect_type", "both", *[F.round(c, 6).alias(c) for c in ("lift", "historical", "statistical")])
-    return r.orderBy(F.col("lift").desc(), "cause_type", "effect_type").limit(10)
-
-
-@query("WITH " + LOG + """, types AS (SELECT DISTINCT timeline_id, event_type FROM seq), n AS (SELECT event_type, count(*) AS n FROM types GROUP BY 1), total AS (SELECT count(DISTINCT timeline_id) AS i FROM types),
-b AS (SELECT a.event_type AS cause_type, b.event_type AS effect_type, count(*) AS "both" FROM types a JOIN types b USING (timeline_id) WHERE a.event_type <> b.event_type GROUP BY 1, 2)
-SELECT cause_type, effect_type, "both", round(("both" / x.n) / (y.n / i), 6) AS lift FROM b JOIN n x ON x.event_type = cause_type JOIN n y ON y.event_type = effect_type, total""")
-def cooccurrence_lift(spark, d):
-    """Unordered: types on the same user-day, whichever came first."""
-    r = candidates.type_pair_counts(pairs(spark, d), sequenced(spark, d), ordered=False)
-    return r.select("cause_type", "effect_type", "both", F.round(scoring.lift(F.col("both"), F.col("with_cause"), F.col("with_effect"), F.col("instances")), 6).alias("lift"))
-
-
-_OUT = "SELECT source, target, source_type, target_type, '{g}' AS generator, '{k}' AS kind, {s}::DOUBLE AS strength, verdict FROM "
-_NEAR = " OR ".join(f"(source_type = '{a}' AND target_type = '{b}' AND b_us - a_us BETWEEN {lo} AND {hi})" for (a, b), (lo, hi) in WINDOWS.items())
-
-
-@query("WITH " + LOG + _OUT.format(g="temporal_proximity", k="DIRECT", s=0.3) + f"pairs WHERE {_NEAR}")
-def cand_temporal_proximity(spark, d):
-    return candidates.temporal_proximity(pairs(spark, d), WINDOWS)
-
-
-@query("WITH " + LOG + _OUT.format(g="shared_identifier", k="DIRECT", s=0.35) + "pairs WHERE floor(a_k / 10) = floor(b_k / 10)")
-def cand_shared_identifier(spark, d):
-    return candidates.shared_identifier(pairs(spark, d), "decade")
-
-
-@query("WITH " + LOG + f"SELECT a.event_id AS source, b.event_id AS target, a.event_type AS source_type, b.event_type AS target_type, 'shared_entity' AS generator, 'STRUCTURAL' AS kind, 0.55::DOUBLE AS strength, 'CERTAIN' AS verdict FROM log a JOIN log b USING (user_id) WHERE b.us > a.us AND b.us - a.us <= {2 * HOUR}")
-def cand_shared_entity(spark, d):
-    """Events of a user within two hours, across days too."""
-    return candidates.shared_entity(tables.log_events(spark, d), "user_id", 2 * HOUR)
-
-
-@query("WITH " + LOG + _COUNTS + ', chosen AS (SELECT cause_type, effect_type FROM rates WHERE "both" >= 5) ' + _OUT.format(g="historical_frequency", k="STATISTICAL", s=0.4) + "pairs JOIN chosen ON source_type = cause_type AND target_type = effect_type")
-def cand_historical_frequency(spark, d):
-    """Pairs whose types follow each other on five user-days or more."""
-    p = pairs(spark, d)
-    often = candidates.type_pair_counts(p, sequenced(spark, d), ordered=True).where(F.col("both") >= 5)
-    return candidates.by_types(p, often, "historical_frequency", 0.4)
-
-
-@query("WITH " + LOG + _COUNTS + f", chosen AS (SELECT cause_type, effect_type FROM rates WHERE round({_LIFT}, 6) >= 0.5) " + _OUT.format(g="statistical_association", k="STATISTICAL", s=0.2) + "pairs JOIN chosen ON source_type = cause_type AND target_type = effect_type")
-def cand_statistical_association(spark, d):
-    p = pairs(spark, d)
-    return candidates.by_types(p, _lifts(spark, d).where(F.round("lift", 6) >= 0.5), "statistical_association", 0.2)
-
-
-@query("""WITH RECURSIVE l AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), h AS (SELECT a, b, 1 AS hops FROM e WHERE a[1] IN ('n', 'r') UNION SELECT h.a, e.b, hops + 1 FROM h JOIN e ON h.b = e.a WHERE hops < 3 AND h.a <> e.b)
-SELECT a, b, min(hops) AS hops FROM h GROUP BY 1, 2""")
-def cand_structural_path(spark, d):
-    """What nations and regions are tied to by three links or fewer, suppliers among it."""
-    n, s = tables.table(spark, d, "nation"), tables.table(spark, d, "supplier")
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    links = n.select(name("n", "n_nationkey").alias("a"), name("r", "n_regionkey").alias("b")).union(s.select(name("s", "s_suppkey"), name("n", "s_nationkey")))
-    sources = n.select(name("n", "n_nationkey").alias("a")).union(n.select(name("r", "n_regionkey")))
-    return candidates.connected_within(links, sources, 3)
-
-
-_MERGED = EDGES + """, merged AS (SELECT source, target, source_type, target_type, kind, verdict, any_value(timeline_id) AS timeline_id, string_agg(DISTINCT generator, ',' ORDER BY generator) AS generators, count(DISTINCT generator) AS n_generators, 1 - product(1 - strength) AS strength
-  FROM proposed GROUP BY source, target, source_type, target_type, kind, verdict)"""
-
-
-@query("WITH " + _MERGED + "SELECT source, target, source_type, target_type, kind, verdict, generators, n_generators, round(strength, 6) AS strength FROM merged")
-def fuse_claims(spark, d):
-    """One candidate per pair and kind, from the proposals by proximity and identifier."""
-    return candidates.merge(proposed(spark, d)).withColumn("strength", F.round("strength", 6))
-
-
-@query("WITH " + _MERGED + "SELECT CASE WHEN source = target THEN 'SELF_EDGE' WHEN verdict = 'VIOLATION' THEN 'TEMPORAL_VIOLATION' WHEN source_type = 'error' THEN 'CONSTRAINT_SUPPRESSED' ELSE 'KEPT' END AS reason, kind, count(*) AS n FROM merged GROUP BY 1, 2")
-def lawtime_gate(spark, d):
-    """How many candidates are kept or refused, and why; errors may cause nothing."""
-    types = ("signup", "view", "click", "purchase", "error")
-    barred = spark.createDataFrame([("error", t) for t in types], "source_type string, target_type string")
-    g = candidates.gate(candidates.merge(proposed(spark, d)), barred)
-    return g.groupBy(F.coalesce("reason", F.lit("KEPT")).alias("reason"), "kind").agg(F.count("*").alias("n"))
-
-
-@query("WITH " + EDGES + ", t AS (SELECT *, row_number() OVER (PARTITION BY target, generator ORDER BY source, kind) AS turn FROM proposed), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY turn, generator) AS taken FROM t) SELECT source, target, generator FROM r WHERE taken <= 2")
-def round_robin_cap(spark, d):
-    """Two proposals per effect, from its generators in turn."""
-    return candidates.round_robin(proposed(spark, d), 2).select("source", "target", "generator")
-
-
-@query("WITH " + EDGES + ", e AS (SELECT DISTINCT source, target FROM proposed) SELECT x.source AS a, x.target AS b, y.target AS c FROM e x JOIN e y ON x.target = y.source JOIN e z ON z.source = x.source AND z.target = y.target")
-def confounding_triangles(spark, d):
-    return candidates.triangles(proposed(spark, d))
-
-
-_RULE_TYPES = {c: "CASE rule_id " + " ".join(f"WHEN '{r.rule_id}' THEN '{v(r)}'" for r in RULES) + " END" for c, v in (("source_type", lambda r: r.cause_type), ("target_type", lambda r: r.effect_type), ("kind", candidates.rule_kind))}
-_BY_RULE = f"SELECT source, target, {_RULE_TYPES['source_type']} AS source_type, {_RULE_TYPES['target_type']} AS target_type, 'rule_based' AS generator, {_RULE_TYPES['kind']} AS kind, strength, 'CERTAIN' AS verdict FROM fired"
-_EVERY = (
-    _RULES_SQL
-    + _COUNTS
-    + f""", every AS ({_BY_RULE}
-  UNION ALL {_OUT.format(g="temporal_proximity", k="DIRECT", s=0.3)} pairs WHERE {_NEAR}
-  UNION ALL {_OUT.format(g="shared_identifier", k="DIRECT", s=0.35)} pairs WHERE floor(a_k / 10) = floor(b_k / 10)
-  UNION ALL SELECT a.event_id, b.event_id, a.event_type, b.event_type, 'shared_entity', 'STRUCTURAL', 0.55, 'CERTAIN' FROM log a JOIN log b USING (user_id) WHERE b.us > a.us AND b.us - a.us <= {2 * HOUR}
-  UNION ALL {_OUT.format(g="historical_frequency", k="STATISTICAL", s=0.4)} pairs JOIN rates ON source_type = cause_type AND target_type = effect_type WHERE "both" >= 5
-  UNION ALL {_OUT.format(g="statistical_association", k="STATISTICAL", s=0.2)} pairs JOIN rates ON source_type = cause_type AND target_type = effect_type WHERE round({_LIFT}, 6) >= 0.5),
-merged AS (SELECT source, target, source_type, target_type, kind, verdict, string_agg(DISTINCT generator, ',' ORDER BY generator) AS generators, count(DISTINCT generator) AS n_generators, round(1 - product(1 - strength), 6) AS strength
-  FROM every GROUP BY source, target, source_type, target_type, kind, verdict)"""
-)
-
-
-@query(_RULES_SQL + _BY_RULE)
-def cand_rule_based(spark, d):
-    """One proposal per firing, conditional where the rule has a condition."""
-    return candidates.rule_based(_fired(spark, d), RULES)
-
-
-@query(_EVERY + "SELECT *, CASE WHEN source = target THEN 'SELF_EDGE' WHEN verdict = 'VIOLATION' THEN 'TEMPORAL_VIOLATION' WHEN source_type = 'error' THEN 'CONSTRAINT_SUPPRESSED' END AS reason FROM merged")
-def fuse_every_claim(spark, d):
-    """One candidate per pair and kind from the proposals of all six generators over
-    events, with the gate's reason where it is refused; errors may cause nothing."""
-    every = proposed(spark, d)
-    for generator in (cand_shared_entity, cand_historical_frequency, cand_statistical_association, cand_rule_based):
-        every = every.unionByName(generator(spark, d))
-    types = ("signup", "view", "click", "purchase", "error")
-    barred = spark.createDataFrame([("error", t) for t in types], "source_type string, target_type string")
-    return candidates.gate(candidates.merge(every).withColumn("strength", F.round("strength", 6)), barred)
+#: How much a contradiction of each kind takes from the freedom of contradictions.
+REVERSED, BARRED = 0.5, 0.3
 
 
 # -- scores ---------------------------------------------------------------
 
 _SCORES = (
-    _MERGED
-    + _COUNTS
-    + f""", l AS (SELECT cause_type, effect_type, {_SHRINK} AS sh, {_SQUASH} AS sq FROM rates), scored AS (
-  SELECT m.*, strength AS rule, CASE WHEN sq <= 0 THEN 0 ELSE pow(sh, 2.0/3) * pow(sq, 1.0/3) END AS historical, CASE WHEN sq <= 0 THEN 0 ELSE pow(sh, 1.0/3) * pow(sq, 2.0/3) END AS statistical,
-    (n_generators - 1) / 1.0 AS diversity, n_generators / (n_generators + {SATURATION}.0) AS evidence, CASE verdict WHEN 'CERTAIN' THEN 1.0 ELSE 0.15 END AS temporal,
-    CASE WHEN EXISTS (SELECT 1 FROM merged o WHERE o.source = m.target AND o.target = m.source) THEN 1 / 1.3 ELSE 1.0 END AS freedom
-  FROM merged m LEFT JOIN l ON source_type = cause_type AND target_type = effect_type), graded AS (
-  SELECT *, least((0.28 * rule + 0.17 * coalesce(historical, 0) + 0.17 * coalesce(statistical, 0) + 0.16 * diversity + 0.12 * evidence + 0.10 * 1.0) / 1.0,
-    CASE WHEN temporal >= 1 THEN 1.0 ELSE 0.25 + temporal / 0.3 * 0.3 END, CASE WHEN freedom >= 1 THEN 1.0 ELSE 0.6 + (freedom - 0.5) / 0.5 * 0.4 END) AS scalar FROM scored)"""
+    EDGES
+    + f""", l AS (SELECT cause_type, effect_type, {SHRINK} AS sh, {SQUASH} AS sq FROM rates), wl AS (SELECT cause_type, effect_type, {SHRINK} AS sh, {SQUASH} AS sq FROM weekly),
+scored AS (
+  SELECT m.*, CASE WHEN l.sq <= 0 THEN 0 ELSE pow(l.sh, 2.0/3) * pow(l.sq, 1.0/3) END AS historical, CASE WHEN wl.sq <= 0 THEN 0 ELSE pow(wl.sh, 1.0/3) * pow(wl.sq, 2.0/3) END AS statistical,
+    (n_generators - 1) / {GENERATORS - 1}.0 AS diversity, n_generators / (n_generators + {SATURATION}.0) AS evidence, pow(2.0, -hops) AS connectivity,
+    CASE verdict WHEN 'CERTAIN' THEN 1 / (1 + (a.hi - a.lo + b.hi - b.lo) / {WIDE_US}.0) WHEN 'UNDETERMINED' THEN 0.15 ELSE 0.0 END AS temporal,
+    1 / (1 + CASE WHEN o.source IS NULL THEN 0 ELSE {REVERSED} END + CASE WHEN barred.n IS NULL THEN 0 ELSE {BARRED} END) AS freedom
+  FROM (SELECT * FROM merged WHERE reason IS NULL) m JOIN log a ON a.event_id = m.source JOIN log b ON b.event_id = m.target
+    LEFT JOIN l ON source_type = l.cause_type AND target_type = l.effect_type LEFT JOIN wl ON source_type = wl.cause_type AND target_type = wl.effect_type
+    LEFT JOIN (SELECT DISTINCT source, target FROM merged WHERE reason IS NULL) o ON o.source = m.target AND o.target = m.source
+    LEFT JOIN (SELECT target, count(*) AS n FROM merged WHERE reason = 'CONSTRAINT_SUPPRESSED' GROUP BY 1) barred ON barred.target = m.target
+), graded AS (
+  SELECT *, least((0.28 * rule + 0.17 * coalesce(historical, 0) + 0.17 * coalesce(statistical, 0) + 0.16 * diversity + 0.12 * evidence + 0.10 * connectivity) / 1.0,
+    CASE WHEN temporal <= 0.3 THEN 0.25 + temporal / 0.3 * 0.3 WHEN temporal <= 0.6 THEN 0.55 + (temporal - 0.3) / 0.3 * 0.25 ELSE 0.8 + (temporal - 0.6) / 0.4 * 0.2 END,
+    CASE WHEN freedom <= 0.5 THEN 0.1 + freedom / 0.5 * 0.5 ELSE 0.6 + (freedom - 0.5) / 0.5 * 0.4 END) AS scalar FROM scored)"""
 )
 
 
 def scored(spark, d) -> DataFrame:
-    """Candidates with their components and the gated mean of them."""
-    m = candidates.merge(proposed(spark, d))
-    rates = F.broadcast(_lifts(spark, d).select(F.col("cause_type").alias("source_type"), F.col("effect_type").alias("target_type"), "historical", "statistical"))
-    reverse = m.select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit(1).alias("reverse")).distinct()
-    rows = m.join(rates, ["source_type", "target_type"], "left").join(reverse, ["source", "target"], "left")
+    """Candidates that passed the gate, with their components and the gated mean.
+
+    Contradictions: the reverse is a candidate too, or the effect has a cause that
+    a constraint bars."""
+    every = gated(spark, d)
+    m = every.where("reason is null")
+    reverse = m.where("verdict = 'UNDETERMINED'")  # what is certain one way can't be the other way
+    reverse = reverse.select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit(REVERSED).alias("reversed")).distinct()
+    barred = every.where("reason = 'CONSTRAINT_SUPPRESSED'").select("target", F.lit(BARRED).alias("barred")).distinct()
+    rows = m.join(reverse, ["source", "target"], "left").join(barred, "target", "left")
+    sure = 1 / (1 + F.col("width") / float(WIDE_US))
+    zero = F.lit(0.0)
     rows = rows.withColumns(
         {
-            "rule": F.col("strength"),
-            "diversity": (F.col("n_generators") - 1) / 1.0,
+            "diversity": (F.col("n_generators") - 1) / (GENERATORS - 1),
             "evidence": F.col("n_generators") / (F.col("n_generators") + SATURATION),
-            "temporal": F.when(F.col("verdict") == "CERTAIN", 1.0).otherwise(0.15),
-            "freedom": F.when(F.col("reverse").isNotNull(), 1 / 1.3).otherwise(1.0),
+            "connectivity": F.pow(F.lit(2.0), -F.col("hops")),
+            "temporal": F.when(F.col("verdict") == "CERTAIN", sure).when(F.col("verdict") == "UNDETERMINED", 0.15).otherwise(0.0),
+            "freedom": 1 / (1 + F.coalesce("reversed", zero) + F.coalesce("barred", zero)),
         }
     )
-    parts: dict[str, Column] = {k: F.col(k) for k in ("rule", "historical", "statistical", "diversity", "evidence")} | {"connectivity": F.lit(1.0)}
-    return rows.withColumn("scalar", scoring.gated_mean(parts, F.col("temporal"), F.col("freedom"))).drop("reverse")
+    parts: dict[str, Column] = {k: F.col(k) for k in ("rule", "historical", "statistical", "diversity", "evidence", "connectivity")}
+    rows = rows.withColumn("scalar", scoring.gated_mean(parts, F.col("temporal"), F.col("freedom")))
+    return rows.drop("reversed", "barred", "width")
 
 
-@query("WITH " + _SCORES + "SELECT source, target, kind, round(rule, 6) AS rule, round(coalesce(historical, 0), 6) AS historical, round(coalesce(statistical, 0), 6) AS statistical, round(diversity, 6) AS diversity, round(evidence, 6) AS evidence, round(scalar, 6) AS scalar FROM graded")
+@query("WITH " + _SCORES + "SELECT source, target, kind, round(rule, 6) AS rule, round(coalesce(historical, 0), 6) AS historical, round(coalesce(statistical, 0), 6) AS statistical, round(diversity, 6) AS diversity, round(evidence, 6) AS evidence, round(connectivity, 6) AS connectivity, round(temporal, 6) AS temporal, round(freedom, 6) AS freedom, round(scalar, 6) AS scalar FROM graded")
 def gated_confidence(spark, d):
     """Every candidate's components and gated confidence."""
     s = scored(spark, d)
-    return s.select("source", "target", "kind", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("rule", "historical", "statistical", "diversity", "evidence", "scalar")])
+    return s.select("source", "target", "kind", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("rule", "historical", "statistical", "diversity", "evidence", "connectivity", "temporal", "freedom", "scalar")])
 
 
 _BAND = "CASE WHEN round(scalar, 6) >= 0.45 THEN 'STRONG' WHEN round(scalar, 6) >= 0.22 THEN 'SUGGESTIVE' ELSE 'WEAK' END"
@@ -263,9 +93,9 @@ def component_tallies(spark, d):
 
 # -- the graph ------------------------------------------------------------
 
-_DECIDED = _SCORES + """, decided AS (SELECT *, CASE WHEN kind <> 'DIRECT' THEN 'NO_THRESHOLD' WHEN n_generators < 1 THEN 'INSUFFICIENT_EVIDENCE' WHEN verdict = 'VIOLATION' THEN 'TEMPORAL_MISMATCH'
-  WHEN verdict <> 'CERTAIN' THEN 'NOT_CERTAIN' WHEN round(scalar, 6) < 0.22 THEN 'BELOW_THRESHOLD' ELSE 'PROMOTED' END AS decision FROM graded),
-promoted AS (SELECT source, target, source_type, target_type, timeline_id, kind, round(scalar, 6) AS scalar FROM decided WHERE decision = 'PROMOTED')"""
+_DECIDED = _SCORES + """, decided AS (SELECT *, CASE WHEN kind NOT IN ('DIRECT', 'CONDITIONAL') THEN 'NO_THRESHOLD' WHEN n_generators < 1 THEN 'INSUFFICIENT_EVIDENCE' WHEN verdict = 'VIOLATION' THEN 'TEMPORAL_MISMATCH'
+  WHEN verdict <> 'CERTAIN' THEN 'NOT_CERTAIN' WHEN round(scalar, 6) < CASE kind WHEN 'DIRECT' THEN 0.22 ELSE 0.3 END THEN 'BELOW_THRESHOLD' ELSE 'PROMOTED' END AS decision FROM graded),
+promoted AS (SELECT source, target, source_type, target_type, timeline_id, kind, round(scalar, 6) AS scalar FROM decided JOIN log ON event_id = source WHERE decision = 'PROMOTED')"""
 
 
 def decided(spark, d) -> DataFrame:
@@ -340,7 +170,7 @@ def _seeds(edges: DataFrame) -> DataFrame:
 
 
 def _edges(spark, d) -> DataFrame:
-    return causal_graph._written(promoted(spark, d).select("source", "target", "source_type", "target_type", "kind", "scalar"))
+    return written(promoted(spark, d).select("source", "target", "source_type", "target_type", "kind", "scalar"), "edges")
 
 
 @query("WITH RECURSIVE " + _DECIDED + _SEEDS + """, e AS (SELECT DISTINCT source, target FROM promoted), r AS (SELECT seed, seed AS node, 0 AS distance FROM seeds UNION SELECT r.seed, e.target, distance + 1 FROM r JOIN e ON r.node = e.source WHERE distance < 4)
@@ -373,7 +203,7 @@ def ancestors(spark, d):
     return back.select(F.col("seed").alias("outcome"), F.col("node").alias("cause"), "distance", rank.alias("earliness"))
 
 
-_WALK = """, e AS (SELECT source, target, max(scalar) AS scalar FROM promoted GROUP BY 1, 2), r AS (SELECT seed, seed AS node, [seed] AS path, 1.0::DOUBLE AS weak FROM seeds UNION ALL SELECT r.seed, e.target, list_append(path, e.target), least(weak, scalar) FROM r JOIN e ON r.node = e.source WHERE NOT list_contains(path, e.target) AND len(path) <= 3)"""
+_WALK = """, e AS (SELECT source, target, max(scalar) AS scalar FROM promoted GROUP BY 1, 2), r AS (SELECT seed, seed AS node, [seed] AS path, 1.0::DOUBLE AS weak FROM seeds UNION ALL SELECT r.seed, e.target, list_append(path, e.target), least(weak, scalar) FROM r JOIN e ON r.node = e.source WHERE e.target <> seed AND len(path) <= 3)"""
 
 
 def _walk(spark, d) -> DataFrame:
@@ -388,28 +218,6 @@ def propagation_walk(spark, d):
     return _walk(spark, d)
 
 
-@query("WITH RECURSIVE " + _DECIDED + _SEEDS + _WALK + """, w AS (SELECT seed, node, max(weak) AS weight FROM r WHERE len(path) > 1 GROUP BY 1, 2)
-SELECT seed AS cause, count(*) AS consequences, round(sum(value), 4) AS prevented, round(sum(value * weight), 4) AS sequencing FROM w JOIN log ON node = event_id WHERE event_type = 'purchase' GROUP BY 1 ORDER BY round(sum(value * weight), 4) DESC, cause LIMIT 20""")
-def root_cause_ranking(spark, d):
-    """The twenty views and signups that most purchase value hangs on."""
-    value = tables.log_events(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("node"), "value")
-    w = _walk(spark, d).join(value, "node")
-    r = w.groupBy(F.col("seed").alias("cause")).agg(F.count("*").alias("consequences"), F.round(F.sum("value"), 4).alias("prevented"), F.round(F.sum(F.col("value") * F.col("weight")), 4).alias("sequencing"))
-    return r.orderBy(F.col("sequencing").desc(), "cause").limit(20)
-
-
-@query("WITH " + _DECIDED + """, t AS (SELECT target, kind, sum(scalar) AS lost, count(*) AS links FROM promoted WHERE source_type = 'view' GROUP BY 1, 2), a AS (SELECT target, sum(scalar) AS every, count(*) AS n FROM promoted GROUP BY 1), x AS (SELECT target, sum(lost) AS lost, sum(links) AS links FROM t GROUP BY 1)
-SELECT a.target, n = links AS eliminated, round(CASE WHEN n = links THEN 0 ELSE value * (1 - lost / every) END, 4) AS reading, round(value, 4) AS before FROM a JOIN x USING (target) JOIN log ON event_id = a.target""")
-def counterfactual_diff(spark, d):
-    """Without any view: an effect all of whose links stop is gone, the others keep what is left of their share."""
-    e = causal_graph.share_of_incoming(promoted(spark, d))
-    stopped = F.col("source_type") == "view"
-    r = e.groupBy("target").agg(F.sum(F.when(stopped, F.col("weight")).otherwise(0.0)).alias("lost"), F.count_if(stopped).alias("links"), F.count("*").alias("n")).where("links > 0")
-    r = r.join(tables.log_events(spark, d).select(F.col("event_id").alias("target"), "value"), "target")
-    gone = F.col("links") == F.col("n")
-    return r.select("target", gone.alias("eliminated"), F.round(F.when(gone, 0.0).otherwise(F.col("value") * (1 - F.col("lost"))), 4).alias("reading"), F.round("value", 4).alias("before"))
-
-
 @query("WITH " + LOG + """, g AS (SELECT source_type, target_type, count(*) AS witnesses, min(b_us - a_us) AS low, max(b_us - a_us) AS high FROM pairs GROUP BY 1, 2)
 SELECT source_type, target_type, witnesses, low, high, CASE WHEN 43200000000 BETWEEN low AND high THEN 'WITHIN' WHEN greatest(low - 43200000000, 43200000000 - high) <= 0.1 * (high - low) THEN 'AT_EDGE' ELSE 'EXTRAPOLATION' END AS verdict FROM g""")
 def support_envelopes(spark, d):

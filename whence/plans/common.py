@@ -13,32 +13,32 @@ SQL: dict[str, str] = {}
 
 #: Windows in which one type of event may follow another, in microseconds.
 HOUR = 3_600_000_000
-WINDOWS = {("view", "click"): (0, 6 * HOUR), ("click", "purchase"): (0, 12 * HOUR), ("view", "purchase"): (HOUR, 24 * HOUR), ("error", "error"): (0, 8 * HOUR), ("signup", "view"): (0, 24 * HOUR)}
+WINDOWS = {
+    ("view", "click"): (0, 6 * HOUR),
+    ("click", "purchase"): (0, 12 * HOUR),
+    ("view", "purchase"): (HOUR, 24 * HOUR),
+    ("error", "error"): (0, 8 * HOUR),
+    ("signup", "view"): (0, 24 * HOUR),
+}
 STEPS = ("signup", "view", "click", "purchase")
 
-#: The log in SQL: events in order within a user's day.
+#: The log in SQL: events in order within a user's day, and the interval [lo, hi] in which each is known to lie.
 LOG = """
 log AS (
   SELECT event_id, user_id || '@' || strftime(ts, '%Y-%m-%d') AS timeline_id, user_id, event_type, ts, epoch_us(ts) AS us, value,
-    TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+    TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+    CASE event_type WHEN 'signup' THEN epoch_us(date_trunc('hour', ts)) WHEN 'error' THEN epoch_us(date_trunc('minute', ts)) ELSE epoch_us(ts) END AS lo,
+    CASE event_type WHEN 'signup' THEN epoch_us(date_trunc('hour', ts)) + 3599999999 WHEN 'error' THEN epoch_us(date_trunc('minute', ts)) + 59999999
+      ELSE epoch_us(ts) END AS hi FROM events
 ), seq AS (
   SELECT *, row_number() OVER (PARTITION BY timeline_id ORDER BY ts, event_id) - 1 AS position FROM log
 ), pairs AS (
   SELECT a.timeline_id, a.event_id AS source, b.event_id AS target, a.event_type AS source_type, b.event_type AS target_type,
     a.us AS a_us, b.us AS b_us, a.k AS a_k, b.k AS b_k, a.value AS a_value, b.value AS b_value,
-    CASE WHEN a.ts >= b.ts THEN 'VIOLATION' ELSE 'CERTAIN' END AS verdict
+    CASE WHEN a.lo >= b.hi THEN 'VIOLATION' WHEN a.hi < b.lo THEN 'CERTAIN' ELSE 'UNDETERMINED' END AS verdict
   FROM seq a JOIN seq b ON a.timeline_id = b.timeline_id AND a.position < b.position
 )
 """
-_windows = " OR ".join(f"(source_type = '{a}' AND target_type = '{b}' AND b_us - a_us BETWEEN {lo} AND {hi})" for (a, b), (lo, hi) in WINDOWS.items())
-#: Candidate edges in SQL: proximity and shared identifier, merged.
-EDGES = (
-    LOG
-    + f""", proposed AS (
-  SELECT *, 'temporal_proximity' AS generator, 'DIRECT' AS kind, 0.3::DOUBLE AS strength FROM pairs WHERE {_windows}
-  UNION ALL SELECT *, 'shared_identifier', 'DIRECT', 0.35::DOUBLE FROM pairs WHERE floor(a_k / 10) = floor(b_k / 10)
-)"""
-)
 
 
 def query(sql: str | None = None):
@@ -57,8 +57,3 @@ def sequenced(spark: SparkSession, d: str) -> DataFrame:
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     return candidates.ordered_pairs(sequenced(spark, d))
-
-
-def proposed(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d)
-    return candidates.temporal_proximity(p, WINDOWS).union(candidates.shared_identifier(p, "decade"))

@@ -86,11 +86,13 @@ def row_validation_counts(spark, d):
     return counts.join(first, "code")
 
 
-@query("""SELECT count(*) AS read, count(*) FILTER (l_shipdate >= o_orderdate) AS clean, count(*) FILTER (NOT l_shipdate >= o_orderdate) AS quarantined FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+@query("""SELECT count(*) AS read, count(*) FILTER (l_shipdate >= o_orderdate) AS clean, count(*) FILTER (NOT l_shipdate >= o_orderdate) AS quarantined,
+  count(*) FILTER (o_orderkey IS NULL) AS orphans FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""")
 def row_reconciliation(spark, d):
     o, line = tables.table(spark, d, "orders"), tables.table(spark, d, "lineitem")
     ok = F.col("l_shipdate") >= F.col("o_orderdate")
-    return line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).agg(F.count("*").alias("read"), F.count_if(ok).alias("clean"), F.count_if(~ok).alias("quarantined"))
+    j = line.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return j.agg(F.count("*").alias("read"), F.count_if(ok).alias("clean"), F.count_if(~ok).alias("quarantined"), F.count_if(F.col("o_orderkey").isNull()).alias("orphans"))
 
 
 @query("""SELECT date_diff('day', o_orderdate::DATE, l_shipdate::DATE) - l_linenumber AS residual_days, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")

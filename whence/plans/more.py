@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import causal_graph, rules
 from ..sources import tables
-from .causes import _DECIDED, _RULES_SQL, _edges, _fired, decided, promoted
-from .common import EDGES, HOUR, LOG, proposed, query, sequenced
+from .causes import _DECIDED, _edges, decided, promoted
+from .claims import EDGES, RULES_SQL, _fired, proposed
+from .common import HOUR, LOG, query, sequenced
 
 
-@query(_RULES_SQL + ", c AS (SELECT f.*, EXISTS (SELECT 1 FROM log a JOIN log x USING (user_id) JOIN log b USING (user_id) WHERE a.event_id = f.source AND b.event_id = f.target AND x.event_type = 'error' AND x.us > a.us AND x.us < b.us) AS suppressed FROM fired f) SELECT rule_id, suppressed, count(*) AS n FROM c GROUP BY 1, 2")
+@query(RULES_SQL + ", c AS (SELECT f.*, EXISTS (SELECT 1 FROM log a JOIN log x USING (user_id) JOIN log b USING (user_id) WHERE a.event_id = f.source AND b.event_id = f.target AND x.event_type = 'error' AND x.us > a.us AND x.us < b.us) AS suppressed FROM fired f) SELECT rule_id, suppressed, count(*) AS n FROM c GROUP BY 1, 2")
 def rule_constraint_suppression(spark, d):
     """A declared constraint: a firing doesn't stand if an error lies between.
 
@@ -38,11 +39,17 @@ def joint_groups(spark, d):
     return decided(spark, d).groupBy("target").agg(F.count("*").alias("members"), F.bool_and(F.col("decision") == "PROMOTED").alias("stands")).where("members >= 2")
 
 
-@query("WITH " + _DECIDED + "SELECT source_type, count(*) AS edges, sum(('0x' || substr(sha256(source || '>' || target || '>' || kind), 1, 12))::BIGINT % 1000003)::BIGINT AS fingerprint FROM promoted GROUP BY 1")
+@query(
+    "WITH "
+    + _DECIDED
+    + """, h AS (SELECT source_type, sha256(source || '>' || target || '>' || kind) AS h FROM promoted)
+SELECT source_type, count(*) AS edges, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS fingerprint FROM h GROUP BY 1"""
+)
 def projection_fingerprint(spark, d):
     """An order-free fingerprint of the promoted graph, by cause type."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws(">", F.col("source").cast("string"), F.col("target").cast("string"), "kind").cast("binary"), 256), 1, 12), 16, 10).cast("bigint")
-    return promoted(spark, d).groupBy("source_type").agg(F.count("*").alias("edges"), F.sum(h % 1000003).alias("fingerprint"))
+    h = F.sha2(F.concat_ws(">", F.col("source").cast("string"), F.col("target").cast("string"), "kind").cast("binary"), 256)
+    half = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return promoted(spark, d).groupBy("source_type").agg(F.count("*").alias("edges"), F.concat_ws(":", half(1), half(16)).alias("fingerprint"))
 
 
 @query("""WITH s AS (SELECT o_orderkey, o_orderstatus AS state, o_orderdate AS valid_from, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5) AS known_from FROM orders), l AS (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1),
@@ -72,15 +79,6 @@ def intervention_admission(spark, d):
     return i.groupBy("intervention", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("WITH " + _DECIDED + ", w AS (SELECT source, target, scalar / sum(scalar) OVER (PARTITION BY target) AS weight FROM promoted), b AS (SELECT source, sum(value * weight) AS benefit FROM w JOIN log ON target = event_id GROUP BY 1) SELECT factor, count(*) AS causes, round(sum(benefit * factor), 3) AS benefit FROM b, unnest([0.5, 1.0, 2.0]::DOUBLE[]) f(factor) GROUP BY 1")
-def sensitivity(spark, d):
-    """What removing causes would save if links were half or twice as strong."""
-    value = tables.log_events(spark, d).select(F.col("event_id").alias("target"), "value")
-    b = causal_graph.share_of_incoming(promoted(spark, d)).join(value, "target").groupBy("source").agg(F.sum(F.col("value") * F.col("weight")).alias("benefit"))
-    long = b.select("source", "benefit", F.explode(F.array(*[F.lit(x) for x in (0.5, 1.0, 2.0)])).alias("factor"))
-    return long.groupBy("factor").agg(F.count("*").alias("causes"), F.round(F.sum(F.col("benefit") * F.col("factor")), 3).alias("benefit"))
-
-
 @query("WITH " + _DECIDED + ", r AS (SELECT source, source_type, count(*) AS effects, avg(scalar) AS belief FROM promoted GROUP BY 1, 2) SELECT source, CASE WHEN effects >= 3 THEN 'HIGH_LEVERAGE' WHEN source_type = 'view' THEN 'LOW_COST' WHEN source NOT IN (SELECT target FROM promoted) THEN 'EARLY' END AS basis, CASE WHEN source_type = 'error' THEN 'NOT_ACTIONABLE' WHEN belief < 0.23 THEN 'BELIEF_TOO_LOW' ELSE 'PROPOSED' END AS verdict FROM r WHERE effects >= 3 OR source_type = 'view' OR source NOT IN (SELECT target FROM promoted)")
 def candidate_interventions(spark, d):
     """Causes worth acting on: of many effects, cheap, or first in their chain."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import causes, ingest, more, streams, timelines  # noqa: F401  each adds its queries
+from .plans import causes, claims, ingest, more, streams, timelines, worlds  # noqa: F401  each adds its queries
 from .plans.common import QUERIES, SQL
 
 

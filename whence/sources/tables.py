@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.temporal import interval
 
 
+#: Types of event whose time is known to an hour or a minute only; of others it is exact.
+KNOWN_TO = {"signup": "HOUR", "error": "MINUTE"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, timeline_id (user and day), user_id, event_type, at (interval),
-    value, k (the number in props) and its decade.  The log's times are exact."""
+    value, k (the number in props) and its decade.  The log's times are exact;
+    known is the interval that a declared precision of the type leaves."""
     e = table(spark, sf_dir, "events")
     day = F.date_format(F.to_date("ts"), "yyyy-MM-dd")
     return e.select(
@@ -23,6 +30,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "event_type",
         interval(F.col("ts"), "EXACT").alias("at"),
+        reduce(lambda c, p: F.when(F.col("event_type") == p[0], interval(F.col("ts"), p[1])).otherwise(c), KNOWN_TO.items(), interval(F.col("ts"), "EXACT")).alias("known"),
         "ts",
         "value",
         F.get_json_object("props", "$.k").try_cast("bigint").alias("k"),
