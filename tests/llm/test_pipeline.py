@@ -4,7 +4,7 @@ import corpus_pipeline as P
 import numpy as np
 import public_tokenizers
 from test_decontaminate import brute as leaks
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_copies
 from tokenizers import Tokenizer
 from whence.llm import decontaminate, packing, quality, simhash, toxicity
 from whence.llm.common import table, written
@@ -31,7 +31,7 @@ def test_stages_one_by_one(spark):
     assert docs.columns == columns and {r.doc_id for r in docs.collect()} == want
 
     texts = {r.doc_id: r.text for r in docs.collect()}
-    root = brute_components(list(texts), [brute_fingerprint(t) for t in texts.values()])
+    root = brute_copies(texts)
     docs = written(P.STAGES[2][1](spark, docs, SF), "t3")
     assert docs.columns == columns and sorted(r.doc_id for r in docs.collect()) == sorted(set(root.values()))
 

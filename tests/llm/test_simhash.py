@@ -97,3 +97,51 @@ def test_rows_without_ids_link_others(spark, monkeypatch):
     monkeypatch.setattr(S, "fingerprints", lambda docs, *_: docs)
     got = S.near_duplicates(spark.createDataFrame(rows, "id long, mark long, fp long")).collect()
     assert sorted((r.fp, r.component) for r in got) == sorted([(a, 5), (null, 5), (b, 5), (alone, None), (other, 9), (other, 9)])
+
+
+def brute_copies(texts):
+    """Every pair of texts by all its fingerprints: {id: smallest id reachable}."""
+    ids = list(texts)
+    prints = [S.copy_prints(texts[i].encode()) for i in ids]
+    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    n = S.WORD_PRINTS
+    for k, a in enumerate(prints):
+        for m, b in enumerate(prints[:k]):
+            if min(map(bits, a[:n], b[:n])) <= S.RADIUS and sum(map(bits, a[n:], b[n:])) <= S.PAIR_BITS:
+                x, y = sorted((find(ids[k]), find(ids[m])))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_near_copies(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    docs, groups = [], []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 600))]
+        for c in range(rng.randint(1, 4)):
+            own = list(base)
+            for _ in range(len(own) // 40 if c else 0):  # about one word in forty: shingles of five are alike to 0.8
+                own[rng.randrange(len(own))] = rng.choice(words)
+            groups.append((len(docs), g))
+            docs.append((len(docs), " ".join(own)))
+    first = {}
+    for d, g in groups:
+        first.setdefault(g, d)
+    docs += [(1000, "a b c d"), (1001, "d c b a"), (1002, " ".join(sorted(docs[0][1].split())))]  # the same words, other texts
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.id: r.component for r in S.near_copies(df).collect()}
+    assert got == brute_copies(dict(docs))
+    assert got[1000] == 1000 and got[1001] == 1001 and got[1002] == 1002
+    copies = [(d, g) for d, g in groups if d != first[g]]
+    assert sum(got[d] == first[g] for d, g in copies) >= 0.9 * len(copies)
+    assert all(got[d] in [x for x, y in groups if y == g] for d, g in groups)
+    kept = S.stage(spark, df, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(got.values()))

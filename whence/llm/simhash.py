@@ -30,6 +30,8 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 RADIUS = 4
+#: Of the pipeline's stage: fingerprints of words and of word pairs, and how many of the latter's bits may differ.
+WORD_PRINTS, PAIR_PRINTS, PAIR_BITS = 4, 4, 36
 #: Rows of a key that one task compares; a longer list is split into blocks.
 BLOCK = 8192
 #: Broadcast the split keys up to this many rows of 16 bytes.
@@ -251,16 +253,86 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(parts, "fp", "left").select("id", "mark", "fp", "component")
 
 
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes, as good as independent, of the same things."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(seed)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def _majority(h: np.ndarray, seed: int) -> int:
+    """A fingerprint of a set of hashes, as a signed number; of none: zero."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        rows = _mixed(h[at : at + (1 << 16)], seed).astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big", signed=True)
+
+
+def copy_prints(text: bytes | None) -> list[int]:
+    """Fingerprints of the set of a text's words, for candidates, and of the set of
+    its word pairs, to judge them by.  Sets: what a long text repeats weighs no
+    more than what it says once, so a few changed words move few bits."""
+    words = (text or b"").lower().split()
+    pairs = {a + b" " + b for a, b in zip(words, words[1:], strict=False)} or set(words)
+    out = []
+    for things, n in ((set(words), WORD_PRINTS), (pairs, PAIR_PRINTS)):
+        h = np.frombuffer(b"".join([xxhash.xxh64_digest(x) for x in things]), ">u8").astype(np.uint64)
+        out += [_majority(h, seed) for seed in range(1, n + 1)]
+    return out
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark long, component long) for every row: the smallest id reachable over
+    pairs of rows with equal texts or near copies.
+
+    Near copies: one of four fingerprints of their words is within four bits
+    (found by the same keys as links()), and of 256 bits on their word pairs no
+    more than PAIR_BITS differ.  Five-word shingles that are alike to 0.8 are
+    mostly found so, whatever the order of what isn't alike.  Null and blank
+    texts are alike.  ids may not be null.
+    """
+    names = [f"w{i}" for i in range(WORD_PRINTS)] + [f"p{i}" for i in range(PAIR_PRINTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = zip(*[copy_prints(x.as_py()) for x in batch.column(2)], strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "mark", *names])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("b"))
+    marked = written(rows.mapInArrow(run, ", ".join(f"{n} long" for n in ["id", "mark", *names])), "copy-prints")
+    reps = written(marked.groupBy("mark").agg(F.min("id").alias("rep"), *[F.first(n).alias(n) for n in names]), "texts")
+    found = []
+    for w in names[:WORD_PRINTS]:
+        centres = written(reps.groupBy(F.col(w).alias("fp")).agg(F.min("rep").alias("rep")), "centres")
+        same = reps.select(F.col("rep").alias("b"), F.col(w).alias("fp")).join(centres.select("fp", F.col("rep").alias("a")), "fp").where("a <> b")
+        found += [same.select("a", "b"), links(centres)]
+    edges = found[0]
+    for e in found[1:]:
+        edges = edges.union(e)
+    prints = reps.select("rep", *names[WORD_PRINTS:])
+    edges = edges.distinct()
+    for side in ("a", "b"):
+        edges = edges.join(prints.toDF(side, *[f"{side}{i}" for i in range(PAIR_PRINTS)]), side)
+    bits = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PAIR_PRINTS)), F.lit(0))
+    parts = connected_components(edges.where(bits <= PAIR_BITS).select("a", "b"))
+    reps = reps.join(parts, reps.rep == parts.node, "left").select("mark", F.coalesce("component", "rep").alias("component"))
+    return marked.select("id", "mark").join(reps, "mark")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, as it came: that with the smallest id.
+    """One document of each group of copies and near copies, as it came: that with the smallest id.
 
     A null id counts as one made from the text, in the range from 2**62 on, so of
     equal texts without ids one stays too.
     """
     made = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), made).alias("id"), F.col("text"))
-    kept = near_duplicates(marked, "id").where("id = component").select("id", "mark").distinct()
-    rows = marked.select("doc", "id", F.xxhash64("text").alias("mark"))
+    kept = near_copies(marked, "id").where("id = component").select("id", "mark").distinct()
+    rows = marked.select("doc", "id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     return rows.join(kept, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("doc.*")
 
 
