@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from ..streaming import events
 from .common import query
 from .timelines import _REPLAY, MACHINE
 
 
-def _base(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return base
-
-
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, d):
-    """Hourly counts by a watermarked window."""
+    """Hourly counts by a watermarked window: of each window its last update."""
     s = events.window_counts(events.read_log(spark, f"{d}/events.parquet"))
-    return events.run_to_table(s, _base(spark), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    rows = events.latest(events.run_to_table(s, shared_dir(spark), "update"), ["start", "event_type"], "batch", ["n"])
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(_REPLAY + "SELECT timeline_id, event_id, event_type, was AS from_state, nullif(state, '!') AS to_state, state = '!' AS illegal FROM m")
 def stream_state_replay(spark, d):
-    """The state machine of timelines.state_replay, kept in a stream's state."""
-    return events.run_to_table(events.replay_stream(events.read_log(spark, f"{d}/events.parquet"), MACHINE), _base(spark), "append")
+    """The state machine of timelines.state_replay, kept in a stream's state: of each day its last version."""
+    rows = events.run_to_table(events.replay_stream(events.read_log(spark, f"{d}/events.parquet"), MACHINE), shared_dir(spark), "append")
+    return events.latest(rows, ["timeline_id"], "version", ["event_id", "event_type", "from_state", "to_state", "illegal"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STEP = "timeline_id string, event_id long, event_type string, from_state string, to_state string, illegal boolean"
+STEP = "timeline_id string, event_id long, event_type string, from_state string, to_state string, illegal boolean, version long"
 
 
 def read_log(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -22,48 +22,71 @@ def read_log(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> D
 
 
 def window_counts(stream: DataFrame, width: str = "1 hour", lateness: str = "1 day") -> DataFrame:
-    """start, event_type, n: events per window; later than the lateness don't count."""
+    """start, event_type, n: events per window, for output mode update: a window
+    comes again when it changes.  Windows that the watermark has passed leave
+    the state, and events later than the lateness don't count."""
     timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
     return timed.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def replay_stream(stream: DataFrame, transitions: dict[tuple[str, str], str]) -> DataFrame:
-    """Transitions of each user's day.  The state of a day is kept between
-    batches; within one its events are taken by time.  The first event that
+def replay_stream(stream: DataFrame, transitions: dict[tuple[str, str], str], lateness: str = "1 day") -> DataFrame:
+    """Transitions of each user's day, with the version of the day that they belong
+    to.  A day's events are kept until the watermark has passed it; whenever some
+    arrive, in whatever order, all of the day are taken by time again and come out
+    as its next version, which stands for the ones before.  The first event that
     triggers anything sets the state, an illegal one halts the day."""
     first: dict[str, str] = {}
     for (_, trigger), to in sorted(transitions.items()):
         first.setdefault(trigger, to)
+    names = [c.split()[0] for c in STEP.split(", ")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else None
-        rows = []
-        for r in pd.concat(list(parts)).sort_values(["ts", "event_id"]).itertuples():
-            if r.event_type in first and now != "!":
-                to = first[r.event_type] if now is None else transitions.get((now, r.event_type), "!")
-                rows.append((key[0], r.event_id, r.event_type, now, None if to == "!" else to, to == "!"))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        us, ids, types, version = state.get if state.exists else ([], [], [], 0)
+        held = list(zip(us, ids, types, strict=True))
+        for p in parts:
+            held += list(zip(p["us"].tolist(), p["event_id"].tolist(), p["event_type"].tolist(), strict=True))
+        held = sorted(set(held))
+        state.update(([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], version + 1))
+        day_end = (held[-1][0] // 86_400_000_000 + 1) * 86_400_000
+        state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
+        now, rows = None, []
+        for _, event_id, event_type in held:
+            if event_type in first and now != "!":
+                to = first[event_type] if now is None else transitions.get((now, event_type), "!")
+                rows.append((key[0], event_id, event_type, now, None if to == "!" else to, to == "!", version + 1))
                 now = to
-        if now is not None:
-            state.update((now,))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in STEP.split(", ")])
+        yield pd.DataFrame(rows, columns=names)
 
     day = F.concat_ws("@", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
-    keyed = stream.select(day.alias("timeline_id"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return keyed.groupBy("timeline_id").applyInPandasWithState(run, STEP, "state string", "append", GroupStateTimeout.NoTimeout)
+    at = F.col("ts").cast("timestamp")
+    keyed = stream.select(day.alias("timeline_id"), "event_id", "event_type", F.unix_micros(at).alias("us"), at.alias("at")).withWatermark("at", lateness)
+    state = "us array<bigint>, ids array<bigint>, types array<string>, version bigint"
+    return keyed.groupBy("timeline_id").applyInPandasWithState(run, STEP, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(stream: DataFrame, base: str, mode: str) -> DataFrame:
-    """Runs all that is there now into a table under base, and reads it.
-
-    mode complete keeps the last result, append every batch's rows.  A batch
-    that is run again after a failure overwrites its own folder only."""
+    """Runs all that is there now into a table under base, and reads it: every
+    batch's rows, with its number as batch.  A batch that is run again after a
+    failure overwrites its own folder only."""
     spark = stream.sparkSession
     where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        folder = "last" if mode == "complete" else f"batch-{number}"
-        batch.write.mode("overwrite").parquet(f"{where}/rows/{folder}")
+        batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{where}/rows/batch-{number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{where}/rows")
+    return spark.read.schema(f"{_ddl(stream)}, batch bigint").option("recursiveFileLookup", "true").parquet(f"{where}/rows")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def latest(rows: DataFrame, key: list[str], version: str, values: list[str]) -> DataFrame:
+    """Of each key the rows of its last version."""
+    last = rows.groupBy(*key).agg(F.max(version).alias("_last"))
+    return rows.join(last, key).where(F.col(version) == F.col("_last")).select(*key, *values)
