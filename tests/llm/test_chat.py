@@ -93,3 +93,14 @@ def test_a_long_shared_path_is_merged(spark):
     blocks = chat.prefix_trees(df, public_tokenizers.path("byte_bpe_50k.json"), block_chars=400)
     assert blocks.select("text").toPandas()["text"].str.count(shared.strip()).sum() < 20
     assert {(r.conv_id, tuple(r.texts)) for r in chat.read_back(blocks).collect()} == {(i, (shared, f"own {i}")) for i in range(40)}
+
+
+def test_long_turns_take_little_memory():
+    import tracemalloc
+
+    text = "a < b \\ c # " * 400_000
+    whole = f"### user: {C.escape(text)}</turn>\n"
+    tracemalloc.start()
+    assert C.parse(whole) == [("user", text)]
+    assert tracemalloc.get_traced_memory()[1] < 40 * len(whole)
+    tracemalloc.stop()

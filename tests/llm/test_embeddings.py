@@ -74,3 +74,13 @@ def test_sql_agrees(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
     assert sorted(map(tuple, E.op8_embeddings(spark, d).collect())) == sorted(con.execute(E.OP8_SQL).fetchall())
+
+
+def test_doubles_stay_doubles(spark):
+    a, b = [1.0, 1e-9, 0.0], [1.0, -1e-9, 0.0]
+    rows = [(1, a), (2, b), (3, [1e300, 1e300, 0.0]), (4, [1e-300, 1e-300, 0.0]), (5, [0.0, 0.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component) for r in E.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+    one = spark.createDataFrame([(1, [16777217.0, 1.0]), (2, [16777216.0, 1.0])], "vec_id long, embedding array<double>")
+    assert one.select("embedding").distinct().count() == 2 and E.near_duplicates(one).where("n_links = 1").count() == 2

@@ -56,3 +56,21 @@ def test_every_document_once(spark):
     assert sorted(out["doc_id"]) == sorted(table(spark, d, "documents").toPandas()["doc_id"])
     seen = out.merge(table(spark, d, "labels").toPandas(), on="doc_id")
     assert seen[seen.quality == 1].keep.mean() > 0.99 and seen[seen.quality == 0].keep.mean() < 0.05
+
+
+def test_posterior_by_hand(spark):
+    """Every document's posterior from its own evidence and the rate of the others at its site."""
+    d = "/root/testdata/sf0.001"
+    docs = table(spark, d, "documents")
+    model = Q.train(docs, table(spark, d, "labels"))
+    out = Q.score(docs, model).select("doc.doc_id", "doc.source", "doc.lang", "good", "posterior").collect()
+    site = {(r.host, r.path): r for r in Q.sites(docs.select(*(c.alias(n) for c, n in zip(Q._site(docs.source, docs.lang), ("host", "path"), strict=True)), Q.evidence(model)("text").alias("good"))).collect()}
+    where = {r.doc_id: (r.host, r.path) for r in docs.select("doc_id", *(c.alias(n) for c, n in zip(Q._site(docs.source, docs.lang), ("host", "path"), strict=True))).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in out:
+        s = site[where[r.doc_id]]
+        good = float(model.good(np.array([Q.features(texts[r.doc_id])]))[0])
+        assert r.good == pytest.approx(good, abs=1e-8)
+        rate = min(max((s.kappa * s.host_rate + s.s - r.good) / (s.kappa + s.n - 1), Q.EDGE), 1 - Q.EDGE)
+        odds = r.good / (1 - r.good) * (1 - s.prior) / s.prior * rate / (1 - rate)
+        assert r.posterior == pytest.approx(odds / (1 + odds), abs=1e-6)

@@ -31,7 +31,8 @@ LEARNT = "assistant"
 BLOCK_CHARS = 1 << 18
 BLOCK_CONVERSATIONS = 2048
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
+#: Runs of plain characters are one step each, and nothing goes back.
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 
 
 def escape(text: str) -> str:

@@ -40,11 +40,18 @@ def reach(cosine: float) -> float:
     return math.sqrt(max(0.0, 2 - 2 * cosine)) + SPARE
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest number near one:
+    cosines are the same to the bit, and no square overflows."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0.0))[1][:, None])
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), dim)
+    return scaled(np.asarray(column.flatten(), np.float64).reshape(len(column), dim))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    rows = scaled(np.asarray(rows, np.float64))
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
@@ -256,7 +263,7 @@ def _one_dimension(reps: DataFrame, dim: int, n: int, cosine: float) -> DataFram
             cell = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(d[np.arange(len(d)), cell])], names=["node", "vec", "n", "cell", "d"])
 
-    placed = written(reps.select("node", "vec", "n").mapInArrow(assign, "node long, vec array<float>, n long, cell long, d double"), "cells")
+    placed = written(reps.select("node", "vec", "n").mapInArrow(assign, f"node long, vec {_kind(reps)}, n long, cell long, d double"), "cells")
     sizes = {r.cell: (r.size, r.radius) for r in placed.groupBy("cell").agg(F.count("*").alias("size"), F.max("d").alias("radius")).collect()}
     blocks, first, radius = {}, {}, {}
     for cell in sorted(sizes):
@@ -294,12 +301,21 @@ def _one_dimension(reps: DataFrame, dim: int, n: int, cosine: float) -> DataFram
                 )
 
     levels = "".join(f", k{i} long" for i in range(len(RADII)))
-    rows = placed.mapInArrow(own_block, "node long, vec array<float>, n long, block long")
-    rows = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_build(dim), "node long, vec array<float>, n long, block long" + levels)
-    rows = rows.mapInArrow(meet, "low long, high long, side long, node long, vec array<float>, n long" + levels)
+    rows = placed.mapInArrow(own_block, f"node long, vec {_kind(placed)}, n long, block long")
+    rows = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_build(dim), f"node long, vec {_kind(placed)}, n long, block long" + levels)
+    rows = rows.mapInArrow(meet, f"low long, high long, side long, node long, vec {_kind(placed)}, n long" + levels)
     return rows.repartition("low", "high").sortWithinPartitions("low", "high").mapInArrow(_compare(dim, cosine), "node long, links long, root long")
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["vec"].dataType.simpleString()
+
+
+def _floats(rows: DataFrame, column: str) -> bool:
+    """Are the numbers floats?  Others are taken as doubles, so that none is rounded."""
+    return rows.schema[column].dataType.simpleString() == "array<float>"
+
+
 def valid(vec) -> F.Column:
     """Neither null nor empty nor zero, and without null or non-finite numbers."""
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -313,7 +329,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     nothing.  Equal vectors count as links of each other, also rows with one
     id.  A row without an id has its component's smallest id, or null.
     """
-    table = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    table = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if _floats(rows, vec_col) else "array<double>").alias("vec"))
     good = table.where(valid(F.col("vec")))
     reps = good.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     reps = written(reps, "vectors")

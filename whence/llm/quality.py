@@ -163,7 +163,8 @@ def _inside(c):
 
 
 def sites(scored: DataFrame) -> DataFrame:
-    """scored(host, path, good) -> host, path, n, host_rate, path_rate, prior.
+    """scored(host, path, good) -> host, path, n, s (their sum of good), host_rate,
+    path_rate, kappa (the observations that the host's rate counts for), prior.
 
     Sums combine before the shuffle, so a host with most rows costs no more than
     another.  The three single rows are joined, each of a few numbers.
@@ -177,7 +178,13 @@ def sites(scored: DataFrame) -> DataFrame:
     paths = paths.join(hosts, "host").withColumn("rate", F.col("s") / F.col("n"))
     paths = paths.crossJoin(F.broadcast(_spread(paths, "rate", "host_rate")))
     path_rate = _inside((F.col("kappa") * F.col("host_rate") + F.col("s")) / (F.col("kappa") + F.col("n")))
-    return paths.select("host", "path", "n", "host_rate", path_rate.alias("path_rate"), "prior")
+    return paths.select("host", "path", "n", "s", "host_rate", path_rate.alias("path_rate"), "kappa", "prior")
+
+
+def others_rate(good):
+    """The path's rate without the document's own evidence, which would count twice;
+    a path's only document has its host's."""
+    return _inside((F.col("kappa") * F.col("host_rate") + F.col("s") - good) / (F.col("kappa") + F.col("n") - 1))
 
 
 def posterior(good, prior, site):
@@ -201,11 +208,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         rows = docs.select(doc, *(c.alias(n) for c, n in zip(_site(F.col("source"), F.col("lang")), ("host", "path"), strict=True)), "text")
         return rows.withColumn("good", F.least(F.greatest(good("text"), F.lit(1e-9)), F.lit(1 - 1e-9))).drop("text")
 
-    found = sites(scored(F.lit(1).alias("doc"))).select("host", "path", "host_rate", "path_rate", "prior")
+    found = sites(scored(F.lit(1).alias("doc"))).select("host", "path", "n", "s", "host_rate", "path_rate", "kappa", "prior")
     found = written(found, "sites")
     found = F.broadcast(found) if found.count() <= BROADCAST_SITES else found
     rows = scored(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(found, ["host", "path"], "left")
-    return rows.select("doc", "good", "host_rate", "path_rate", posterior(F.col("good"), F.col("prior"), F.col("path_rate")).alias("posterior"))
+    return rows.select("doc", "good", "host_rate", "path_rate", posterior(F.col("good"), F.col("prior"), others_rate(F.col("good"))).alias("posterior"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

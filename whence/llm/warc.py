@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ ARC_FIELDS = {
 }
 #: Pages of one archive that arc_archives() makes.
 PAGES_PER_ARCHIVE = 256
-#: Records of one WARC file; a file is read back as a whole.
-RECORDS_PER_FILE = 2000
+#: Records of one WARC file; a task holds a file compressed, and one of its records.
+RECORDS_PER_FILE = 500
 #: HTTP header that holds a record's own key.
 KEY = "X-Record-Key"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -220,22 +221,22 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip", records
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header with lower-case names, block) of each record of an archive."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at : max(end, at)].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at offset {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    """(header with lower-case names, block) of each record of an archive, one
+    after the other: of a compressed one no more than a record is held at once."""
+    raw = io.BytesIO(data)
+    source = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if data[:2] == b"\x1f\x8b" else raw
+    while first := source.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where one should start: {first[:40]!r}")
+        head = {}
+        while (line := source.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            head[name.strip().lower()] = value.strip()
         size = int(head["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"record at offset {at} does not end where it says")
+        block = source.read(size)
+        if len(block) != size or source.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {head.get('warc-record-id')} does not end where it says")
         yield head, block
-        at = end + 8 + size
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
