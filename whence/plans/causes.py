@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import causal_graph
-from ..shared import written
+from ..shared import kept
 from ..sources import tables
 from .claims import EDGES, LIFT, SHRINK, SQUASH, gated
 from .common import HOUR, LOG, pairs, query
@@ -24,24 +24,34 @@ REVERSED, BARRED = 0.5, 0.3
 
 _SCORES = (
     EDGES
-    + f""", l AS (SELECT cause_type, effect_type, {SHRINK} AS sh, {SQUASH} AS sq FROM rates), wl AS (SELECT cause_type, effect_type, {SHRINK} AS sh, {SQUASH} AS sq FROM weekly),
+    + f""", l AS (SELECT cause_type, effect_type, {SHRINK} AS sh, {SQUASH} AS sq FROM rates), wl AS (SELECT cause_type, effect_type, {SHRINK} AS sh,
+  {SQUASH} AS sq FROM weekly),
 scored AS (
-  SELECT m.*, CASE WHEN l.sq <= 0 THEN 0 ELSE pow(l.sh, 2.0/3) * pow(l.sq, 1.0/3) END AS historical, CASE WHEN wl.sq <= 0 THEN 0 ELSE pow(wl.sh, 1.0/3) * pow(wl.sq, 2.0/3) END AS statistical,
+  SELECT m.*, CASE WHEN l.sq <= 0 THEN 0 ELSE pow(l.sh, 2.0/3) * pow(l.sq, 1.0/3) END AS historical, CASE WHEN wl.sq <= 0 THEN 0 ELSE pow(wl.sh,
+  1.0/3) * pow(wl.sq, 2.0/3) END AS statistical,
     (n_generators - 1) / {GENERATORS - 1}.0 AS diversity, n_generators / (n_generators + {SATURATION}.0) AS evidence, pow(2.0, -hops) AS connectivity,
     CASE verdict WHEN 'CERTAIN' THEN 1 / (1 + (a.hi - a.lo + b.hi - b.lo) / {WIDE_US}.0) WHEN 'UNDETERMINED' THEN 0.15 ELSE 0.0 END AS temporal,
     1 / (1 + CASE WHEN o.source IS NULL THEN 0 ELSE {REVERSED} END + CASE WHEN barred.n IS NULL THEN 0 ELSE {BARRED} END) AS freedom
   FROM (SELECT * FROM merged WHERE reason IS NULL) m JOIN log a ON a.event_id = m.source JOIN log b ON b.event_id = m.target
-    LEFT JOIN l ON source_type = l.cause_type AND target_type = l.effect_type LEFT JOIN wl ON source_type = wl.cause_type AND target_type = wl.effect_type
+    LEFT JOIN l ON source_type = l.cause_type AND target_type = l.effect_type LEFT
+  JOIN wl ON source_type = wl.cause_type AND target_type = wl.effect_type
     LEFT JOIN (SELECT DISTINCT source, target FROM merged WHERE reason IS NULL) o ON o.source = m.target AND o.target = m.source
     LEFT JOIN (SELECT target, count(*) AS n FROM merged WHERE reason = 'CONSTRAINT_SUPPRESSED' GROUP BY 1) barred ON barred.target = m.target
 ), graded AS (
-  SELECT *, least((0.28 * rule + 0.17 * coalesce(historical, 0) + 0.17 * coalesce(statistical, 0) + 0.16 * diversity + 0.12 * evidence + 0.10 * connectivity) / 1.0,
-    CASE WHEN temporal <= 0.3 THEN 0.25 + temporal / 0.3 * 0.3 WHEN temporal <= 0.6 THEN 0.55 + (temporal - 0.3) / 0.3 * 0.25 ELSE 0.8 + (temporal - 0.6) / 0.4 * 0.2 END,
+  SELECT *, least((0.28 * rule + 0.17 * coalesce(historical, 0) + 0.17 * coalesce(statistical,
+  0) + 0.16 * diversity + 0.12 * evidence + 0.10 * connectivity) / 1.0,
+    CASE WHEN temporal <= 0.3 THEN 0.25 + temporal / 0.3 * 0.3
+  WHEN temporal <= 0.6 THEN 0.55 + (temporal - 0.3) / 0.3 * 0.25 ELSE 0.8 + (temporal - 0.6) / 0.4 * 0.2 END,
     CASE WHEN freedom <= 0.5 THEN 0.1 + freedom / 0.5 * 0.5 ELSE 0.6 + (freedom - 0.5) / 0.5 * 0.4 END) AS scalar FROM scored)"""
 )
 
 
 def scored(spark, d) -> DataFrame:
+    """_scored(), built once a session."""
+    return kept(spark, "scored", d, ("events", "customer"), lambda: _scored(spark, d))
+
+
+def _scored(spark, d) -> DataFrame:
     """Candidates that passed the gate, with their components and the gated mean.
 
     Contradictions: the reverse is a candidate too, or the effect has a cause that
@@ -93,9 +103,12 @@ def component_tallies(spark, d):
 
 # -- the graph ------------------------------------------------------------
 
-_DECIDED = _SCORES + """, decided AS (SELECT *, CASE WHEN kind NOT IN ('DIRECT', 'CONDITIONAL') THEN 'NO_THRESHOLD' WHEN n_generators < 1 THEN 'INSUFFICIENT_EVIDENCE' WHEN verdict = 'VIOLATION' THEN 'TEMPORAL_MISMATCH'
-  WHEN verdict <> 'CERTAIN' THEN 'NOT_CERTAIN' WHEN round(scalar, 6) < CASE kind WHEN 'DIRECT' THEN 0.22 ELSE 0.3 END THEN 'BELOW_THRESHOLD' ELSE 'PROMOTED' END AS decision FROM graded),
-promoted AS (SELECT source, target, source_type, target_type, timeline_id, kind, round(scalar, 6) AS scalar FROM decided JOIN log ON event_id = source WHERE decision = 'PROMOTED')"""
+_DECIDED = _SCORES + """, decided AS (SELECT *, CASE WHEN kind NOT IN ('DIRECT', 'CONDITIONAL') THEN 'NO_THRESHOLD'
+  WHEN n_generators < 1 THEN 'INSUFFICIENT_EVIDENCE' WHEN verdict = 'VIOLATION' THEN 'TEMPORAL_MISMATCH'
+  WHEN verdict <> 'CERTAIN' THEN 'NOT_CERTAIN' WHEN round(scalar, 6) < CASE kind
+  WHEN 'DIRECT' THEN 0.22 ELSE 0.3 END THEN 'BELOW_THRESHOLD' ELSE 'PROMOTED' END AS decision FROM graded),
+promoted AS (SELECT source, target, source_type, target_type, timeline_id, kind, round(scalar, 6) AS scalar FROM decided JOIN log ON event_id = source
+  WHERE decision = 'PROMOTED')"""
 
 
 def decided(spark, d) -> DataFrame:
@@ -128,7 +141,8 @@ def type_projection(spark, d):
     return causal_graph.type_projection(promoted(spark, d)).withColumn("mean_scalar", F.round("mean_scalar", 5))
 
 
-@query("WITH RECURSIVE " + _DECIDED + """, e AS (SELECT DISTINCT source_type AS s, target_type AS t FROM promoted), p AS (SELECT [s, t] AS path FROM e WHERE s < t
+@query("WITH RECURSIVE " + _DECIDED + """, e AS (SELECT DISTINCT source_type AS s, target_type AS t FROM promoted), p AS (SELECT [s, t] AS path FROM e
+  WHERE s < t
   UNION ALL SELECT list_append(path, t) FROM p JOIN e ON path[-1] = s WHERE t > path[1] AND NOT list_contains(path, t) AND len(path) < 4)
 SELECT array_to_string(path, '>') AS circuit FROM p JOIN e ON path[-1] = s AND t = path[1] UNION ALL SELECT s FROM e WHERE s = t""")
 def feedback_loops(spark, d):
@@ -156,8 +170,11 @@ def motifs(spark, d):
     return causal_graph.motifs(promoted(spark, d).join(where, "source"), 3)
 
 
-@query("WITH " + _DECIDED + """, t AS (SELECT source_type, target_type, count(*) AS edges FROM promoted GROUP BY 1, 2), i AS (SELECT target_type AS event_type, count(DISTINCT source_type) AS before, sum(edges) AS edges_in FROM t GROUP BY 1), outgoing AS (SELECT source_type AS event_type, count(DISTINCT target_type) AS after, sum(edges) AS edges_out FROM t GROUP BY 1)
-SELECT event_type, coalesce(before, 0)::BIGINT AS before, coalesce(edges_in, 0)::BIGINT AS edges_in, coalesce(after, 0)::BIGINT AS after, coalesce(edges_out, 0)::BIGINT AS edges_out FROM i FULL JOIN outgoing USING (event_type)""")
+@query("WITH " + _DECIDED + """, t AS (SELECT source_type, target_type, count(*) AS edges FROM promoted GROUP BY 1, 2),
+  i AS (SELECT target_type AS event_type, count(DISTINCT source_type) AS before, sum(edges) AS edges_in FROM t GROUP BY 1),
+  outgoing AS (SELECT source_type AS event_type, count(DISTINCT target_type) AS after, sum(edges) AS edges_out FROM t GROUP BY 1)
+SELECT event_type, coalesce(before, 0)::BIGINT AS before, coalesce(edges_in, 0)::BIGINT AS edges_in, coalesce(after, 0)::BIGINT AS after,
+  coalesce(edges_out, 0)::BIGINT AS edges_out FROM i FULL JOIN outgoing USING (event_type)""")
 def bottlenecks(spark, d):
     return causal_graph.bottlenecks(causal_graph.type_projection(promoted(spark, d)))
 
@@ -170,10 +187,12 @@ def _seeds(edges: DataFrame) -> DataFrame:
 
 
 def _edges(spark, d) -> DataFrame:
-    return written(promoted(spark, d).select("source", "target", "source_type", "target_type", "kind", "scalar"), "edges")
+    every = promoted(spark, d).select("source", "target", "source_type", "target_type", "kind", "scalar")
+    return kept(spark, "edges", d, ("events", "customer"), lambda: every)
 
 
-@query("WITH RECURSIVE " + _DECIDED + _SEEDS + """, e AS (SELECT DISTINCT source, target FROM promoted), r AS (SELECT seed, seed AS node, 0 AS distance FROM seeds UNION SELECT r.seed, e.target, distance + 1 FROM r JOIN e ON r.node = e.source WHERE distance < 4)
+@query("WITH RECURSIVE " + _DECIDED + _SEEDS + """, e AS (SELECT DISTINCT source, target FROM promoted), r AS (SELECT seed, seed AS node,
+  0 AS distance FROM seeds UNION SELECT r.seed, e.target, distance + 1 FROM r JOIN e ON r.node = e.source WHERE distance < 4)
 SELECT seed, node, min(distance) AS distance FROM r WHERE distance > 0 AND seed <> node GROUP BY 1, 2""")
 def reachability(spark, d):
     """What views and signups lead to in up to four steps."""
@@ -181,7 +200,9 @@ def reachability(spark, d):
     return causal_graph.reach(e, _seeds(e), 4).where("seed <> node").select("seed", "node", "distance")
 
 
-@query("WITH RECURSIVE " + _DECIDED + _SEEDS + """, e AS (SELECT DISTINCT source, target FROM promoted WHERE target_type <> 'click'), r AS (SELECT seed, seed AS node, 0 AS distance FROM seeds UNION SELECT r.seed, e.target, distance + 1 FROM r JOIN e ON r.node = e.source WHERE distance < 4)
+@query("WITH RECURSIVE " + _DECIDED + _SEEDS + """, e AS (SELECT DISTINCT source, target FROM promoted WHERE target_type <> 'click'),
+  r AS (SELECT seed, seed AS node, 0 AS distance FROM seeds UNION SELECT r.seed, e.target, distance + 1 FROM r JOIN e ON r.node = e.source
+  WHERE distance < 4)
 SELECT seed, node, min(distance) AS distance FROM r WHERE distance > 0 AND seed <> node GROUP BY 1, 2""")
 def reachability_excluding(spark, d):
     """The same with every click taken out of the graph."""
@@ -190,8 +211,11 @@ def reachability_excluding(spark, d):
     return causal_graph.reach(e, _seeds(e), 4, clicks).where("seed <> node").select("seed", "node", "distance")
 
 
-@query("WITH RECURSIVE " + _DECIDED + """, outcomes AS (SELECT DISTINCT target AS outcome FROM promoted WHERE target_type = 'purchase'), r AS (SELECT outcome, outcome AS cause, 0 AS distance FROM outcomes UNION SELECT r.outcome, p.source, distance + 1 FROM r JOIN promoted p ON r.cause = p.target WHERE distance < 4)
-SELECT outcome, cause, min(distance) AS distance, dense_rank() OVER (PARTITION BY outcome ORDER BY min(distance) DESC) AS earliness FROM r WHERE distance > 0 GROUP BY 1, 2""")
+@query("WITH RECURSIVE " + _DECIDED + """, outcomes AS (SELECT DISTINCT target AS outcome FROM promoted WHERE target_type = 'purchase'),
+  r AS (SELECT outcome, outcome AS cause, 0 AS distance FROM outcomes UNION SELECT r.outcome, p.source, distance + 1 FROM r
+  JOIN promoted p ON r.cause = p.target WHERE distance < 4)
+SELECT outcome, cause, min(distance) AS distance, dense_rank() OVER (PARTITION BY outcome ORDER BY min(distance) DESC) AS earliness FROM r
+  WHERE distance > 0 GROUP BY 1, 2""")
 def ancestors(spark, d):
     """The possible causes of each purchase; the farthest rank first."""
     from pyspark.sql import Window
@@ -203,7 +227,9 @@ def ancestors(spark, d):
     return back.select(F.col("seed").alias("outcome"), F.col("node").alias("cause"), "distance", rank.alias("earliness"))
 
 
-_WALK = """, e AS (SELECT source, target, max(scalar) AS scalar FROM promoted GROUP BY 1, 2), r AS (SELECT seed, seed AS node, [seed] AS path, 1.0::DOUBLE AS weak FROM seeds UNION ALL SELECT r.seed, e.target, list_append(path, e.target), least(weak, scalar) FROM r JOIN e ON r.node = e.source WHERE e.target <> seed AND len(path) <= 3)"""
+_WALK = """, e AS (SELECT source, target, max(scalar) AS scalar FROM promoted GROUP BY 1, 2), r AS (SELECT seed, seed AS node, [seed] AS path,
+  1.0::DOUBLE AS weak FROM seeds UNION ALL SELECT r.seed, e.target, list_append(path, e.target), least(weak, scalar) FROM r
+  JOIN e ON r.node = e.source WHERE e.target <> seed AND len(path) <= 3)"""
 
 
 def _walk(spark, d) -> DataFrame:
@@ -218,8 +244,10 @@ def propagation_walk(spark, d):
     return _walk(spark, d)
 
 
-@query("WITH " + LOG + """, g AS (SELECT source_type, target_type, count(*) AS witnesses, min(b_us - a_us) AS low, max(b_us - a_us) AS high FROM pairs GROUP BY 1, 2)
-SELECT source_type, target_type, witnesses, low, high, CASE WHEN 43200000000 BETWEEN low AND high THEN 'WITHIN' WHEN greatest(low - 43200000000, 43200000000 - high) <= 0.1 * (high - low) THEN 'AT_EDGE' ELSE 'EXTRAPOLATION' END AS verdict FROM g""")
+@query("WITH " + LOG + """, g AS (SELECT source_type, target_type, count(*) AS witnesses, min(b_us - a_us) AS low, max(b_us - a_us) AS high FROM pairs
+  GROUP BY 1, 2)
+SELECT source_type, target_type, witnesses, low, high, CASE WHEN 43200000000 BETWEEN low AND high THEN 'WITHIN' WHEN greatest(low - 43200000000,
+  43200000000 - high) <= 0.1 * (high - low) THEN 'AT_EDGE' ELSE 'EXTRAPOLATION' END AS verdict FROM g""")
 def support_envelopes(spark, d):
     """Have gaps of twelve hours been seen between two types?"""
     gap = F.unix_micros(F.col("effect.ts").cast("timestamp")) - F.unix_micros(F.col("cause.ts").cast("timestamp"))
@@ -229,8 +257,12 @@ def support_envelopes(spark, d):
     return g.withColumn("verdict", F.when(beyond <= 0, "WITHIN").when(beyond <= 0.1 * (F.col("high") - F.col("low")), "AT_EDGE").otherwise("EXTRAPOLATION"))
 
 
-_DESIRE = """, c AS (SELECT source_type AS lever, count(DISTINCT target) AS reached, avg(scalar) AS belief FROM promoted GROUP BY 1), k AS (SELECT *, CASE lever WHEN 'signup' THEN 0.75 WHEN 'view' THEN 0.25 WHEN 'click' THEN 0.5 WHEN 'purchase' THEN 1.0 END AS cost, CASE lever WHEN 'error' THEN 0.0 WHEN 'view' THEN 0.5 END AS risk FROM c),
-m AS (SELECT max(reached) AS most FROM c), des AS (SELECT lever, reached, round(belief, 5) AS belief, cost, round((0.40 * reached / most + 0.25 * (1 - coalesce(cost, 1)) + 0.20 * belief + 0.15 * (1 - coalesce(risk, 1))) / 1.0, 5) AS desirability FROM k, m)"""
+_DESIRE = """, c AS (SELECT source_type AS lever, count(DISTINCT target) AS reached, avg(scalar) AS belief FROM promoted GROUP BY 1), k AS (SELECT *,
+  CASE lever WHEN 'signup' THEN 0.75 WHEN 'view' THEN 0.25 WHEN 'click' THEN 0.5 WHEN 'purchase' THEN 1.0 END AS cost, CASE lever
+  WHEN 'error' THEN 0.0 WHEN 'view' THEN 0.5 END AS risk FROM c),
+m AS (SELECT max(reached) AS most FROM c), des AS (SELECT lever, reached, round(belief, 5) AS belief, cost,
+  round((0.40 * reached / most + 0.25 * (1 - coalesce(cost, 1)) + 0.20 * belief + 0.15 * (1 - coalesce(risk, 1))) / 1.0, 5) AS desirability FROM k,
+  m)"""
 
 
 def _levers(spark, d) -> DataFrame:
@@ -254,10 +286,15 @@ def pareto_front(spark, d):
     return causal_graph.pareto_front(_levers(spark, d), "lever", ["reached", "belief"], ["cost"])
 
 
-@query("WITH RECURSIVE " + _DECIDED + """, s AS (SELECT * FROM (VALUES ('click', ['click']), ('error', ['error']), ('view', ['view']), ('click,error', ['click','error']), ('click,view', ['click','view']), ('error,view', ['error','view'])) v(members, m)),
-seeds AS (SELECT DISTINCT source AS seed FROM promoted WHERE source_type = 'signup' OR source_type = 'view'), e AS (SELECT DISTINCT source, target, target_type FROM promoted),
-b AS (SELECT seed, seed AS node, 0 AS n FROM seeds UNION SELECT b.seed, e.target, n + 1 FROM b JOIN e ON b.node = e.source WHERE n < 3), base AS (SELECT DISTINCT seed, node FROM b WHERE n > 0 AND seed <> node),
-r AS (SELECT members, m, seed, seed AS node, 0 AS n FROM s, seeds UNION SELECT members, m, r.seed, e.target, n + 1 FROM r JOIN e ON r.node = e.source AND NOT list_contains(m, e.target_type) WHERE n < 3), left_ AS (SELECT members, count(*) AS l FROM (SELECT DISTINCT members, seed, node FROM r WHERE n > 0 AND seed <> node) GROUP BY 1)
+@query("WITH RECURSIVE " + _DECIDED + """, s AS (SELECT * FROM (VALUES ('click', ['click']), ('error', ['error']), ('view', ['view']), ('click,error',
+  ['click','error']), ('click,view', ['click','view']), ('error,view', ['error','view'])) v(members, m)),
+seeds AS (SELECT DISTINCT source AS seed FROM promoted WHERE source_type = 'signup' OR source_type = 'view'), e AS (SELECT DISTINCT source, target,
+  target_type FROM promoted),
+b AS (SELECT seed, seed AS node, 0 AS n FROM seeds UNION SELECT b.seed, e.target, n + 1 FROM b JOIN e ON b.node = e.source WHERE n < 3),
+  base AS (SELECT DISTINCT seed, node FROM b WHERE n > 0 AND seed <> node),
+r AS (SELECT members, m, seed, seed AS node, 0 AS n FROM s, seeds UNION SELECT members, m, r.seed, e.target, n + 1 FROM r
+  JOIN e ON r.node = e.source AND NOT list_contains(m, e.target_type) WHERE n < 3), left_ AS (SELECT members, count(*) AS l
+  FROM (SELECT DISTINCT members, seed, node FROM r WHERE n > 0 AND seed <> node) GROUP BY 1)
 SELECT s.members, (SELECT count(*) FROM base) - coalesce(l, 0) AS broken FROM s LEFT JOIN left_ USING (members)""")
 def cut_sets(spark, d):
     """Which connections break without one or two types of event, all sets in one walk."""

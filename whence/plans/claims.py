@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.temporal import verdict
 from ..operators import candidates, rules
-from ..shared import written
+from ..shared import kept, written
 from ..sources import tables
 from .common import HOUR, LOG, WINDOWS, pairs, query
 
@@ -34,7 +34,8 @@ _WHERE = {
 VERDICT = "CASE WHEN a.lo >= b.hi THEN 'VIOLATION' WHEN a.hi < b.lo THEN 'CERTAIN' ELSE 'UNDETERMINED' END"
 _FIRE = """SELECT '{r.rule_id}' AS rule_id, a.event_id AS source, b.event_id AS target, b.us - a.us AS gap_us, {r.strength}::DOUBLE AS strength,
     a.event_type AS source_type, b.event_type AS target_type, '{kind}' AS kind, {verdict} AS verdict
-  FROM log a JOIN log b USING (user_id) WHERE a.event_type = '{r.cause_type}' AND b.event_type = '{r.effect_type}' AND b.us > a.us AND b.us - a.us <= {r.within_us}{where}"""
+  FROM log a JOIN log b USING (user_id) WHERE a.event_type = '{r.cause_type}' AND b.event_type = '{r.effect_type}' AND b.us > a.us AND b.us - a.us <=
+  {r.within_us}{where}"""
 _FIRED = "\n  UNION ALL ".join(_FIRE.format(r=r, kind=candidates.rule_kind(r), verdict=VERDICT, where=_WHERE[r.rule_id]) for r in RULES)
 RULES_SQL = "WITH " + LOG + f", firings AS ({_FIRED}), fired AS (SELECT rule_id, source, target, gap_us, strength FROM firings)"
 #: In how many user-days one type comes before another (rates), and in how many user-weeks both occur (weekly).
@@ -43,9 +44,12 @@ total AS (SELECT count(DISTINCT timeline_id) AS instances FROM seq),
 o AS (SELECT source_type AS cause_type, target_type AS effect_type, count(DISTINCT timeline_id) AS "both" FROM pairs GROUP BY 1, 2),
 rates AS (SELECT cause_type, effect_type, "both", a.n AS with_cause, b.n AS with_effect, instances
   FROM o JOIN n a ON a.event_type = cause_type JOIN n b ON b.event_type = effect_type, total),
-weeks AS (SELECT DISTINCT user_id, date_trunc('week', ts) AS week, event_type FROM log), wn AS (SELECT event_type, count(*) AS n FROM weeks GROUP BY 1),
-wo AS (SELECT a.event_type AS cause_type, b.event_type AS effect_type, count(*) AS "both" FROM weeks a JOIN weeks b USING (user_id, week) WHERE a.event_type <> b.event_type GROUP BY 1, 2),
-weekly AS (SELECT cause_type, effect_type, "both", a.n AS with_cause, b.n AS with_effect, (SELECT count(*) FROM (SELECT DISTINCT user_id, week FROM weeks)) AS instances
+weeks AS (SELECT DISTINCT user_id, date_trunc('week', ts) AS week, event_type FROM log), wn AS (SELECT event_type, count(*) AS n FROM weeks
+  GROUP BY 1),
+wo AS (SELECT a.event_type AS cause_type, b.event_type AS effect_type, count(*) AS "both" FROM weeks a JOIN weeks b USING (user_id, week)
+  WHERE a.event_type <> b.event_type GROUP BY 1, 2),
+weekly AS (SELECT cause_type, effect_type, "both", a.n AS with_cause, b.n AS with_effect, (SELECT count(*) FROM (SELECT DISTINCT user_id, week
+  FROM weeks)) AS instances
   FROM wo JOIN wn a ON a.event_type = cause_type JOIN wn b ON b.event_type = effect_type)"""
 LIFT = '("both" / with_cause) / (with_effect / instances)'
 SQUASH = f"CASE WHEN {LIFT} <= 1 THEN 0.0 ELSE least(1.0, ln({LIFT}) / ln({REFERENCE})) END"
@@ -64,7 +68,8 @@ def rule_causal_firings(spark, d):
 
 @query(
     RULES_SQL
-    + """, f AS (SELECT *, row_number() OVER (PARTITION BY target, rule_id ORDER BY gap_us DESC, source) AS r FROM fired WHERE rule_id IN ('BUY_FROM_CLICK', 'BUY_FROM_VIEW'))
+    + """, f AS (SELECT *, row_number() OVER (PARTITION BY target, rule_id ORDER BY gap_us DESC, source) AS r FROM fired
+  WHERE rule_id IN ('BUY_FROM_CLICK', 'BUY_FROM_VIEW'))
 SELECT target, string_agg(source::VARCHAR, ',' ORDER BY rule_id) AS sources FROM f WHERE r = 1 GROUP BY 1 HAVING count(*) = 2"""
 )
 def rule_joint(spark, d):
@@ -115,7 +120,8 @@ def association(events: DataFrame) -> DataFrame:
     + LOG
     + COUNTS
     + f""", s AS (SELECT cause_type, effect_type, "both", {LIFT} AS lift, {SHRINK} AS sh, {SQUASH} AS sq FROM rates)
-SELECT cause_type, effect_type, "both", round(lift, 6) AS lift, round(CASE WHEN sq <= 0 THEN 0 ELSE pow(sh, 2.0/3) * pow(sq, 1.0/3) END, 6) AS historical
+SELECT cause_type, effect_type, "both", round(lift, 6) AS lift, round(CASE WHEN sq <= 0 THEN 0 ELSE pow(sh, 2.0/3) * pow(sq, 1.0/3) END,
+  6) AS historical
 FROM s ORDER BY round(lift, 6) DESC, cause_type, effect_type LIMIT 10"""
 )
 def pair_lift_topk(spark, d):
@@ -129,7 +135,8 @@ def pair_lift_topk(spark, d):
     + LOG
     + COUNTS
     + f""", s AS (SELECT cause_type, effect_type, "both", {LIFT} AS lift, {SHRINK} AS sh, {SQUASH} AS sq FROM weekly)
-SELECT cause_type, effect_type, "both", round(lift, 6) AS lift, round(CASE WHEN sq <= 0 THEN 0 ELSE pow(sh, 1.0/3) * pow(sq, 2.0/3) END, 6) AS statistical FROM s"""
+SELECT cause_type, effect_type, "both", round(lift, 6) AS lift, round(CASE WHEN sq <= 0 THEN 0 ELSE pow(sh, 1.0/3) * pow(sq, 2.0/3) END,
+  6) AS statistical FROM s"""
 )
 def cooccurrence_lift(spark, d):
     """Unordered: types of one user-week, whichever came first."""
@@ -148,7 +155,8 @@ PROXIMITY = _out("temporal_proximity", "DIRECT", 0.3) + f"({_ENDS} log a JOIN lo
 IDENTIFIER = _out("shared_identifier", "DIRECT", 0.35) + "pairs WHERE floor(a_k / 10) = floor(b_k / 10)"
 ENTITY = _out("shared_entity", "STRUCTURAL", 0.55) + f"({_ENDS} log a JOIN log b USING (user_id) WHERE b.us > a.us AND b.us - a.us <= {NEARBY})"
 PATH = _out("structural_path", "STRUCTURAL", 0.45, 2) + (
-    f"""({_ENDS} log a JOIN customer x ON x.c_custkey = a.user_id JOIN customer y ON y.c_nationkey = x.c_nationkey JOIN log b ON b.user_id = y.c_custkey
+    f"""({_ENDS} log a JOIN customer x ON x.c_custkey = a.user_id JOIN customer y ON y.c_nationkey = x.c_nationkey
+  JOIN log b ON b.user_id = y.c_custkey
       WHERE a.event_type = 'error' AND b.event_type = 'error' AND a.user_id <> b.user_id AND b.us > a.us AND b.us - a.us <= {TIED})"""
 )
 FREQUENCY = _out("historical_frequency", "STATISTICAL", 0.4) + 'pairs JOIN rates ON source_type = cause_type AND target_type = effect_type WHERE "both" >= 5'
@@ -216,7 +224,8 @@ def cand_statistical_association(spark, d):
 
 
 @query(
-    """WITH RECURSIVE l AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+    """WITH RECURSIVE l AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey
+  FROM supplier),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), h AS (SELECT a, b, 1 AS hops FROM e WHERE a[1] IN ('n', 'r')
   UNION SELECT h.a, e.b, hops + 1 FROM h JOIN e ON h.b = e.a WHERE hops < 3 AND h.a <> e.b)
 SELECT a, b, min(hops) AS hops FROM h GROUP BY 1, 2"""
@@ -276,11 +285,15 @@ def proposed(spark, d) -> DataFrame:
 
 
 def gated(spark, d) -> DataFrame:
-    """Candidates with their types' scores and the reason why they are refused, written once."""
-    rates, parts = _judged(spark, d)
-    every = reduce(DataFrame.unionByName, [candidates.fused(rows, g) for rows, g in parts])
-    barred = spark.createDataFrame([("error", t) for t in TYPES if t != "error"], "source_type string, target_type string")
-    return written(candidates.gate(every.join(F.broadcast(rates), ["source_type", "target_type"], "left"), barred), "candidates")
+    """Candidates with their types' scores and the reason why they are refused, built once a session."""
+
+    def build() -> DataFrame:
+        rates, parts = _judged(spark, d)
+        every = reduce(DataFrame.unionByName, [candidates.fused(rows, g) for rows, g in parts])
+        barred = spark.createDataFrame([("error", t) for t in TYPES if t != "error"], "source_type string, target_type string")
+        return candidates.gate(every.join(F.broadcast(rates), ["source_type", "target_type"], "left"), barred)
+
+    return kept(spark, "candidates", d, ("events", "customer"), build)
 
 
 @query("WITH " + EDGES + "SELECT source, target, source_type, target_type, kind, verdict, generators, n_generators, round(strength, 6) AS strength, reason FROM merged")
@@ -307,7 +320,8 @@ def rejection_sample(spark, d):
     "WITH "
     + EDGES
     + """, t AS (SELECT *, row_number() OVER (PARTITION BY target, generator ORDER BY source, kind) AS turn FROM proposed),
-r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY turn, generator) AS taken FROM t) SELECT source, target, generator FROM r WHERE taken <= 2"""
+r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY turn, generator) AS taken FROM t) SELECT source, target, generator FROM r
+  WHERE taken <= 2"""
 )
 def round_robin_cap(spark, d):
     """Two proposals per effect, from its generators in turn."""

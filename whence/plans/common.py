@@ -27,7 +27,8 @@ LOG = """
 log AS (
   SELECT event_id, user_id || '@' || strftime(ts, '%Y-%m-%d') AS timeline_id, user_id, event_type, ts, epoch_us(ts) AS us, value,
     TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-    CASE event_type WHEN 'signup' THEN epoch_us(date_trunc('hour', ts)) WHEN 'error' THEN epoch_us(date_trunc('minute', ts)) ELSE epoch_us(ts) END AS lo,
+    CASE event_type WHEN 'signup' THEN epoch_us(date_trunc('hour', ts)) WHEN 'error' THEN epoch_us(date_trunc('minute',
+  ts)) ELSE epoch_us(ts) END AS lo,
     CASE event_type WHEN 'signup' THEN epoch_us(date_trunc('hour', ts)) + 3599999999 WHEN 'error' THEN epoch_us(date_trunc('minute', ts)) + 59999999
       ELSE epoch_us(ts) END AS hi FROM events
 ), seq AS (

@@ -43,7 +43,8 @@ def joint_groups(spark, d):
     "WITH "
     + _DECIDED
     + """, h AS (SELECT source_type, sha256(source || '>' || target || '>' || kind) AS h FROM promoted)
-SELECT source_type, count(*) AS edges, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS fingerprint FROM h GROUP BY 1"""
+SELECT source_type, count(*) AS edges, sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || ':' || sum(('0x' || substr(h, 16,
+  15))::BIGINT)::VARCHAR AS fingerprint FROM h GROUP BY 1"""
 )
 def projection_fingerprint(spark, d):
     """An order-free fingerprint of the promoted graph, by cause type."""
@@ -52,9 +53,14 @@ def projection_fingerprint(spark, d):
     return promoted(spark, d).groupBy("source_type").agg(F.count("*").alias("edges"), F.concat_ws(":", half(1), half(16)).alias("fingerprint"))
 
 
-@query("""WITH s AS (SELECT o_orderkey, o_orderstatus AS state, o_orderdate AS valid_from, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5) AS known_from FROM orders), l AS (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1),
-v AS (SELECT o_orderkey, 'PLACED' AS state, valid_from, known_from FROM s UNION ALL SELECT o_orderkey, 'SHIPPED', shipped, shipped + INTERVAL 2 DAY FROM s JOIN l ON l_orderkey = o_orderkey)
-SELECT state, count(*) AS orders FROM (SELECT o_orderkey, state FROM v WHERE valid_from <= TIMESTAMP '1997-01-01' AND known_from <= TIMESTAMP '1997-01-03' QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY valid_from DESC, state DESC) = 1) GROUP BY 1""")
+@query("""WITH s AS (SELECT o_orderkey, o_orderstatus AS state, o_orderdate AS valid_from,
+  o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5) AS known_from FROM orders), l AS (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem
+  GROUP BY 1),
+v AS (SELECT o_orderkey, 'PLACED' AS state, valid_from, known_from FROM s UNION ALL SELECT o_orderkey, 'SHIPPED', shipped, shipped + INTERVAL 2 DAY
+  FROM s JOIN l ON l_orderkey = o_orderkey)
+SELECT state, count(*) AS orders FROM (SELECT o_orderkey, state FROM v
+  WHERE valid_from <= TIMESTAMP '1997-01-01' AND known_from <= TIMESTAMP '1997-01-03' QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY
+  valid_from DESC, state DESC) = 1) GROUP BY 1""")
 def bitemporal_as_believed(spark, d):
     """Each order's state at an instant, as it was known two days later."""
     o, line = tables.table(spark, d, "orders"), tables.table(spark, d, "lineitem")
@@ -67,8 +73,11 @@ def bitemporal_as_believed(spark, d):
     return now.groupBy("state").agg(F.count("*").alias("orders"))
 
 
-@query("""WITH i AS (SELECT event_id % 5 AS kind, event_id, CASE event_id % 5 WHEN 0 THEN 'REMOVE_EVENT' WHEN 1 THEN 'SHIFT_TIMING' WHEN 2 THEN 'CHANGE_ATTRIBUTE' WHEN 3 THEN 'INSERT_EVENT' ELSE 'CHANGE_ENTITY_STATE' END AS intervention, event_type, value FROM events),
-a AS (SELECT *, CASE WHEN event_type = 'error' THEN 'NOT_ACTIONABLE' WHEN intervention = 'CHANGE_ATTRIBUTE' AND value IS NULL THEN 'NO_ATTRIBUTE' WHEN intervention = 'SHIFT_TIMING' AND event_type = 'signup' THEN 'FIXED_IN_TIME' ELSE 'ADMITTED' END AS reason FROM i) SELECT intervention, reason, count(*) AS n FROM a GROUP BY 1, 2""")
+@query("""WITH i AS (SELECT event_id % 5 AS kind, event_id, CASE event_id % 5 WHEN 0 THEN 'REMOVE_EVENT' WHEN 1 THEN 'SHIFT_TIMING'
+  WHEN 2 THEN 'CHANGE_ATTRIBUTE' WHEN 3 THEN 'INSERT_EVENT' ELSE 'CHANGE_ENTITY_STATE' END AS intervention, event_type, value FROM events),
+a AS (SELECT *, CASE WHEN event_type = 'error' THEN 'NOT_ACTIONABLE' WHEN intervention = 'CHANGE_ATTRIBUTE' AND value IS NULL THEN 'NO_ATTRIBUTE'
+  WHEN intervention = 'SHIFT_TIMING' AND event_type = 'signup' THEN 'FIXED_IN_TIME' ELSE 'ADMITTED' END AS reason FROM i) SELECT intervention, reason,
+  count(*) AS n FROM a GROUP BY 1, 2""")
 def intervention_admission(spark, d):
     """Which proposed changes of events are admitted, and why others aren't."""
     kinds = ("REMOVE_EVENT", "SHIFT_TIMING", "CHANGE_ATTRIBUTE", "INSERT_EVENT", "CHANGE_ENTITY_STATE")
@@ -90,9 +99,13 @@ def candidate_interventions(spark, d):
     return r.select("source", basis.alias("basis"), verdict.alias("verdict")).where("basis is not null")
 
 
-@query("WITH " + _DECIDED + """, t AS (SELECT DISTINCT source_type, target FROM promoted), s AS (SELECT source_type, count(*) AS own FROM t GROUP BY 1)
-SELECT a.source_type AS first, b.source_type AS second, any_value(x.own) + any_value(y.own) AS naive, any_value(x.own) + any_value(y.own) - count(b.target) AS joint, count(b.target) AS overlap
-FROM (SELECT p.source_type, q.source_type AS other, p.target FROM t p CROSS JOIN (SELECT source_type FROM s) q WHERE p.source_type < q.source_type) a LEFT JOIN t b ON b.source_type = a.other AND b.target = a.target JOIN s x ON x.source_type = a.source_type JOIN s y ON y.source_type = a.other WHERE b.source_type IS NOT NULL GROUP BY 1, 2""")
+@query("WITH " + _DECIDED + """, t AS (SELECT DISTINCT source_type, target FROM promoted), s AS (SELECT source_type, count(*) AS own FROM t
+  GROUP BY 1)
+SELECT a.source_type AS first, b.source_type AS second, any_value(x.own) + any_value(y.own) AS naive,
+  any_value(x.own) + any_value(y.own) - count(b.target) AS joint, count(b.target) AS overlap
+FROM (SELECT p.source_type, q.source_type AS other, p.target FROM t p CROSS JOIN (SELECT source_type FROM s) q WHERE p.source_type < q.source_type) a
+  LEFT JOIN t b ON b.source_type = a.other AND b.target = a.target JOIN s x ON x.source_type = a.source_type JOIN s y ON y.source_type = a.other
+  WHERE b.source_type IS NOT NULL GROUP BY 1, 2""")
 def portfolio_overlap(spark, d):
     """What two levers reach together, and how much of it both reach alone."""
     t = promoted(spark, d).select("source_type", "target").distinct()
@@ -129,7 +142,9 @@ def temporal_summary(spark, d):
     return e.groupBy("event_type").agg(F.count("ts").alias("parsed"), (F.count("*") - F.count("ts")).alias("unparsed"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"), F.count_if(us % 60000000 != 0).alias("with_seconds"))
 
 
-@query("""SELECT l_orderkey AS entity_id, 'LINE_SHIPPED' AS event_type, l_linenumber AS line, l_shipdate::DATE::VARCHAR AS day FROM lineitem WHERE l_quantity > 25 AND l_linestatus = 'F' UNION ALL SELECT o_orderkey, 'ORDER_PLACED', 0, o_orderdate::DATE::VARCHAR FROM orders WHERE o_totalprice > 100000""")
+@query("""SELECT l_orderkey AS entity_id, 'LINE_SHIPPED' AS event_type, l_linenumber AS line, l_shipdate::DATE::VARCHAR AS day FROM lineitem
+  WHERE l_quantity > 25 AND l_linestatus = 'F' UNION ALL SELECT o_orderkey, 'ORDER_PLACED', 0, o_orderdate::DATE::VARCHAR FROM orders
+  WHERE o_totalprice > 100000""")
 def emit_events(spark, d):
     """Events that declared conditions on rows emit."""
     from ..functions.conditions import compile_condition

@@ -44,15 +44,18 @@ def judged(spark, d) -> DataFrame:
     return found.withColumn("reasons", F.concat("reasons", F.when(F.col("shape") != "FULL", F.array(F.concat("shape", F.lit("_ROW")))).otherwise(F.array().cast("array<string>"))))
 
 
-_RAW = """r AS (SELECT *, o_orderkey % 97 = 0 AS short, o_orderkey % 89 = 0 AND o_orderkey % 97 <> 0 AS long_, o_orderkey % 97 <> 0 AND o_orderkey % 83 <> 0 AS timed,
+_RAW = """r AS (SELECT *, o_orderkey % 97 = 0 AS short, o_orderkey % 89 = 0 AND o_orderkey % 97 <> 0 AS long_,
+  o_orderkey % 97 <> 0 AND o_orderkey % 83 <> 0 AS timed,
   o_orderkey % 79 <> 0 AS known, o_orderkey % 73 <> 0 AS numbered FROM orders)"""
 
 
 @query(
     "WITH "
     + _RAW
-    + """ SELECT 'rec:' || substr(sha256('v1|' || o_orderkey), 1, 16) AS evidence_id, o_orderkey AS row_number, CASE WHEN short THEN 'SHORT' WHEN long_ THEN 'LONG' ELSE 'FULL' END AS shape,
-  CASE WHEN short THEN '' ELSE o_orderpriority || ';' END AS priority, CASE WHEN long_ THEN 'extra' END AS "__surplus_1", CASE WHEN long_ THEN 'more;still' END AS "__surplus_2" FROM r"""
+    + """ SELECT 'rec:' || substr(sha256('v1|' || o_orderkey), 1, 16) AS evidence_id, o_orderkey AS row_number, CASE WHEN short THEN 'SHORT'
+  WHEN long_ THEN 'LONG' ELSE 'FULL' END AS shape,
+  CASE WHEN short THEN '' ELSE o_orderpriority || ';' END AS priority, CASE WHEN long_ THEN 'extra' END AS "__surplus_1", CASE
+  WHEN long_ THEN 'more;still' END AS "__surplus_2" FROM r"""
 )
 def raw_records(spark, d):
     """Every line as a record: short ones padded, what long ones have too much kept aside."""
@@ -63,7 +66,8 @@ def raw_records(spark, d):
 @query(
     "WITH "
     + _RAW
-    + """ SELECT o_orderkey AS row_number, 'order:' || substr(sha256(o_orderkey || '|' || o_custkey), 1, 16) AS address, CASE WHEN known THEN CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'P' THEN 'PART' ELSE 'FULFILLED' END END AS status,
+    + """ SELECT o_orderkey AS row_number, 'order:' || substr(sha256(o_orderkey || '|' || o_custkey), 1, 16) AS address, CASE WHEN known THEN
+  CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'P' THEN 'PART' ELSE 'FULFILLED' END END AS status,
   CASE WHEN numbered THEN trunc(o_totalprice * 100)::DOUBLE END AS total, CASE WHEN timed THEN date_trunc('minute', o_orderdate) END AS t_earliest,
   CASE WHEN timed THEN 'MINUTE' ELSE 'UNKNOWN' END AS precision FROM r"""
 )
@@ -75,8 +79,10 @@ def raw_mapping(spark, d):
 @query(
     "WITH "
     + _RAW
-    + """, c AS (SELECT unnest([CASE WHEN NOT known THEN 'UNMAPPED_mapped_status' END, CASE WHEN NOT numbered THEN 'UNPARSED_mapped_total' END, CASE WHEN NOT timed THEN 'UNPARSED_placed_at' END,
-  CASE WHEN short THEN 'SHORT_ROW' WHEN long_ THEN 'LONG_ROW' END, CASE WHEN known AND numbered AND timed AND NOT short AND NOT long_ THEN 'CLEAN' END]) AS code FROM r)
+    + """, c AS (SELECT unnest([CASE WHEN NOT known THEN 'UNMAPPED_mapped_status' END, CASE WHEN NOT numbered THEN 'UNPARSED_mapped_total' END, CASE
+  WHEN NOT timed THEN 'UNPARSED_placed_at' END,
+  CASE WHEN short THEN 'SHORT_ROW' WHEN long_ THEN 'LONG_ROW' END, CASE
+  WHEN known AND numbered AND timed AND NOT short AND NOT long_ THEN 'CLEAN' END]) AS code FROM r)
 SELECT code, count(*) AS rows FROM c WHERE code IS NOT NULL GROUP BY 1"""
 )
 def raw_ledger(spark, d):
@@ -88,8 +94,10 @@ def raw_ledger(spark, d):
 @query(
     "WITH "
     + _RAW
-    + """ SELECT 'status' AS field, count(*) AS rows, count(*) FILTER (known) AS mapped, 'ENUMERATION' AS kind FROM r UNION ALL SELECT 'total', count(*), count(*) FILTER (numbered), 'NUMBER' FROM r
-UNION ALL SELECT 'placed', count(*), count(*) FILTER (timed), 'INSTANT' FROM r UNION ALL SELECT 'priority', count(*), count(*) FILTER (NOT short), 'TEXT' FROM r
+    + """ SELECT 'status' AS field, count(*) AS rows, count(*) FILTER (known) AS mapped, 'ENUMERATION' AS kind FROM r UNION ALL SELECT 'total',
+  count(*), count(*) FILTER (numbered), 'NUMBER' FROM r
+UNION ALL SELECT 'placed', count(*), count(*) FILTER (timed), 'INSTANT' FROM r UNION ALL SELECT 'priority', count(*), count(*) FILTER (NOT short),
+  'TEXT' FROM r
 UNION ALL SELECT c, count(*), 0, 'UNCLAIMED' FROM r, (SELECT unnest(['__surplus_1', '__surplus_2']) AS c) GROUP BY 1"""
 )
 def mapping_coverage(spark, d):
@@ -103,9 +111,11 @@ def mapping_coverage(spark, d):
 
 
 @query(
-    """SELECT 'order' AS entity_type, count(*) AS read, count(DISTINCT o_orderkey) AS entities, count(*) - count(DISTINCT o_orderkey) AS repeated FROM orders
+    """SELECT 'order' AS entity_type, count(*) AS read, count(DISTINCT o_orderkey) AS entities, count(*) - count(DISTINCT o_orderkey) AS repeated
+  FROM orders
 UNION ALL SELECT 'customer', count(*), count(DISTINCT o_custkey), count(*) - count(DISTINCT o_custkey) FROM orders
-UNION ALL SELECT 'part', count(*), count(DISTINCT l_partkey), count(*) - count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'supplier', count(*), count(DISTINCT l_suppkey), count(*) - count(DISTINCT l_suppkey) FROM lineitem"""
+UNION ALL SELECT 'part', count(*), count(DISTINCT l_partkey), count(*) - count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'supplier',
+  count(*), count(DISTINCT l_suppkey), count(*) - count(DISTINCT l_suppkey) FROM lineitem"""
 )
 def entity_reconciliation(spark, d):
     """Of each type of entity: mentions read, entities, mentions that repeat one."""
@@ -117,7 +127,8 @@ def entity_reconciliation(spark, d):
 
 
 _TIMES = """t AS (SELECT date_trunc('day', o_orderdate) AS a0, date_trunc('day', o_orderdate) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS a1,
-  date_trunc('day', l_shipdate) AS b0, date_trunc('day', l_shipdate) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS b1, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
+  date_trunc('day', l_shipdate) AS b0, date_trunc('day', l_shipdate) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS b1, l_linenumber FROM orders
+  JOIN lineitem ON o_orderkey = l_orderkey)"""
 
 
 def _line_times(spark, d) -> DataFrame:
@@ -129,8 +140,10 @@ def _line_times(spark, d) -> DataFrame:
 @query(
     "WITH "
     + _TIMES
-    + """, p AS (SELECT 'PACKED' AS event_type, CASE WHEN a0 > b1 THEN 'UNKNOWN' ELSE 'DAY' END AS precision, CASE WHEN a0 > b1 THEN 'ASSUMED' ELSE 'INFERRED' END AS provenance, CASE WHEN a0 <= b1 THEN a0 END AS e, CASE WHEN a0 <= b1 THEN b1 END AS l FROM t
-  UNION ALL SELECT 'DUE', 'DAY', 'INFERRED', a0 + INTERVAL 1 DAY * l_linenumber, a1 + INTERVAL 1 DAY * l_linenumber FROM t UNION ALL SELECT 'SHIPPED', 'DAY', 'OBSERVED', b0, b1 FROM t UNION ALL SELECT 'INSPECTED', 'UNKNOWN', 'ASSUMED', NULL, NULL FROM t)
+    + """, p AS (SELECT 'PACKED' AS event_type, CASE WHEN a0 > b1 THEN 'UNKNOWN' ELSE 'DAY' END AS precision, CASE
+  WHEN a0 > b1 THEN 'ASSUMED' ELSE 'INFERRED' END AS provenance, CASE WHEN a0 <= b1 THEN a0 END AS e, CASE WHEN a0 <= b1 THEN b1 END AS l FROM t
+  UNION ALL SELECT 'DUE', 'DAY', 'INFERRED', a0 + INTERVAL 1 DAY * l_linenumber, a1 + INTERVAL 1 DAY * l_linenumber FROM t UNION ALL SELECT 'SHIPPED',
+  'DAY', 'OBSERVED', b0, b1 FROM t UNION ALL SELECT 'INSPECTED', 'UNKNOWN', 'ASSUMED', NULL, NULL FROM t)
 SELECT event_type, precision, provenance, count(*) AS n, min(e) AS earliest, max(l) AS latest FROM p GROUP BY 1, 2, 3"""
 )
 def occurrence_policies(spark, d):
@@ -145,7 +158,8 @@ def occurrence_policies(spark, d):
     "WITH "
     + _TIMES
     + """, p AS (SELECT a0 > b1 AS inverted, a0, b1, a0 + INTERVAL 1 DAY * l_linenumber AS d0, a1 + INTERVAL 1 DAY * l_linenumber AS d1, b0 FROM t)
-SELECT CASE WHEN d0 >= b1 THEN 'VIOLATION' ELSE 'UNDETERMINED' END AS verdict, CASE WHEN d0 >= b1 THEN 'VIOLATION' WHEN d1 < b0 THEN 'CERTAIN' ELSE 'UNDETERMINED' END AS simulated, d1 < b0 AS strictly_before, count(*) AS n FROM p GROUP BY 1, 2, 3"""
+SELECT CASE WHEN d0 >= b1 THEN 'VIOLATION' ELSE 'UNDETERMINED' END AS verdict, CASE WHEN d0 >= b1 THEN 'VIOLATION'
+  WHEN d1 < b0 THEN 'CERTAIN' ELSE 'UNDETERMINED' END AS simulated, d1 < b0 AS strictly_before, count(*) AS n FROM p GROUP BY 1, 2, 3"""
 )
 def simulated_precedence(spark, d):
     """Does the due day precede the shipping day?  A verdict on facts doesn't trust the inferred day, a simulation does."""
@@ -156,7 +170,8 @@ def simulated_precedence(spark, d):
 
 @query(
     """WITH j AS (SELECT l_returnflag, l_linestatus, l_shipdate >= o_orderdate AS holds FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-s AS (SELECT l_returnflag AS cause_source, l_linestatus AS effect_source, count(*) AS n, avg(CASE WHEN holds THEN 1.0 ELSE 0.0 END) AS share FROM j GROUP BY 1, 2)
+s AS (SELECT l_returnflag AS cause_source, l_linestatus AS effect_source, count(*) AS n, avg(CASE WHEN holds THEN 1.0 ELSE 0.0 END) AS share FROM j
+  GROUP BY 1, 2)
 SELECT cause_source, effect_source, CASE WHEN share >= 0.5 THEN 'PRECEDES' ELSE 'UNSETTLED' END AS derived, n AS pairs FROM s"""
 )
 def derived_precedence(spark, d):
@@ -170,9 +185,11 @@ def derived_precedence(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT l_returnflag, o.o_orderkey IS NOT NULL AS has_order, s.s_suppkey IS NOT NULL AS has_supplier FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o.o_orderkey
+    """WITH e AS (SELECT l_returnflag, o.o_orderkey IS NOT NULL AS has_order, s.s_suppkey IS NOT NULL AS has_supplier FROM lineitem LEFT
+  JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o.o_orderkey
   LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON l_suppkey = s.s_suppkey)
-SELECT l_returnflag, count(*) AS events, count(*) FILTER (NOT has_order) AS suppressed, count(*) FILTER (has_order AND NOT has_supplier) AS orphan_targets, count(*) FILTER (has_order) AS emitted FROM e GROUP BY 1"""
+SELECT l_returnflag, count(*) AS events, count(*) FILTER (NOT has_order) AS suppressed,
+  count(*) FILTER (has_order AND NOT has_supplier) AS orphan_targets, count(*) FILTER (has_order) AS emitted FROM e GROUP BY 1"""
 )
 def participants(spark, d):
     """Shipments with their participants: one without its order (the source) isn't emitted, an unknown supplier (a target) is an orphan."""
@@ -185,7 +202,9 @@ def participants(spark, d):
 
 
 @query(
-    """SELECT n_name AS nation, count(*) AS pairs, count(DISTINCT o_orderkey) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = c_nationkey
+    """SELECT n_name AS nation, count(*) AS pairs, count(DISTINCT o_orderkey) AS orders FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey
+  JOIN nation ON n_nationkey = c_nationkey
 WHERE l_shipdate > o_orderdate GROUP BY 1"""
 )
 def typed_relationship_pairs(spark, d):
@@ -210,7 +229,10 @@ def staged_rows_added(spark, d):
 
 @query(
     """WITH l AS (SELECT l_orderkey, bool_and(l_linestatus = 'F') AS all_f, bool_and(l_linestatus = 'O') AS all_o FROM lineitem GROUP BY 1),
-f AS (SELECT CASE WHEN o_orderstatus NOT IN ('O', 'P', 'F') THEN 'UNKNOWN_STATE' WHEN l_orderkey IS NULL AND o_orderstatus <> 'O' THEN 'UNREACHABLE_STATE' WHEN o_orderstatus = 'F' AND NOT all_f OR o_orderstatus = 'O' AND NOT all_o THEN 'CONTRADICTS_LINES' ELSE 'CONSISTENT' END AS code, o_orderstatus FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)
+f AS (SELECT CASE WHEN o_orderstatus NOT IN ('O', 'P', 'F') THEN 'UNKNOWN_STATE'
+  WHEN l_orderkey IS NULL AND o_orderstatus <> 'O' THEN 'UNREACHABLE_STATE'
+  WHEN o_orderstatus = 'F' AND NOT all_f OR o_orderstatus = 'O' AND NOT all_o THEN 'CONTRADICTS_LINES' ELSE 'CONSISTENT' END AS code, o_orderstatus
+  FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)
 SELECT code, o_orderstatus AS state, count(*) AS orders FROM f GROUP BY 1, 2"""
 )
 def lifecycle_contradictions(spark, d):
@@ -224,9 +246,12 @@ def lifecycle_contradictions(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT count(*) AS n, count(*) FILTER (c_acctbal < 0) AS negative, count(DISTINCT c_mktsegment) AS segments, count(DISTINCT c_custkey) AS keys FROM customer)
-SELECT 'PROFILE' AS ledger, 'NEGATIVE_BALANCE' AS code, CASE WHEN negative > 0 THEN 'FOUND' ELSE 'HOLDS' END AS outcome, negative AS rows FROM p UNION ALL SELECT 'CONSTRAINT', 'KEY_IS_UNIQUE', CASE WHEN keys = n THEN 'HOLDS' ELSE 'FOUND' END, n - keys FROM p
-UNION ALL SELECT 'CONSTRAINT', 'FIVE_SEGMENTS', CASE WHEN segments = 5 THEN 'HOLDS' ELSE 'FOUND' END, segments FROM p UNION ALL SELECT 'NOT_CHECKED', 'PHONE_FORMAT', 'NO_COLUMN', n FROM p"""
+    """WITH p AS (SELECT count(*) AS n, count(*) FILTER (c_acctbal < 0) AS negative, count(DISTINCT c_mktsegment) AS segments,
+  count(DISTINCT c_custkey) AS keys FROM customer)
+SELECT 'PROFILE' AS ledger, 'NEGATIVE_BALANCE' AS code, CASE WHEN negative > 0 THEN 'FOUND' ELSE 'HOLDS' END AS outcome, negative AS rows FROM p
+  UNION ALL SELECT 'CONSTRAINT', 'KEY_IS_UNIQUE', CASE WHEN keys = n THEN 'HOLDS' ELSE 'FOUND' END, n - keys FROM p
+UNION ALL SELECT 'CONSTRAINT', 'FIVE_SEGMENTS', CASE WHEN segments = 5 THEN 'HOLDS' ELSE 'FOUND' END, segments FROM p UNION ALL SELECT 'NOT_CHECKED',
+  'PHONE_FORMAT', 'NO_COLUMN', n FROM p"""
 )
 def findings_ledger(spark, d):
     """What a profile finds, which headline constraints hold, and what couldn't be checked."""
@@ -254,8 +279,10 @@ def event_confidence(spark, d):
 @query(
     "WITH "
     + LOG
-    + """, s AS (SELECT unnest(['signup', 'view', 'click', 'purchase']) AS step), t AS (SELECT DISTINCT timeline_id FROM seq), m AS (SELECT t.timeline_id, step FROM t, s WHERE NOT EXISTS (SELECT 1 FROM seq x WHERE x.timeline_id = t.timeline_id AND x.event_type = step))
-SELECT step AS expected_type, CASE WHEN step = 'signup' THEN 'EMIT_GAP_MARKER' ELSE 'RECORD_GAP' END AS policy, count(*) AS timelines FROM m GROUP BY 1, 2"""
+    + """, s AS (SELECT unnest(['signup', 'view', 'click', 'purchase']) AS step), t AS (SELECT DISTINCT timeline_id FROM seq),
+  m AS (SELECT t.timeline_id, step FROM t, s WHERE NOT EXISTS (SELECT 1 FROM seq x WHERE x.timeline_id = t.timeline_id AND x.event_type = step))
+SELECT step AS expected_type, CASE WHEN step = 'signup' THEN 'EMIT_GAP_MARKER' ELSE 'RECORD_GAP' END AS policy, count(*) AS timelines FROM m
+  GROUP BY 1, 2"""
 )
 def gap_markers(spark, d):
     """Steps that user-days lack: one that no rule emits gets a marker, the others are noted."""
@@ -265,8 +292,10 @@ def gap_markers(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT o_orderkey, o_orderstatus AS state, o_orderdate AS known_from, c_acctbal < 0 AS retracted FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT state, count(*) AS stated, count(*) FILTER (retracted) AS retracted, count(*) FILTER (NOT retracted) AS believed FROM s WHERE known_from <= TIMESTAMP '1998-01-01' GROUP BY 1"""
+    """WITH s AS (SELECT o_orderkey, o_orderstatus AS state, o_orderdate AS known_from, c_acctbal < 0 AS retracted FROM orders
+  JOIN customer ON o_custkey = c_custkey)
+SELECT state, count(*) AS stated, count(*) FILTER (retracted) AS retracted, count(*) FILTER (NOT retracted) AS believed FROM s
+  WHERE known_from <= TIMESTAMP '1998-01-01' GROUP BY 1"""
 )
 def retracted_states(spark, d):
     """States that were retracted: their period of knowledge is closed by a later row, nothing is overwritten."""
@@ -281,9 +310,12 @@ def retracted_states(spark, d):
 
 
 @query(
-    """SELECT 'PLACED_BY' AS kind, count(*) AS edges, count(DISTINCT o_custkey) AS targets FROM orders UNION ALL SELECT 'CONTAINS', count(*), count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'SUPPLIED_BY', count(*), count(DISTINCT l_suppkey) FROM lineitem
-UNION ALL SELECT 'CUSTOMER_OF', count(*), count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'SUPPLIER_OF', count(*), count(DISTINCT s_nationkey) FROM supplier UNION ALL SELECT 'PART_OF_REGION', count(*), count(DISTINCT n_regionkey) FROM nation
-UNION ALL SELECT 'ACTED', count(*), count(DISTINCT user_id) FROM events UNION ALL SELECT 'OF_TYPE', count(*), count(DISTINCT event_type) FROM events UNION ALL SELECT 'PRECEDES', count(*) - count(DISTINCT user_id), count(*) - count(DISTINCT user_id) FROM events"""
+    """SELECT 'PLACED_BY' AS kind, count(*) AS edges, count(DISTINCT o_custkey) AS targets FROM orders UNION ALL SELECT 'CONTAINS', count(*),
+  count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'SUPPLIED_BY', count(*), count(DISTINCT l_suppkey) FROM lineitem
+UNION ALL SELECT 'CUSTOMER_OF', count(*), count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'SUPPLIER_OF', count(*),
+  count(DISTINCT s_nationkey) FROM supplier UNION ALL SELECT 'PART_OF_REGION', count(*), count(DISTINCT n_regionkey) FROM nation
+UNION ALL SELECT 'ACTED', count(*), count(DISTINCT user_id) FROM events UNION ALL SELECT 'OF_TYPE', count(*), count(DISTINCT event_type) FROM events
+  UNION ALL SELECT 'PRECEDES', count(*) - count(DISTINCT user_id), count(*) - count(DISTINCT user_id) FROM events"""
 )
 def projected_edges(spark, d):
     """The graph that entities and events project to: nine kinds of edges in one stream."""
@@ -300,7 +332,8 @@ def projected_edges(spark, d):
 
 @query(
     """WITH j AS (SELECT event_type, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","props":"' || replace(props, '"', '\\"') || '","schema":1,"user_id":' || user_id || '}' AS json FROM events)
-SELECT event_type, count(*) AS events, max(length(json)) AS longest, sum(('0x' || substr(sha256(json), 1, 15))::BIGINT)::VARCHAR AS fingerprint, count(*) AS round_trips FROM j GROUP BY 1"""
+SELECT event_type, count(*) AS events, max(length(json)) AS longest, sum(('0x' || substr(sha256(json), 1, 15))::BIGINT)::VARCHAR AS fingerprint,
+  count(*) AS round_trips FROM j GROUP BY 1"""
 )
 def canonical_json(spark, d):
     """Events as JSON with sorted keys and a schema version: equal rows have equal text, and it reads back."""
@@ -321,7 +354,8 @@ def token_names(spark, d):
 
 
 @query(
-    """SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS witnesses, string_agg(DISTINCT (l_linenumber || '/' || l_partkey), ',' ORDER BY (l_linenumber || '/' || l_partkey)) AS evidence,
+    """SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS witnesses, string_agg(DISTINCT (l_linenumber || '/' || l_partkey),
+  ',' ORDER BY (l_linenumber || '/' || l_partkey)) AS evidence,
   arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_part FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"""
 )
 def occurrence_witnesses(spark, d):
@@ -338,9 +372,12 @@ VARIANTS = {"buy": ("view", "click", "purchase"), "join": ("signup", "view"), "f
 @query(
     "WITH "
     + LOG
-    + """, v AS (SELECT * FROM (VALUES ('buy', ['view', 'click', 'purchase']), ('join', ['signup', 'view']), ('fail', ['error', 'click'])) x(variant, steps)),
-t AS (SELECT timeline_id, list(DISTINCT event_type) AS seen FROM seq GROUP BY 1), m AS (SELECT timeline_id, seen, variant, steps, len(list_intersect(seen, steps)) AS overlap FROM t, v),
-b AS (SELECT * FROM m WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY timeline_id ORDER BY overlap DESC, len(steps), variant) = 1), x AS (SELECT variant, unnest(steps) AS step, seen FROM b)
+    + """, v AS (SELECT * FROM (VALUES ('buy', ['view', 'click', 'purchase']), ('join', ['signup', 'view']), ('fail', ['error', 'click'])) x(variant,
+  steps)),
+t AS (SELECT timeline_id, list(DISTINCT event_type) AS seen FROM seq GROUP BY 1), m AS (SELECT timeline_id, seen, variant, steps,
+  len(list_intersect(seen, steps)) AS overlap FROM t, v),
+b AS (SELECT * FROM m WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY timeline_id ORDER BY overlap DESC, len(steps), variant) = 1),
+  x AS (SELECT variant, unnest(steps) AS step, seen FROM b)
 SELECT variant, step, count(*) AS expecting, count(*) FILTER (NOT list_contains(seen, step)) AS missing FROM x GROUP BY 1, 2"""
 )
 def process_variants(spark, d):
@@ -355,7 +392,8 @@ def process_variants(spark, d):
 
 @query(
     """WITH k AS (SELECT l_orderkey, l_linenumber, count(DISTINCT l_partkey) AS parts, count(*) AS rows FROM lineitem GROUP BY 1, 2)
-SELECT CASE WHEN rows = 1 THEN 'SINGLE' WHEN parts = 1 THEN 'REPEATED' ELSE 'REJECT' END AS decision, count(*) AS keys, sum(rows)::BIGINT AS rows, sum(CASE WHEN rows > 1 AND parts > 1 THEN parts - 1 ELSE 0 END)::BIGINT AS conflicts FROM k GROUP BY 1"""
+SELECT CASE WHEN rows = 1 THEN 'SINGLE' WHEN parts = 1 THEN 'REPEATED' ELSE 'REJECT' END AS decision, count(*) AS keys, sum(rows)::BIGINT AS rows,
+  sum(CASE WHEN rows > 1 AND parts > 1 THEN parts - 1 ELSE 0 END)::BIGINT AS conflicts FROM k GROUP BY 1"""
 )
 def identity_ledger(spark, d):
     """Keys by what the REJECT policy makes of them: rows that say different things are all refused, as conflicts on a ledger."""

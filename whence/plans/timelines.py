@@ -19,9 +19,12 @@ for (_, _t), _s in sorted(MACHINE.items()):
 _REPLAY = (
     "WITH RECURSIVE "
     + LOG
-    + f""", x AS (SELECT *, row_number() OVER (PARTITION BY timeline_id ORDER BY position) AS i FROM seq WHERE event_type IN ({", ".join(f"'{t}'" for t in _FIRST)})),
-m AS (SELECT timeline_id, event_id, event_type, position, ts, i, NULL::VARCHAR AS was, CASE event_type {" ".join(f"WHEN '{t}' THEN '{s}'" for t, s in _FIRST.items())} END AS state FROM x WHERE i = 1
-  UNION ALL SELECT x.timeline_id, x.event_id, x.event_type, x.position, x.ts, x.i, m.state, {_TO} FROM m JOIN x ON x.timeline_id = m.timeline_id AND x.i = m.i + 1 WHERE m.state <> '!')"""
+    + f""", x AS (SELECT *, row_number() OVER (PARTITION BY timeline_id ORDER BY position) AS i FROM seq
+  WHERE event_type IN ({", ".join(f"'{t}'" for t in _FIRST)})),
+m AS (SELECT timeline_id, event_id, event_type, position, ts, i, NULL::VARCHAR AS was,
+  CASE event_type {" ".join(f"WHEN '{t}' THEN '{s}'" for t, s in _FIRST.items())} END AS state FROM x WHERE i = 1
+  UNION ALL SELECT x.timeline_id, x.event_id, x.event_type, x.position, x.ts, x.i, m.state, {_TO} FROM m
+  JOIN x ON x.timeline_id = m.timeline_id AND x.i = m.i + 1 WHERE m.state <> '!')"""
 )
 
 
@@ -39,7 +42,8 @@ def sequence_violations(spark, d):
 @query(
     "WITH "
     + LOG
-    + f""", t AS (SELECT DISTINCT timeline_id FROM seq), r AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(STEPS))}) v(i, expected_type)),
+    + f""", t AS (SELECT DISTINCT timeline_id FROM seq), r AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(STEPS))}) v(i,
+  expected_type)),
 p AS (SELECT timeline_id, {_STEP} AS i, min(position) AS p FROM seq WHERE {_STEP} IS NOT NULL GROUP BY 1, 2)
 SELECT t.timeline_id, r.expected_type, (SELECT min(p.p) FROM p WHERE p.timeline_id = t.timeline_id AND p.i > r.i) AS before_position
 FROM t, r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.timeline_id = t.timeline_id AND p.i = r.i)"""
@@ -63,8 +67,10 @@ def state_intervals(spark, d):
     return sequences.state_intervals(sequences.replay(sequenced(spark, d), MACHINE))
 
 
-@query(_REPLAY + """, h AS (SELECT timeline_id, state, ts AS entered, lead(ts) OVER (PARTITION BY timeline_id ORDER BY position) AS l FROM m WHERE state <> '!')
-SELECT state, count(*) AS timelines FROM h WHERE entered <= TIMESTAMP '2024-01-15 12:00:00' AND (l IS NULL OR TIMESTAMP '2024-01-15 12:00:00' < l) GROUP BY 1""")
+@query(_REPLAY + """, h AS (SELECT timeline_id, state, ts AS entered, lead(ts) OVER (PARTITION BY timeline_id ORDER BY position) AS l FROM m
+  WHERE state <> '!')
+SELECT state, count(*) AS timelines FROM h WHERE entered <= TIMESTAMP '2024-01-15 12:00:00' AND (l IS NULL OR TIMESTAMP '2024-01-15 12:00:00' < l)
+  GROUP BY 1""")
 def state_as_of(spark, d):
     """How many timelines are in each state at an instant."""
     held = sequences.holding_at(sequences.state_intervals(sequences.replay(sequenced(spark, d), MACHINE)), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
@@ -93,7 +99,8 @@ def time_buckets(spark, d):
     return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("bucket"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS entity_id, 'ORDER_PLACED' AS event_type, strftime(o_orderdate, '%Y-%m-%d') AS day, 'DAY' AS precision FROM orders
+@query("""WITH e AS (SELECT o_orderkey AS entity_id, 'ORDER_PLACED' AS event_type, strftime(o_orderdate, '%Y-%m-%d') AS day, 'DAY' AS precision
+  FROM orders
   UNION ALL SELECT l_orderkey, 'LINE_SHIPPED', strftime(l_shipdate, '%Y-%m-%d'), 'DAY' FROM lineitem
   UNION ALL SELECT l_orderkey, 'LINE_RETURNED', NULL, 'UNKNOWN' FROM lineitem WHERE l_returnflag = 'R'
   UNION ALL SELECT o_orderkey, 'ORDER_FULFILLED', NULL, 'UNKNOWN' FROM orders WHERE o_orderstatus = 'F')
@@ -105,16 +112,20 @@ def occurrence_dedup(spark, d):
     return e.groupBy("entity_id", "event_type", day.alias("day"), F.col("at.precision").alias("precision")).agg(F.count("*").alias("witnesses"))
 
 
-@query("""SELECT event_type, precision, provenance, count(*) AS n FROM (SELECT 'ORDER_PLACED' AS event_type, 'DAY' AS precision, 'OBSERVED' AS provenance FROM orders
-  UNION ALL SELECT 'LINE_SHIPPED', 'DAY', 'OBSERVED' FROM lineitem UNION ALL SELECT 'LINE_RETURNED', 'UNKNOWN', 'ASSUMED' FROM lineitem WHERE l_returnflag = 'R'
+@query("""SELECT event_type, precision, provenance, count(*) AS n FROM (SELECT 'ORDER_PLACED' AS event_type, 'DAY' AS precision,
+  'OBSERVED' AS provenance FROM orders
+  UNION ALL SELECT 'LINE_SHIPPED', 'DAY', 'OBSERVED' FROM lineitem UNION ALL SELECT 'LINE_RETURNED', 'UNKNOWN', 'ASSUMED' FROM lineitem
+  WHERE l_returnflag = 'R'
   UNION ALL SELECT 'ORDER_FULFILLED', 'UNKNOWN', 'ASSUMED' FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL""")
 def event_tallies(spark, d):
     e = tables.order_events(spark, d)
     return e.groupBy("event_type", F.col("at.precision").alias("precision"), F.col("at.provenance").alias("provenance")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS id, 'ORDER_PLACED' AS t FROM orders UNION SELECT l_orderkey, 'LINE_SHIPPED' FROM lineitem UNION SELECT o_orderkey, 'ORDER_FULFILLED' FROM orders WHERE o_orderstatus = 'F'),
-n AS (SELECT id, count(*) AS k FROM e GROUP BY 1) SELECT t AS step, count(*) AS present, (SELECT count(*) FROM orders) - count(*) AS missing FROM e WHERE id IN (SELECT o_orderkey FROM orders) GROUP BY 1""")
+@query("""WITH e AS (SELECT o_orderkey AS id, 'ORDER_PLACED' AS t FROM orders UNION SELECT l_orderkey, 'LINE_SHIPPED' FROM lineitem UNION
+  SELECT o_orderkey, 'ORDER_FULFILLED' FROM orders WHERE o_orderstatus = 'F'),
+n AS (SELECT id, count(*) AS k FROM e GROUP BY 1) SELECT t AS step, count(*) AS present, (SELECT count(*) FROM orders) - count(*) AS missing FROM e
+  WHERE id IN (SELECT o_orderkey FROM orders) GROUP BY 1""")
 def process_coverage(spark, d):
     """Of each step of an order's process how many orders show it."""
     e = tables.order_events(spark, d).where("event_type <> 'LINE_RETURNED'").select("entity_id", "event_type").distinct()
@@ -123,9 +134,11 @@ def process_coverage(spark, d):
     return seen.crossJoin(F.broadcast(o.agg(F.count("*").alias("total")))).select("step", "present", (F.col("total") - F.col("present")).alias("missing"))
 
 
-@query("""WITH j AS (SELECT o_orderstatus, epoch_us(date_trunc('day', o_orderdate)) AS a, epoch_us(date_trunc('day', l_shipdate)) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+@query("""WITH j AS (SELECT o_orderstatus, epoch_us(date_trunc('day', o_orderdate)) AS a, epoch_us(date_trunc('day', l_shipdate)) AS b FROM orders
+  JOIN lineitem ON o_orderkey = l_orderkey),
 s AS (SELECT *, greatest(b - (a + 86399999999), 0) AS low, greatest(b + 86399999999 - a, 0) AS high, b - (a + 86399999999) AS raw FROM j)
-SELECT o_orderstatus, count(*) AS pairs, count(*) FILTER (raw < 0) AS clipped, count(*) FILTER (high >= 86400000000 AND low <= 30 * 86400000000) AS in_window, min(raw) AS least, max(high) AS greatest FROM s GROUP BY 1""")
+SELECT o_orderstatus, count(*) AS pairs, count(*) FILTER (raw < 0) AS clipped,
+  count(*) FILTER (high >= 86400000000 AND low <= 30 * 86400000000) AS in_window, min(raw) AS least, max(high) AS greatest FROM s GROUP BY 1""")
 def separation_window(spark, d):
     """Separations of order and shipment, clipped and not, within a month or not."""
     o, line = tables.table(spark, d, "orders"), tables.table(spark, d, "lineitem")
@@ -136,7 +149,8 @@ def separation_window(spark, d):
     return j.groupBy("o_orderstatus").agg(F.count("*").alias("pairs"), F.count_if(raw < 0).alias("clipped"), F.count_if(fits).alias("in_window"), F.min(raw).alias("least"), F.max(high).alias("greatest"))
 
 
-@query("""WITH v AS (SELECT o_orderkey, CASE WHEN o_orderdate::DATE >= l_shipdate::DATE + 1 OR o_orderdate::DATE > l_shipdate::DATE THEN 'VIOLATION' WHEN o_orderdate::DATE < l_shipdate::DATE THEN 'CERTAIN' ELSE 'UNDETERMINED' END AS verdict,
+@query("""WITH v AS (SELECT o_orderkey, CASE WHEN o_orderdate::DATE >= l_shipdate::DATE + 1 OR o_orderdate::DATE > l_shipdate::DATE THEN 'VIOLATION'
+  WHEN o_orderdate::DATE < l_shipdate::DATE THEN 'CERTAIN' ELSE 'UNDETERMINED' END AS verdict,
   l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT verdict, l_returnflag, count(*) AS n FROM v GROUP BY 1, 2""")
 def temporal_verdict(spark, d):
