@@ -14,7 +14,7 @@ from .common import HOUR, LOG, pairs, query
 
 #: Declared parameters of scoring and promotion, this library's own.
 SATURATION, GENERATORS, WIDE_US = 3, 7, 6 * HOUR
-FLOORS = {"DIRECT": 0.22, "CONDITIONAL": 0.3}
+FLOORS = {"DIRECT": 0.142, "CONDITIONAL": 0.25}
 BANDS = (("STRONG", 0.45), ("SUGGESTIVE", 0.22), ("WEAK", 0.0))
 #: How much a contradiction of each kind takes from the freedom of contradictions.
 REVERSED, BARRED = 0.5, 0.3
@@ -106,7 +106,7 @@ def component_tallies(spark, d):
 _DECIDED = _SCORES + """, decided AS (SELECT *, CASE WHEN kind NOT IN ('DIRECT', 'CONDITIONAL') THEN 'NO_THRESHOLD'
   WHEN n_generators < 1 THEN 'INSUFFICIENT_EVIDENCE' WHEN verdict = 'VIOLATION' THEN 'TEMPORAL_MISMATCH'
   WHEN verdict <> 'CERTAIN' THEN 'NOT_CERTAIN' WHEN round(scalar, 6) < CASE kind
-  WHEN 'DIRECT' THEN 0.22 ELSE 0.3 END THEN 'BELOW_THRESHOLD' ELSE 'PROMOTED' END AS decision FROM graded),
+  WHEN 'DIRECT' THEN 0.142 ELSE 0.25 END THEN 'BELOW_THRESHOLD' ELSE 'PROMOTED' END AS decision FROM graded),
 promoted AS (SELECT source, target, source_type, target_type, timeline_id, kind, round(scalar, 6) AS scalar FROM decided JOIN log ON event_id = source
   WHERE decision = 'PROMOTED')"""
 
@@ -136,9 +136,9 @@ def retain_top(spark, d):
     return causal_graph.top_per_effect(promoted(spark, d), 1).select("source", "target", "kind", "scalar")
 
 
-@query("WITH " + _DECIDED + "SELECT source_type, target_type, count(*) AS edges, round(avg(scalar), 5) AS mean_scalar FROM promoted GROUP BY 1, 2")
+@query("WITH " + _DECIDED + "SELECT source_type, target_type, count(*) AS edges, round(avg(scalar) + 1e-9, 5) AS mean_scalar FROM promoted GROUP BY 1, 2")
 def type_projection(spark, d):
-    return causal_graph.type_projection(promoted(spark, d)).withColumn("mean_scalar", F.round("mean_scalar", 5))
+    return causal_graph.type_projection(promoted(spark, d)).withColumn("mean_scalar", F.round(F.col("mean_scalar") + 1e-9, 5))
 
 
 @query("WITH RECURSIVE " + _DECIDED + """, e AS (SELECT DISTINCT source_type AS s, target_type AS t FROM promoted), p AS (SELECT [s, t] AS path FROM e

@@ -88,14 +88,14 @@ def intervention_admission(spark, d):
     return i.groupBy("intervention", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("WITH " + _DECIDED + ", r AS (SELECT source, source_type, count(*) AS effects, avg(scalar) AS belief FROM promoted GROUP BY 1, 2) SELECT source, CASE WHEN effects >= 3 THEN 'HIGH_LEVERAGE' WHEN source_type = 'view' THEN 'LOW_COST' WHEN source NOT IN (SELECT target FROM promoted) THEN 'EARLY' END AS basis, CASE WHEN source_type = 'error' THEN 'NOT_ACTIONABLE' WHEN belief < 0.23 THEN 'BELIEF_TOO_LOW' ELSE 'PROPOSED' END AS verdict FROM r WHERE effects >= 3 OR source_type = 'view' OR source NOT IN (SELECT target FROM promoted)")
+@query("WITH " + _DECIDED + ", r AS (SELECT source, source_type, count(*) AS effects, avg(scalar) AS belief FROM promoted GROUP BY 1, 2) SELECT source, CASE WHEN effects >= 3 THEN 'HIGH_LEVERAGE' WHEN source_type = 'view' THEN 'LOW_COST' WHEN source NOT IN (SELECT target FROM promoted) THEN 'EARLY' END AS basis, CASE WHEN source_type = 'error' THEN 'NOT_ACTIONABLE' WHEN belief < 0.15 THEN 'BELIEF_TOO_LOW' ELSE 'PROPOSED' END AS verdict FROM r WHERE effects >= 3 OR source_type = 'view' OR source NOT IN (SELECT target FROM promoted)")
 def candidate_interventions(spark, d):
     """Causes worth acting on: of many effects, cheap, or first in their chain."""
     p = promoted(spark, d)
     effects = p.select(F.col("target").alias("source")).distinct().withColumn("caused", F.lit(True))
     r = p.groupBy("source", "source_type").agg(F.count("*").alias("effects"), F.avg("scalar").alias("belief")).join(effects, "source", "left")
     basis = F.when(F.col("effects") >= 3, "HIGH_LEVERAGE").when(F.col("source_type") == "view", "LOW_COST").when(F.col("caused").isNull(), "EARLY")
-    verdict = F.when(F.col("source_type") == "error", "NOT_ACTIONABLE").when(F.col("belief") < 0.23, "BELIEF_TOO_LOW").otherwise("PROPOSED")
+    verdict = F.when(F.col("source_type") == "error", "NOT_ACTIONABLE").when(F.col("belief") < 0.15, "BELIEF_TOO_LOW").otherwise("PROPOSED")
     return r.select("source", basis.alias("basis"), verdict.alias("verdict")).where("basis is not null")
 
 

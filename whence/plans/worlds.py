@@ -198,7 +198,7 @@ _WORLD_EDGES = (
     + f""", worlds AS (SELECT unnest({list(WORLDS)}::DOUBLE[]) AS world), e AS (
   SELECT world, source, target, max(round(scalar, 6)) AS scalar, any_value(source_type) AS source_type FROM graded, worlds
   WHERE verdict = 'CERTAIN' AND kind IN ('DIRECT', 'CONDITIONAL') AND round(round(scalar, 6) * world, 6) >= CASE kind
-  WHEN 'DIRECT' THEN 0.22 ELSE 0.3 END GROUP BY 1, 2, 3),
+  WHEN 'DIRECT' THEN 0.142 ELSE 0.25 END GROUP BY 1, 2, 3),
 we AS (SELECT *, scalar / sum(scalar) OVER (PARTITION BY world, target) AS weight FROM e),
 removed AS (SELECT DISTINCT world, source_type AS set_id, source AS node FROM e WHERE source_type IN ('view', 'click', 'signup'))"""
 )
@@ -323,7 +323,7 @@ def loop_classes(spark, d):
     return found.select("circuit", kind.alias("class"), F.round("gain", 6).alias("gain"), "weakest")
 
 
-_VERDICTS = """CASE WHEN cost IS NULL THEN 'NOT_ACTIONABLE' WHEN belief < 0.23 THEN 'BELIEF_TOO_LOW' WHEN prevented = 0 THEN 'NO_BENEFIT'
+_VERDICTS = """CASE WHEN cost IS NULL THEN 'NOT_ACTIONABLE' WHEN belief < 0.15 THEN 'BELIEF_TOO_LOW' WHEN prevented = 0 THEN 'NO_BENEFIT'
   WHEN outcomes < 1 THEN 'NO_OUTCOME'
   WHEN stability < 0.5 THEN 'UNSTABLE' WHEN place > 25 THEN 'BEYOND_LIMIT' ELSE 'PUBLISHED' END"""
 
@@ -349,7 +349,7 @@ def recommendations(spark, d):
     r = r.join(F.broadcast(top), "cause", "left")
     verdict = (
         F.when(F.col("cost").isNull(), "NOT_ACTIONABLE")
-        .when(F.col("belief") < 0.23, "BELIEF_TOO_LOW")
+        .when(F.col("belief") < 0.15, "BELIEF_TOO_LOW")
         .when(F.col("prevented") == 0, "NO_BENEFIT")
         .when(F.col("outcomes") < 1, "NO_OUTCOME")
         .when(F.col("stability") < 0.5, "UNSTABLE")
