@@ -74,7 +74,7 @@ def test_parts_tiles_and_joins_change_nothing(spark, monkeypatch):
     """Tiny tiles and parts, counts handed on early, and levels that are too large to broadcast."""
     rows = corpus(2, 120)
     want = brute(rows, 10, 4, 2000)
-    for name, value in (("PART_BYTES", 500), ("SIDE", 2), ("DENSE", 3), ("KEPT_PAIRS", 4), ("BROADCAST_ROWS", 0)):
+    for name, value in (("PART_BYTES", 500), ("SIDE", 2), ("DENSE", 3), ("KEPT_PAIRS", 16), ("SENT_ROWS", 3), ("BROADCAST_ROWS", 0)):
         monkeypatch.setattr(P, name, value)
     assert run(spark, rows, 10, 4) == want
 

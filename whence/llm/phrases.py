@@ -26,8 +26,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 PART_BYTES = 2 << 20
 #: Ids on a side of a tile, and the pairs from which a tile is counted densely.
 SIDE, DENSE = 512, 1 << 15
-#: Distinct pairs that a task keeps before it hands its counts on.
-KEPT_PAIRS = 1 << 20
+#: Cells and pairs that a task keeps before it hands its counts on, and rows that it sends at once.
+KEPT_PAIRS, SENT_ROWS = 1 << 21, 1 << 16
 #: Numbers of a level are broadcast up to this many rows and bytes; beyond, parts are joined with them.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: What separates pieces, and upper case.
@@ -145,13 +145,15 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def drain() -> Iterator[pa.RecordBatch]:
         for lang, tiles in found.items():
             codes, counts = tiles.drain()
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(codes)), pa.array(codes), pa.array(counts)], names=["lang", "code", "f"])
+            for at in range(0, len(codes), SENT_ROWS):
+                own = codes[at : at + SENT_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)), pa.array(own), pa.array(counts[at : at + SENT_ROWS])], names=["lang", "code", "f"])
         found.clear()
 
     for batch in batches:
         for lang, ids in zip(batch.column(0), batch.column(1), strict=True):
             found.setdefault(lang.as_py(), Tiles()).add(np.frombuffer(ids.as_py(), np.int32))
-            if sum(map(len, found.values())) >= 4 * KEPT_PAIRS:
+            if sum(map(len, found.values())) >= KEPT_PAIRS:
                 yield from drain()
     yield from drain()
 
