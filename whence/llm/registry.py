@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op11_alignment
 from .chat import OP9_SQL, op9_chat
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .embeddings import OP8_SQL, op8_embeddings
 from .html import op4_html
 from .packing import op7_packing
+from .personal import op12_personal
 from .phrases import OP13_SQL, op13_phrases
 from .quality import op1_quality
 from .simhash import op5_simhash
@@ -29,6 +31,8 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_embeddings,
     op9_chat,
     op10_decontaminate,
+    op11_alignment,
+    op12_personal,
     op13_phrases,
 )
 SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op8_embeddings": OP8_SQL, "op9_chat": OP9_SQL, "op10_decontaminate": OP10_SQL, "op13_phrases": OP13_SQL}
