@@ -99,6 +99,44 @@ def test_rows_without_ids_link_others(spark, monkeypatch):
     assert sorted((r.fp, r.component) for r in got) == sorted([(a, 5), (null, 5), (b, 5), (alone, None), (other, 9), (other, 9)])
 
 
+def test_ids_with_several_texts(spark):
+    """Unlike fingerprints under one id stay apart, in chains, too; brute force over rows."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(40):
+        f = rng.getrandbits(62)
+        for _ in range(rng.randint(1, 5)):
+            rows.append((rng.choice([None, *range(12)]), f))
+            for b in rng.sample(range(62), rng.randint(0, 3)):
+                f ^= 1 << b
+    root = brute_components(range(len(rows)), [f for _, f in rows])
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root[i]] = min(least.get(root[i], d), d)
+    df = spark.createDataFrame([(d, 0, f) for d, f in rows], "id long, mark long, fp long").repartition(3)
+    found = S.fingerprints
+    S.fingerprints = lambda docs, *_: docs
+    try:
+        got = S.near_duplicates(df).collect()
+    finally:
+        S.fingerprints = found
+    assert sorted((str(r.id), r.fp, str(r.component)) for r in got) == sorted((str(d), f, str(least.get(root[i]))) for i, (d, f) in enumerate(rows))
+
+
+def test_stage_keeps_unlike_texts_of_one_id(spark):
+    rng = random.Random(5)
+    a, b = ([rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 4) + str(rng.randint(0, 99)) for _ in range(200)] for _ in range(2))
+    near = [*a[:100], "other", *a[101:]]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, " ".join(near)), (7, " ".join(b)), (7, " ".join(b)), (9, " ".join(near[:-1])), (9, " ".join(a[1:]))]
+    kept = S.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, kept)) == sorted([rows[2], rows[1]])
+    # Two near copies under the smallest id: one of them stays.
+    rows = [(1, " ".join(a)), (1, " ".join(near)), (2, " ".join(near))]
+    kept = S.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(kept) == 1 and kept[0].doc_id == 1
+
+
 def brute_copies(texts):
     """Every pair of texts by all its fingerprints: {id: smallest id reachable}."""
     ids = list(texts)

@@ -242,14 +242,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id link others too, and get the component of what they reach, null if nothing has an id.
     """
     marked = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    # Fingerprints are their own numbers: an id may come with several, or be null.
     reps = written(marked.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    if reps.where("rep is null").isEmpty():
-        parts = connected_components(links(reps))
-        parts = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    else:  # without ids fingerprints still link others: they are their own numbers
-        parts = connected_components(links(reps.select(F.col("fp").alias("rep"), "fp")))
-        parts = written(reps.join(parts, reps.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("part")), "parts")
-        parts = parts.join(parts.groupBy("part").agg(F.min("rep").alias("component")), "part").select("fp", "component")
+    parts = connected_components(links(reps.select(F.col("fp").alias("rep"), "fp")))
+    parts = written(reps.join(parts, reps.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("part")), "parts")
+    parts = parts.join(parts.groupBy("part").agg(F.min("rep").alias("component")), "part").select("fp", "component")
     return marked.join(parts, "fp", "left").select("id", "mark", "fp", "component")
 
 
@@ -285,14 +282,16 @@ def copy_prints(text: bytes | None) -> list[int]:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark long, component long) for every row: the smallest id reachable over
-    pairs of rows with equal texts or near copies.
+    """(id, mark long, component long, stays boolean) for every row: the smallest id
+    reachable over pairs of rows with equal texts or near copies, and whether the
+    row's id and text are the ones that stay for all of these.
 
     Near copies: one of four fingerprints of their words is within four bits
     (found by the same keys as links()), and of 256 bits on their word pairs no
     more than PAIR_BITS differ.  Five-word shingles that are alike to 0.8 are
     mostly found so, whatever the order of what isn't alike.  Null and blank
-    texts are alike.  ids may not be null.
+    texts are alike.  ids may not be null; different texts may have one id, and
+    then are told apart by their texts.
     """
     names = [f"w{i}" for i in range(WORD_PRINTS)] + [f"p{i}" for i in range(PAIR_PRINTS)]
 
@@ -304,7 +303,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("b"))
     marked = written(rows.mapInArrow(run, ", ".join(f"{n} long" for n in ["id", "mark", *names])), "copy-prints")
-    reps = written(marked.groupBy("mark").agg(F.min("id").alias("rep"), *[F.first(n).alias(n) for n in names]), "texts")
+    # Texts get numbers of their own, in the order of their ids; a text is a hash and all its fingerprints.
+    reps = written(marked.groupBy("mark", *names).agg(F.min("id").alias("first")), "copy-texts")
+    reps = reps.repartitionByRange("first", "mark").sortWithinPartitions("first", "mark")
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "texts")
     found = []
     for w in names[:WORD_PRINTS]:
         centres = written(reps.groupBy(F.col(w).alias("fp")).agg(F.min("rep").alias("rep")), "centres")
@@ -319,19 +321,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         edges = edges.join(prints.toDF(side, *[f"{side}{i}" for i in range(PAIR_PRINTS)]), side)
     bits = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PAIR_PRINTS)), F.lit(0))
     parts = connected_components(edges.where(bits <= PAIR_BITS).select("a", "b"))
-    reps = reps.join(parts, reps.rep == parts.node, "left").select("mark", F.coalesce("component", "rep").alias("component"))
-    return marked.select("id", "mark").join(reps, "mark")
+    grouped = written(reps.join(parts, reps.rep == parts.node, "left").select("mark", *names, "rep", "first", F.coalesce("component", "rep").alias("part")), "groups")
+    best = grouped.groupBy("part").agg(F.min(F.struct("first", "mark", "rep")).alias("best"))
+    grouped = grouped.join(best, "part").select("mark", *names, F.col("best.first").alias("component"), (F.col("rep") == F.col("best.rep")).alias("is_best"))
+    return marked.join(grouped, ["mark", *names]).select("id", "mark", "component", (F.col("is_best") & (F.col("id") == F.col("component"))).alias("stays"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies, as it came: that with the smallest id.
+    """One document of each group of copies and near copies, as it came: that with the smallest id
+    (of several texts under it, that with the smallest hash).
 
     A null id counts as one made from the text, in the range from 2**62 on, so of
     equal texts without ids one stays too.
     """
     made = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), made).alias("id"), F.col("text"))
-    kept = near_copies(marked, "id").where("id = component").select("id", "mark").distinct()
+    kept = near_copies(marked, "id").where("stays").select("id", "mark").distinct()
     rows = marked.select("doc", "id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     return rows.join(kept, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("doc.*")
 
