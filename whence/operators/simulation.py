@@ -7,13 +7,15 @@ some of its links keeps their share of its reading.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
 
 
-def eliminated(edges: DataFrame, removed: DataFrame, rounds: int, world: tuple[str, ...] = ()) -> DataFrame:
+def eliminated(edges: DataFrame, removed: DataFrame, world: tuple[str, ...] = ()) -> DataFrame:
     """set_id, node, round of all that goes with each set of removed(set_id, node),
     which themselves go in round 0, all sets in one loop.
 
@@ -21,14 +23,15 @@ def eliminated(edges: DataFrame, removed: DataFrame, rounds: int, world: tuple[s
     by which edges and sets belong to one of several graphs.  Only what the last
     round removed is looked at, and each link into an effect counts once, when it
     stops, so a round costs as much as it changes.  A node in a circuit goes only
-    if all its links do.
+    if all its links do.  Rounds go on until nothing more goes: as many as the
+    longest chain has links.
     """
     by = ["set_id", *world]
     e = edges.select(*world, "source", "target").distinct()
     into = e.groupBy(*world, "target").agg(F.count("*").alias("links"))
     gone = written(removed.select(*by, "node").distinct().withColumn("round", F.lit(0)), "gone")
     stopped = None
-    for r in range(1, rounds + 1):
+    for r in count(1):  # each round removes something, so it ends
         last = gone.where(F.col("round") == r - 1).withColumnRenamed("node", "source")
         now = last.join(e, [*world, "source"]).groupBy(*by, "target").agg(F.count("*").alias("stopped"))
         stopped = now if stopped is None else stopped.unionByName(now).groupBy(*by, "target").agg(F.sum("stopped").alias("stopped"))
@@ -41,12 +44,12 @@ def eliminated(edges: DataFrame, removed: DataFrame, rounds: int, world: tuple[s
     return gone
 
 
-def simulated(edges: DataFrame, removed: DataFrame, rounds: int, world: tuple[str, ...] = ()) -> DataFrame:
+def simulated(edges: DataFrame, removed: DataFrame, world: tuple[str, ...] = ()) -> DataFrame:
     """set_id, node, kept: what share of its reading each event keeps that a removal
     touches; 0 of those that go.  edges(source, target, weight), the weights of
     an effect's links adding up to one; events that nothing touches have no row."""
     by = ["set_id", *world]
-    gone = eliminated(edges, removed, rounds, world)
+    gone = eliminated(edges, removed, world)
     links = gone.select(*by, F.col("node").alias("source")).join(edges, [*world, "source"])
     lost = links.groupBy(*by, F.col("target").alias("node")).agg(F.sum("weight").alias("lost"))
     rest = lost.join(gone.select(*by, "node"), [*by, "node"], "left_anti").select(*by, "node", F.greatest(1 - F.col("lost"), F.lit(0.0)).alias("kept"))

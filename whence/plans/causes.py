@@ -47,8 +47,8 @@ scored AS (
 
 
 def scored(spark, d) -> DataFrame:
-    """_scored(), built once a session."""
-    return kept(spark, "scored", d, ("events", "customer"), lambda: _scored(spark, d))
+    """_scored(), written."""
+    return kept("scored", d, lambda: _scored(spark, d))
 
 
 def _scored(spark, d) -> DataFrame:
@@ -187,8 +187,7 @@ def _seeds(edges: DataFrame) -> DataFrame:
 
 
 def _edges(spark, d) -> DataFrame:
-    every = promoted(spark, d).select("source", "target", "source_type", "target_type", "kind", "scalar")
-    return kept(spark, "edges", d, ("events", "customer"), lambda: every)
+    return kept("edges", d, lambda: promoted(spark, d).select("source", "target", "source_type", "target_type", "kind", "scalar"))
 
 
 @query("WITH RECURSIVE " + _DECIDED + _SEEDS + """, e AS (SELECT DISTINCT source, target FROM promoted), r AS (SELECT seed, seed AS node,

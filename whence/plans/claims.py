@@ -251,7 +251,7 @@ def _judged(spark, d) -> tuple[DataFrame, list[tuple[DataFrame, list[candidates.
     proposes, each once, in three parts: a user's pairs in one band join, the
     reverse of those that the times leave open, and pairs of users tied to each
     other."""
-    e = written(tables.log_events(spark, d).repartition("user_id"), "log")
+    e = written(tables.log_events(spark, d), "log")
     key = ["source_type", "target_type"]
     named = lambda rates, *names: rates.select(F.col("cause_type").alias(key[0]), F.col("effect_type").alias(key[1]), *names)
     past = named(history(e), "both", F.col("score").alias("historical"))
@@ -285,7 +285,7 @@ def proposed(spark, d) -> DataFrame:
 
 
 def gated(spark, d) -> DataFrame:
-    """Candidates with their types' scores and the reason why they are refused, built once a session."""
+    """Candidates with their types' scores and the reason why they are refused."""
 
     def build() -> DataFrame:
         rates, parts = _judged(spark, d)
@@ -293,7 +293,7 @@ def gated(spark, d) -> DataFrame:
         barred = spark.createDataFrame([("error", t) for t in TYPES if t != "error"], "source_type string, target_type string")
         return candidates.gate(every.join(F.broadcast(rates), ["source_type", "target_type"], "left"), barred)
 
-    return kept(spark, "candidates", d, ("events", "customer"), build)
+    return kept("candidates", d, build)
 
 
 @query("WITH " + EDGES + "SELECT source, target, source_type, target_type, kind, verdict, generators, n_generators, round(strength, 6) AS strength, reason FROM merged")

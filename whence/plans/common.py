@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import candidates, sequences
+from ..shared import one_graph
 from ..sources import tables
 
 #: (name -> plan) and (name -> SQL), filled by query().
@@ -44,10 +47,15 @@ log AS (
 
 def query(sql: str | None = None):
     def add(plan):
-        QUERIES[plan.__name__] = plan
+        @wraps(plan)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            with one_graph():
+                return plan(spark, d)
+
+        QUERIES[plan.__name__] = run
         if sql:
             SQL[plan.__name__] = sql
-        return plan
+        return run
 
     return add
 

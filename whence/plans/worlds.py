@@ -12,7 +12,8 @@ from .causes import _DECIDED, _SCORES, FLOORS, _edges, decided, promoted, scored
 from .claims import _fired
 from .common import LOG, query
 
-ROUNDS = 6
+#: Rounds that the SQL writes out, more than these tables' graphs take; the plans go on until nothing more goes.
+ROUNDS = 14
 #: Worlds in which all confidences are a tenth lower or higher: some edges are no longer promoted, others are.
 WORLDS = (0.9, 1.0, 1.1)
 LEVERS = ("view", "click", "signup")
@@ -26,9 +27,9 @@ def gone_sql(removed: str, edges: str = "e", world: str = "") -> str:
     same = f" AND g.{world} = x.{world}" if world else ""
     out = f", links AS (SELECT {w}target, count(*) AS links FROM {edges} GROUP BY ALL), gone0 AS (SELECT DISTINCT {w}set_id, node FROM {removed})"
     for r in range(1, ROUNDS + 1):
-        out += f""", stop{r} AS (SELECT g.set_id, {f"x.{world}, " if world else ""}x.target, count(*) AS stopped FROM gone{r - 1} g
+        out += f""", stop{r} AS MATERIALIZED (SELECT g.set_id, {f"x.{world}, " if world else ""}x.target, count(*) AS stopped FROM gone{r - 1} g
   JOIN {edges} x ON x.source = g.node{same} GROUP BY ALL),
-gone{r} AS (SELECT {w}set_id, node FROM gone{r - 1} UNION SELECT {w}set_id, target FROM stop{r} JOIN links USING ({w}target) WHERE stopped = links)"""
+gone{r} AS MATERIALIZED (SELECT {w}set_id, node FROM gone{r - 1} UNION SELECT {w}set_id, target FROM stop{r} JOIN links USING ({w}target) WHERE stopped = links)"""
     return out + f", gone AS (SELECT * FROM gone{ROUNDS})"
 
 
@@ -41,7 +42,7 @@ we AS (SELECT *, CASE WHEN sum(scalar) OVER t > 0 THEN scalar / sum(scalar) OVER
 def pairs_of(spark, d) -> DataFrame:
     """Promoted edges, one for each pair of events, with their shares of their effects."""
     e = promoted(spark, d).groupBy("source", "target", "source_type", "target_type").agg(F.max("scalar").alias("scalar"))
-    return kept(spark, "pairs", d, ("events", "customer"), lambda: causal_graph.share_of_incoming(e))
+    return kept("pairs", d, lambda: causal_graph.share_of_incoming(e))
 
 
 def _values(spark, d) -> DataFrame:
@@ -60,7 +61,7 @@ def _causes(e: DataFrame) -> DataFrame:
 
 def prevented(spark, d, e: DataFrame) -> DataFrame:
     """cause, outcomes, prevented: purchases, and their value, that go with each view and signup."""
-    gone = simulation.eliminated(e, _causes(e), ROUNDS).where("node <> set_id").join(_values(spark, d), "node").where("event_type = 'purchase'")
+    gone = simulation.eliminated(e, _causes(e)).where("node <> set_id").join(_values(spark, d), "node").where("event_type = 'purchase'")
     return gone.groupBy(F.col("set_id").alias("cause")).agg(F.count("*").alias("outcomes"), F.sum("value").alias("prevented"))
 
 
@@ -160,7 +161,7 @@ def _type_sets(spark, e: DataFrame) -> DataFrame:
 
 def benefits(spark, d, e: DataFrame) -> DataFrame:
     """set_id, effects, eliminated, benefit: purchase value that goes without each set of levers."""
-    k = simulation.simulated(e.select("source", "target", "weight"), _type_sets(spark, e), ROUNDS).join(_values(spark, d), "node").where("event_type = 'purchase'")
+    k = simulation.simulated(e.select("source", "target", "weight"), _type_sets(spark, e)).join(_values(spark, d), "node").where("event_type = 'purchase'")
     return k.groupBy("set_id").agg(F.count("*").alias("effects"), F.count_if(F.col("kept") == 0).alias("eliminated"), F.sum(F.col("value") * (1 - F.col("kept"))).alias("benefit"))
 
 
@@ -224,7 +225,7 @@ def sensitivity(spark, d):
     total = w.groupBy("world", "target").agg(F.sum("scalar").alias("total"))
     e = written(w.join(total, ["world", "target"]).withColumn("weight", F.col("scalar") / F.col("total")), "worlds")
     removed = e.where(F.col("source_type").isin(*LEVERS)).select("world", F.col("source_type").alias("set_id"), F.col("source").alias("node")).distinct()
-    k = simulation.simulated(e.select("world", "source", "target", "weight"), removed, ROUNDS, ("world",)).join(_values(spark, d), "node").where("event_type = 'purchase'")
+    k = simulation.simulated(e.select("world", "source", "target", "weight"), removed, ("world",)).join(_values(spark, d), "node").where("event_type = 'purchase'")
     return k.groupBy("world", F.col("set_id").alias("lever")).agg(F.count("*").alias("effects"), F.round(F.sum(F.col("value") * (1 - F.col("kept"))), 4).alias("benefit"))
 
 
@@ -241,7 +242,7 @@ def counterfactual_diff(spark, d):
     """Without any view: what goes, effects of lost effects too, and what the others keep."""
     e = pairs_of(spark, d)
     views = e.where("source_type = 'view'").select(F.lit("view").alias("set_id"), F.col("source").alias("node")).distinct()
-    k = simulation.simulated(e.select("source", "target", "weight"), views, ROUNDS).join(views.select("node"), "node", "left_anti").join(_values(spark, d), "node")
+    k = simulation.simulated(e.select("source", "target", "weight"), views).join(views.select("node"), "node", "left_anti").join(_values(spark, d), "node")
     return k.select(F.col("node").alias("target"), (F.col("kept") == 0).alias("eliminated"), F.round(F.col("value") * F.col("kept"), 4).alias("reading"), F.round("value", 4).alias("before"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 #: Of local sessions without a checkpoint folder the temporary one, by application.
 _LOCAL: dict[str, str] = {}
@@ -37,28 +38,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables that this session has written, by what they are made of.
-_KEPT: dict[tuple, tuple[str, StructType]] = {}
+#: What the innermost one_graph() block has written, by label and folder of the tables; None outside of one.
+_SCOPE: ContextVar[dict[tuple[str, str], DataFrame] | None] = ContextVar("scope", default=None)
 
 
-def _files(spark: SparkSession, path: str) -> tuple:
-    """Name, length and time of change of the files under a path, and whether it is there."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return ()
-    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+@contextmanager
+def one_graph() -> Iterator[None]:
+    """In this block, layers of the graph that several steps need are written once.
 
+    Each query opens one for itself, so queries share nothing; whoever has many
+    questions to a graph whose tables and parameters stay as they are opens one
+    around them all.
+    """
+    outer = _SCOPE.get()
+    token = _SCOPE.set({} if outer is None else outer)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
 
-def kept(spark: SparkSession, label: str, sf_dir: str, names: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
-    """written(build()), once per session for tables whose files are still the same:
-    a graph is built once and asked often.  names: the tables that it is made of."""
-    key = (spark.sparkContext.applicationId, label, sf_dir, *(_files(spark, f"{sf_dir}/{n}.parquet") for n in names))
-    if key in _KEPT and _files(spark, _KEPT[key][0]):
-        path, schema = _KEPT[key]
-        return spark.read.schema(schema).parquet(path)
-    df = build()
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    _KEPT[key] = path, df.schema
-    return spark.read.schema(df.schema).parquet(path)
+
+def kept(label: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """written(build()), once in a one_graph() block."""
+    scope = _SCOPE.get()
+    if scope is None:
+        return written(build(), label)
+    if (label, sf_dir) not in scope:
+        scope[label, sf_dir] = written(build(), label)
+    return scope[label, sf_dir]
