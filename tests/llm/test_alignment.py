@@ -97,7 +97,7 @@ def test_against_brute_force(spark, libraries):
 def test_small_heads_and_slices_change_nothing(spark, libraries, monkeypatch):
     rows = texts()[:150]
     want = brute(rows, libraries)
-    for name, value in (("SLICE_BYTES", 200), ("KEPT_PAIRS", 50), ("LARGE_GROUP", 1), ("HEAD_ROWS", 20)):
+    for name, value in (("SLICE_BYTES", 200), ("KEPT_PAIRS", 50), ("LARGE_GROUP", 1), ("EXPANDED", 7), ("HEAD_ROWS", 20)):
         monkeypatch.setattr(X, name, value)
     assert run(spark, rows) == want
     monkeypatch.setattr(X, "HEAD_ROWS", 0)

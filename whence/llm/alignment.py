@@ -30,11 +30,13 @@ from .common import new_path, written
 from .tokens import Encoder
 
 #: Bytes of text that are aligned at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 #: Distinct pairs whose counts a task keeps before it hands them on.
 KEPT_PAIRS = 1 << 21
 #: The most frequent pairs, up to so many, are broadcast with their counts; the others are joined.
 HEAD_ROWS = 1_000_000
+#: Links of documents that are laid out at once, but for a longer document's.
+EXPANDED = 1 << 20
 #: Links of a group from which equal tokens of it are counted before they are joined.
 LARGE_GROUP = 64
 #: ASCII white space, and whether a word may begin with a byte: not white space, nor the first byte of any.
@@ -255,11 +257,21 @@ class Slice:
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """In how many of these documents each pair is linked."""
         used = np.unique(self.doc * len(self.stops) + self.word)
-        doc, word = used // len(self.stops), used % len(self.stops)
-        rows, link = _linked(self.stops, word)
-        keys = pa.table({"key": doc[rows] * len(self.codes) + self.code[link]})
-        once = keys.group_by("key", use_threads=False).aggregate([]).column("key").to_numpy()
-        return self.codes, np.bincount(once % max(len(self.codes), 1), minlength=len(self.codes))
+        counts = np.zeros(len(self.codes), np.int64)
+        # A document's words lie together; some documents' links at a time.
+        reached = np.cumsum(np.diff(self.stops)[used % len(self.stops)])
+        at = 0
+        while at < len(used):
+            most = reached[at - 1] + EXPANDED if at else EXPANDED
+            end = max(int(np.searchsorted(reached, most)), at + 1)
+            end = int(np.searchsorted(used, (used[end - 1] // len(self.stops) + 1) * len(self.stops)))
+            doc, word = np.divmod(used[at:end], len(self.stops))
+            rows, link = _linked(self.stops, word)
+            keys = pa.table({"key": doc[rows] * len(self.codes) + self.code[link]})
+            once = keys.group_by("key", use_threads=False).aggregate([]).column("key").to_numpy()
+            counts += np.bincount(once % max(len(self.codes), 1), minlength=len(self.codes))
+            at = end
+        return self.codes, counts
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -293,6 +305,11 @@ def _linked(stops: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows, np.arange(len(rows)) + np.repeat(stops[:-1][word] - (np.cumsum(sizes) - sizes), sizes)
 
 
+def _narrow(codes: np.ndarray) -> type:
+    """A type that numbers these codes."""
+    return np.uint16 if len(codes) <= 1 << 16 else np.int32
+
+
 def _segments(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Exact sums of the segments that end before ends[1], ends[2] and so on."""
     totals = np.r_[0, np.cumsum(values)]
@@ -313,7 +330,8 @@ def sliced(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_
                 lists = [batch.column(0).slice(first, len(texts)), *(pa.array(_segments(c[s.word], s.ends)) for c in counted), pa.array(_digests(s), pa.string())]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays([x])) for x in lists]
                 codes, f = s.pair_counts()
-                arrays = [s.ends, s.word.astype(np.int32), s.stops.astype(np.int32), s.code.astype(np.int32), n, codes, f]
+                odd = np.flatnonzero(n != 1)  # links that are there more than once are few
+                arrays = [s.ends, s.word.astype(np.int32), s.stops.astype(np.int32), s.code.astype(_narrow(codes)), np.stack([odd, n[odd]]), codes, f]
                 yield pa.RecordBatch.from_arrays([*lists, *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=[*LISTS, *ARRAYS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -380,8 +398,11 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc
         keys, f, most = known.value
         for batch in batches:
             for *lists, ends, word, stops, code, n, codes in zip(*batch.columns, strict=True):
-                ends, n, codes = (np.frombuffer(x.as_py(), np.int64) for x in (ends, n, codes))
-                word, stops, code = (np.frombuffer(x.as_py(), np.int32) for x in (word, stops, code))
+                ends, odd, codes = (np.frombuffer(x.as_py(), np.int64) for x in (ends, n, codes))
+                word, stops = (np.frombuffer(x.as_py(), np.int32) for x in (word, stops))
+                code = np.frombuffer(code.as_py(), _narrow(codes))
+                n = np.ones(len(code), np.int64)
+                n[odd[: len(odd) // 2]] = odd[len(odd) // 2 :]
                 at = np.minimum(np.searchsorted(keys, codes), max(len(keys) - 1, 0))
                 found = keys[at] == codes if len(keys) else np.zeros(len(codes), bool)
                 count = np.where(found, f[at] if len(keys) else 0, 0 if tail else 1)
