@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transforms import classify
+from .stitched import bucket_of, stitched
 
 
 def first_rows(rows: DataFrame, key: list[str], order: list, n: int, parts: int = 256) -> DataFrame:
@@ -80,11 +81,13 @@ def resolve(rows: DataFrame, key: str, order: list[str], attributes: list[str],
 
 
 def history(rows: DataFrame, key: str, order: list[str], attribute: str) -> DataFrame:
-    """Every change of an attribute, and whether a later one superseded it."""
-    w = Window.partitionBy(key).orderBy(*order)
-    changed = rows.withColumn("was", F.lag(attribute).over(w)).withColumn("first", F.row_number().over(w) == 1)
-    changed = changed.where(F.col("first") | ~F.col(attribute).eqNullSafe(F.col("was")))
-    return changed.withColumn("version", F.row_number().over(w).cast("bigint")).withColumn("superseded", F.lead(F.lit(True), 1, False).over(w)).select(key, "version", F.col(attribute).alias("value"), "superseded")
+    """Every change of an attribute, and whether a later one superseded it.  order
+    begins with an instant, by whose hours a key's rows are cut."""
+    at = bucket_of(F.col(order[0]))
+    changed = stitched(rows.select(key, *order, attribute), key, order, at, position="_place", before={"_was": attribute})
+    changed = changed.where((F.col("_place") == 0) | ~F.col(attribute).eqNullSafe(F.col("_was"))).withColumn("_true", F.lit(True))
+    told = stitched(changed.drop("_place", "_was"), key, order, at, position="_version", after={"_next": "_true"})
+    return told.select(key, (F.col("_version") + 1).cast("bigint").alias("version"), F.col(attribute).alias("value"), F.coalesce("_next", F.lit(False)).alias("superseded"))
 
 
 def residuals(rows: DataFrame, left: str, right: str, days: str) -> DataFrame:

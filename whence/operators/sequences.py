@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import micros, rank, verdict
+from ..shared import written
+from .machines import Machine, run
+from .stitched import bucket_of, stitched
+
+#: Positions of a timeline that are numbered together.
+PLACED = 1 << 14
 
 
-def sequence(events: DataFrame, key: str = "timeline_id") -> DataFrame:
-    """position from 0 in (t_earliest, t_latest, event_id) order, and its
-    provenance: the first is OBSERVED, a later one if what came before is
-    certain to have, else ASSUMED."""
-    w = Window.partitionBy(key).orderBy("at.t_earliest", "at.t_latest", "event_id")
-    rows = events.withColumn("position", (F.row_number().over(w) - 1).cast("bigint")).withColumn("before", F.lag("at").over(w))
-    return rows.withColumn("provenance", F.when(F.col("before").isNull() | (verdict("before", "at") == "CERTAIN"), "OBSERVED").otherwise("ASSUMED")).drop("before")
+def sequence(events: DataFrame, key: str = "timeline_id", at: str = "at") -> DataFrame:
+    """position from 0 in (t_earliest, t_latest, event_id) order of an interval, and
+    its provenance: the first is OBSERVED, a later one if what came before is
+    certain to have, else ASSUMED.  No task holds a key: it is cut by the hour."""
+    rows = events.withColumns({"_first": F.col(f"{at}.t_earliest"), "_last": F.col(f"{at}.t_latest")})
+    rows = stitched(rows, key, ["_first", "_last", "event_id"], bucket_of(F.col("_first")), position="position", before={"_was": at}).drop("_first", "_last")
+    observed = F.col("_was").isNull() | (verdict("_was", at) == "CERTAIN")
+    return rows.withColumn("position", F.col("position").cast("bigint")).withColumn("provenance", F.when(observed, "OBSERVED").otherwise("ASSUMED")).drop("_was")
 
 
 def violations(sequenced: DataFrame, steps: tuple[str, ...], repeatable: tuple[str, ...] = (), key: str = "timeline_id") -> DataFrame:
@@ -47,37 +51,13 @@ def conformance(sequenced: DataFrame, required: tuple[str, ...], key: str = "tim
 
 
 def replay(sequenced: DataFrame, transitions: dict[tuple[str, str], str], key: str = "timeline_id") -> DataFrame:
-    """States that a declared machine goes through.
-
-    transitions: (from state, event type) -> to state.  The first event that
-    triggers any transition sets the state; from then on an event that triggers
-    a transition but not from here halts the timeline as illegal, and one that
-    triggers none is ignored.  A row per taken event, and one per halt.  Each
-    partition folds its sorted events one by one and holds one state.
-    """
-    first: dict[str, str] = {}
-    for (_, trigger), to in sorted(transitions.items()):
-        first.setdefault(trigger, to)
-    columns = [key, "event_id", "event_type", "position", "entered"]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = object(), None
-        for batch in batches:
-            was, now, kept = [], [], []
-            for i, (timeline, trigger) in enumerate(zip(batch[key], batch["event_type"], strict=True)):
-                if timeline != last:
-                    last, state = timeline, None
-                if state == "!":
-                    continue
-                was.append(state)
-                state = first[trigger] if state is None else transitions.get((state, trigger), "!")
-                now.append(state)
-                kept.append(i)
-            yield batch.iloc[kept].assign(from_state=was, to_state=[None if s == "!" else s for s in now], illegal=[s == "!" for s in now])
-
-    rows = sequenced.where(F.col("event_type").isin(*first)).select(key, "event_id", "event_type", "position", F.col("at.t_earliest").alias("entered"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", from_state string, to_state string, illegal boolean"
-    return rows.select(*columns).repartition(key).sortWithinPartitions(key, "position").mapInPandas(fold, schema)
+    """States that a declared machine goes through: a row per taken event, and one
+    per halt.  What a machine does with events is machines.Machine's; timelines
+    are composed in blocks, so none is folded by one task."""
+    machine = Machine(transitions)
+    rows = sequenced.where(F.col("event_type").isin(*machine.maps)).select(key, "event_id", "event_type", "position", F.col("at.t_earliest").alias("entered"))
+    placed = written(stitched(rows, key, ["position"], F.floor(F.col("position") / PLACED), position="_place"), "triggers")
+    return run(placed, machine, key, "_place").drop("_place")
 
 
 def state_intervals(replayed: DataFrame, key: str = "timeline_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import causal_graph, rules
+from ..operators.stitched import stitched
 from ..sources import tables
 from .causes import _DECIDED, _edges, decided, promoted
 from .claims import EDGES, RULES_SQL, _fired, proposed
@@ -17,9 +18,11 @@ def rule_constraint_suppression(spark, d):
     """A declared constraint: a firing doesn't stand if an error lies between.
 
     The last error before each effect is found by a window, so nothing is joined by range."""
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    before = tables.log_events(spark, d).withColumn("us", us).withColumn("last_error", F.max(F.when(F.col("event_type") == "error", F.col("us"))).over(w))
+    log = tables.log_events(spark, d).select("event_id", "user_id", "event_type", us.alias("us"))
+    instants = log.groupBy("user_id", "us").agg(F.max(F.when(F.col("event_type") == "error", F.col("us"))).alias("erred"))
+    instants = stitched(instants, "user_id", ["us"], F.floor(F.col("us") / HOUR), most_before={"last_error": "erred"})
+    before = log.join(instants.select("user_id", "us", "last_error"), ["user_id", "us"])
     f = _fired(spark, d).join(before.select(F.col("event_id").alias("target"), (F.col("us") - F.col("last_error")).alias("since")), "target")
     return f.groupBy("rule_id", F.coalesce(F.col("since") < F.col("gap_us"), F.lit(False)).alias("suppressed")).agg(F.count("*").alias("n"))
 

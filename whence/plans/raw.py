@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mapping, temporal
 from ..functions.temporal import interval
 from ..operators import sequences
+from ..operators.stitched import bucket_of, stitched
 from ..sources import delimited, tables
 from .common import LOG, query, sequenced
 
@@ -321,8 +322,7 @@ def projected_edges(spark, d):
     """The graph that entities and events project to: nine kinds of edges in one stream."""
     t = lambda n: tables.table(spark, d, n)
     edge = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).cast("string").alias("source"), F.col(b).cast("string").alias("target"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    follows = t("events").select("event_id", F.lead("event_id").over(w).alias("next")).where("next is not null")
+    follows = stitched(t("events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], bucket_of(F.col("ts")), after={"next": "event_id"}).where("next is not null")
     line, e = t("lineitem").withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber")), t("events")
     every = [edge(t("orders"), "PLACED_BY", "o_orderkey", "o_custkey"), edge(line, "CONTAINS", "line", "l_partkey"), edge(line, "SUPPLIED_BY", "line", "l_suppkey")]
     every += [edge(t("customer"), "CUSTOMER_OF", "c_custkey", "c_nationkey"), edge(t("supplier"), "SUPPLIER_OF", "s_suppkey", "s_nationkey"), edge(t("nation"), "PART_OF_REGION", "n_nationkey", "n_regionkey")]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import temporal
 from ..operators import sequences
+from ..operators.stitched import bucket_of, stitched
 from ..sources import tables
 from .common import LOG, STEPS, query, sequenced
 
@@ -28,10 +29,13 @@ m AS (SELECT timeline_id, event_id, event_type, position, ts, i, NULL::VARCHAR A
 )
 
 
-@query("WITH " + LOG + "SELECT timeline_id, event_id, position, 'OBSERVED' AS provenance FROM seq")
+@query("WITH " + LOG + """, k AS (SELECT timeline_id, event_id, lo, hi, row_number() OVER w - 1 AS position, lag(hi) OVER w AS before FROM log
+  WINDOW w AS (PARTITION BY timeline_id ORDER BY lo, hi, event_id))
+SELECT timeline_id, event_id, position, CASE WHEN before IS NULL OR before < lo THEN 'OBSERVED' ELSE 'ASSUMED' END AS provenance FROM k""")
 def timeline_sequence(spark, d):
-    """Every log event's place in its user's day."""
-    return sequenced(spark, d).select("timeline_id", "event_id", "position", "provenance")
+    """Every log event's place in its user's day by the interval in which it is known
+    to lie; where what came before may have come after, the place is assumed."""
+    return sequences.sequence(tables.log_events(spark, d), at="known").select("timeline_id", "event_id", "position", "provenance")
 
 
 @query("WITH " + LOG + f", s AS (SELECT *, {_STEP} AS step, lead(event_type) OVER w AS next_type, lead({_STEP}) OVER w AS next_step FROM seq WINDOW w AS (PARTITION BY timeline_id ORDER BY position)) SELECT timeline_id, event_id, event_type, next_type, position FROM s WHERE next_step < step AND event_type <> 'view' AND next_type <> 'view'")
@@ -87,10 +91,8 @@ def duration_stats(spark, d):
 @query("WITH " + LOG + "SELECT timeline_id, user_id, event_id AS source, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM log QUALIFY target IS NOT NULL")
 def precedes_edges(spark, d):
     """Consecutive events of every user."""
-    from pyspark.sql import Window
-
-    e = tables.log_events(spark, d)
-    return e.select("timeline_id", "user_id", F.col("event_id").alias("source"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("target")).where("target is not null")
+    e = stitched(tables.log_events(spark, d).select("timeline_id", "user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], bucket_of(F.col("ts")), after={"target": "event_id"})
+    return e.where("target is not null").select("timeline_id", "user_id", F.col("event_id").alias("source"), "target")
 
 
 @query("SELECT date_trunc('hour', ts) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
