@@ -1,10 +1,14 @@
 """Quality of documents by hierarchical empirical Bayes.
 
-A logistic model of each document's own text gives the evidence.  Sites have
-two levels, the host and a path on it.  Grouped sums of the evidence give each
-level's rate; how far rates differ beyond chance (method of moments) gives how
-strongly a level is shrunk: a host to the global rate, a path to its host.  The
-path's posterior then replaces the global prior in each document's odds.
+A logistic model of each document's own text gives the evidence, tempered to be no
+more certain than it is right on rows that it wasn't fitted on.  Sites have two
+levels, the host and a path on it.  Grouped sums give each level's rate; how far
+rates differ beyond chance (method of moments) gives how strongly a level is
+shrunk: a host to the global rate, a path to its host.  Evidence alone says too
+little of a site where texts say little, so sums are taken again of what the
+documents are worth given their site (expectation maximisation).  The site's
+rate, without the document's own part, then replaces the global prior in each
+document's odds.
 
 Documents carry no url: `source` up to its first slash is the host; what
 follows, or the language where nothing follows, is the path.
@@ -31,6 +35,8 @@ FIT_ROWS = 20_000
 KEEP = 0.5
 #: Weight of a unit of squared coefficient in the fit.
 RIDGE = 1.0
+#: Rounds in which sites' rates and documents' posteriors are told to each other.
+ROUNDS = 10
 #: Sites are broadcast up to this many rows of about 100 bytes, and joined by site beyond.
 BROADCAST_SITES = 200_000
 #: Posteriors of sites stay away from 0 and 1 by this.
@@ -74,10 +80,13 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray
 
-    def good(self, rows: np.ndarray) -> np.ndarray:
+    def logits(self, rows: np.ndarray) -> np.ndarray:
         z = np.clip((rows - self.mean) / self.scale, -8, 8)
         z[:, 0] = 1
-        return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        return z @ self.weights
+
+    def good(self, rows: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(rows), -30, 30)))
 
 
 def fit(rows: np.ndarray, labels: np.ndarray) -> Model:
@@ -104,6 +113,23 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Model:
     return Model(mean, scale, weights)
 
 
+def tempered(rows: np.ndarray, labels: np.ndarray) -> Model:
+    """fit(), its logits divided by a number from one on: that by which the logits of
+    rows that a half's model wasn't fitted on would have to be, to be likeliest."""
+    model = fit(rows, labels)
+    half = np.arange(len(rows)) % 2 == 0
+    if not all(0 < labels[h].sum() < h.sum() for h in (half, ~half)):
+        return model
+    held = np.concatenate([fit(rows[h], labels[h]).logits(rows[~h]) for h in (half, ~half)])
+    said = np.concatenate([labels[~half], labels[half]])
+    low, high = 0.02, 1.0  # of the factor on the logits; the loss is convex in it
+    for _ in range(50):
+        mid = (low + high) / 2
+        slope = (held * (1 / (1 + np.exp(-np.clip(held * mid, -30, 30))) - said)).sum()
+        low, high = (low, mid) if slope > 0 else (mid, high)
+    return Model(model.mean, model.scale, model.weights * high)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = FIT_ROWS) -> DataFrame:
     """(text, label double) of a bounded sample of labelled documents.
 
@@ -126,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
             yield pd.DataFrame({"x": list(x), "label": pdf["label"]})
 
     rows = labelled(docs, labels, "quality", most).mapInPandas(run, "x array<double>, label double").toPandas()
-    return fit(np.array(rows["x"].tolist()).reshape(len(rows), len(NAMES)), rows["label"].to_numpy())
+    return tempered(np.array(rows["x"].tolist()).reshape(len(rows), len(NAMES)), rows["label"].to_numpy())
 
 
 def evidence(model: Model):
@@ -162,29 +188,60 @@ def _inside(c):
     return F.least(F.greatest(c, F.lit(EDGE)), F.lit(1 - EDGE))
 
 
-def sites(scored: DataFrame) -> DataFrame:
-    """scored(host, path, good) -> host, path, n, s (their sum of good), host_rate,
-    path_rate, kappa (the observations that the host's rate counts for), prior.
+def _rates(paths: DataFrame) -> DataFrame:
+    """paths(host, path, n, s): with host_n, host_s, host_kappa, host_rate, kappa, path_rate and prior.
 
-    Sums combine before the shuffle, so a host with most rows costs no more than
-    another.  The three single rows are joined, each of a few numbers.
-    """
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("s"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    overall = hosts.agg(_inside(F.sum("s") / F.sum("n")).alias("prior"))
-    hosts = hosts.crossJoin(F.broadcast(overall)).withColumn("rate", F.col("s") / F.col("n"))
-    hosts = hosts.crossJoin(F.broadcast(_spread(hosts, "rate", "prior")))
-    hosts = hosts.select("host", "prior", _inside((F.col("kappa") * F.col("prior") + F.col("s")) / (F.col("kappa") + F.col("n"))).alias("host_rate"))
+    The three single rows are joined, each of a few numbers."""
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
+    overall = hosts.agg(_inside(F.sum("host_s") / F.sum("host_n")).alias("prior"))
+    hosts = hosts.crossJoin(F.broadcast(overall)).withColumns({"n": F.col("host_n"), "rate": F.col("host_s") / F.col("host_n")})
+    hosts = hosts.crossJoin(F.broadcast(_spread(hosts, "rate", "prior").withColumnRenamed("kappa", "host_kappa")))
+    rate = _inside((F.col("host_kappa") * F.col("prior") + F.col("host_s")) / (F.col("host_kappa") + F.col("host_n")))
+    hosts = hosts.select("host", "prior", "host_n", "host_s", "host_kappa", rate.alias("host_rate"))
     paths = paths.join(hosts, "host").withColumn("rate", F.col("s") / F.col("n"))
     paths = paths.crossJoin(F.broadcast(_spread(paths, "rate", "host_rate")))
     path_rate = _inside((F.col("kappa") * F.col("host_rate") + F.col("s")) / (F.col("kappa") + F.col("n")))
-    return paths.select("host", "path", "n", "s", "host_rate", path_rate.alias("path_rate"), "kappa", "prior")
+    return paths.withColumn("path_rate", path_rate).drop("rate")
+
+
+def _beside(found: DataFrame) -> DataFrame:
+    return F.broadcast(found) if found.count() <= BROADCAST_SITES else found
+
+
+def sites(scored: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """scored(host, path, good) -> host, path, n, s (their sum of what documents are
+    worth), told (the rate that these were worth it by), host_n, host_s,
+    host_kappa and kappa (the observations that the rates which a host and a path
+    are shrunk to count for), host_rate, path_rate, base (the global prior of the
+    evidence) and prior (that of the last round).
+
+    Sums combine before the shuffle, so a host with most rows costs no more than
+    another.  A round reads one table of numbers and writes one of sites.
+    """
+    scored = written(scored.select("host", "path", "good"), "evidence")
+    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("s"))
+    found = _rates(paths)
+    found = written(found.withColumns({"base": F.col("prior"), "told": F.col("prior")}), "sites")
+    for _ in range(rounds):
+        rates = _beside(found.select("host", "path", F.col("path_rate").alias("told"), "base"))
+        worth = posterior(F.col("good"), F.col("base"), F.col("told"))
+        paths = scored.join(rates, ["host", "path"]).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(worth).alias("s"), F.first("told").alias("told"), F.first("base").alias("base"))
+        found = written(_rates(paths), "sites")
+    return found
+
+
+def others_rate(worth):
+    """The path's rate without the document's own part, which would count twice, in the
+    path's sums and in its host's; a host's only document has the global prior."""
+    host = _inside((F.col("host_kappa") * F.col("prior") + F.col("host_s") - worth) / (F.col("host_kappa") + F.col("host_n") - 1))
+    return _inside((F.col("kappa") * host + F.col("s") - worth) / (F.col("kappa") + F.col("n") - 1))
 
 
-def others_rate(good):
-    """The path's rate without the document's own evidence, which would count twice;
-    a path's only document has its host's."""
-    return _inside((F.col("kappa") * F.col("host_rate") + F.col("s") - good) / (F.col("kappa") + F.col("n") - 1))
+def judged(scored: DataFrame, found: DataFrame) -> DataFrame:
+    """scored(host, path, good, ...) with host_rate, path_rate and posterior, found being sites()."""
+    rows = scored.join(_beside(found), ["host", "path"], "left")
+    rows = rows.withColumn("_worth", posterior(F.col("good"), F.col("base"), F.col("told")))
+    return rows.select(*scored.columns, "host_rate", "path_rate", posterior(F.col("good"), F.col("base"), others_rate(F.col("_worth"))).alias("posterior"))
 
 
 def posterior(good, prior, site):
@@ -208,11 +265,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         rows = docs.select(doc, *(c.alias(n) for c, n in zip(_site(F.col("source"), F.col("lang")), ("host", "path"), strict=True)), "text")
         return rows.withColumn("good", F.least(F.greatest(good("text"), F.lit(1e-9)), F.lit(1 - 1e-9))).drop("text")
 
-    found = sites(scored(F.lit(1).alias("doc"))).select("host", "path", "n", "s", "host_rate", "path_rate", "kappa", "prior")
-    found = written(found, "sites")
-    found = F.broadcast(found) if found.count() <= BROADCAST_SITES else found
-    rows = scored(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).join(found, ["host", "path"], "left")
-    return rows.select("doc", "good", "host_rate", "path_rate", posterior(F.col("good"), F.col("prior"), others_rate(F.col("good"))).alias("posterior"))
+    found = sites(scored(F.lit(1).alias("doc")))
+    rows = judged(scored(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), found)
+    return rows.select("doc", "good", "host_rate", "path_rate", "posterior")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
