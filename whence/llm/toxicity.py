@@ -7,7 +7,8 @@ ones in a hundred words.  They are chosen by grouped counts over labelled
 documents: those that differ most between toxic and other documents.
 
 Labels say toxic or not.  The grade of a labelled toxic document is 1, 2 or 3
-by how many in a hundred of its words a feature of toxic documents fits.
+by how many in a hundred of its words fit a feature of toxic documents, chosen
+from the other half of the labelled ones: no document grades itself.
 """
 
 from __future__ import annotations
@@ -160,18 +161,18 @@ def fit(rows: list[dict[int, float]], grades: np.ndarray, n_words: int) -> tuple
 def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     """The model of a bounded sample of labelled documents, equal texts counted
     once.  Without toxic or without other ones it finds nothing toxic."""
-    sample = written(labelled(docs, labels, "toxic", most).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label")).drop("h"), "sample")
+    sample = written(labelled(docs, labels, "toxic", most).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label")).withColumn("half", F.pmod("h", F.lit(2))).drop("h"), "sample")
     chosen = choose_words(sample)
     number = {w: i for i, (w, _) in enumerate(chosen)}
-    marks = {w for w, s in chosen if s > 0}
+    other = [{w for w, s in choose_words(sample.where(F.col("half") != h)) if s > 0} for h in (0, 1)]
 
     def run(batches):
         for pdf in batches:
             numbers, values, grades = [], [], []
-            for text, label in zip(pdf["text"], pdf["label"], strict=True):
+            for text, label, half in zip(pdf["text"], pdf["label"], pdf["half"], strict=True):
                 own = words(text)
                 x = sorted((number[k], v) for k, v in share(features(own, number), len(own)).items())
-                marked = sum(any(k in marks for k in keys(w)) for w in own)
+                marked = sum(any(k in other[half] for k in keys(w)) for w in own)
                 numbers.append([i for i, _ in x])
                 values.append([v for _, v in x])
                 grades.append(grade(label, 100 * marked / max(100, len(own))))
