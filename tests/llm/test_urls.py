@@ -80,6 +80,23 @@ def test_against_brute_force(spark):
             assert r.verdict == (rule.verdict if rule else "block" if d > t else "allow")
 
 
+def test_rounds_go_on_until_ranks_settle(spark):
+    links = {("a", "b"): 3, ("b", "a"): 1, ("b", "c"): 1, ("c", "a"): 5, ("d", "a"): 1}
+    rows = [("one", *k, n) for k, n in links.items()] + [("two", d, s, n) for (s, d), n in links.items()]
+    seeds = [("one", "a", 2.0), ("one", "d", 1.0), ("two", "c", 1.0)]
+    got = U.personalised_pagerank(spark.createDataFrame(rows, "side string, src string, dst string, n long"), spark.createDataFrame(seeds, "side string, host string, seed double")).collect()
+    want = brute_rank(links, {"a": 2.0, "d": 1.0}, 400), brute_rank({(d, s): n for (s, d), n in links.items()}, {"c": 1.0}, 400)
+    for r in got:
+        assert r["rank"] == pytest.approx(want[r.side == "two"][r.host], abs=2e-6)
+    assert len(got) == sum(v > 0 for w in want for v in w.values())
+
+
+def test_links_that_no_reader_sees(spark):
+    html = '<!-- <a href="http://x.y/"> --><script>"<a href=http://s.y/>"</script ><STYLE><a href=http://t.y/></style><a href="http://z.y/">z</a><!-- <a href="http://open.y/">'
+    df = spark.createDataFrame([("http://a.b/", html)], "url string, html string")
+    assert [tuple(r) for r in U.host_links(df).collect()] == [("a.b", "z.y", 1)]
+
+
 def test_no_links_no_seeds_no_rows(spark):
     df = spark.createDataFrame([(1, "http://a.b/c", None), (2, None, None)], "page_id long, url string, html string")
     assert {(r.page_id, r.rule, r.verdict) for r in U.judge(df, rounds=2).collect()} == {(1, None, "allow"), (2, None, "allow")}

@@ -8,6 +8,7 @@ of distrust exceeds its share of trust is blocked.
 
 from __future__ import annotations
 
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,15 @@ from pyspark.sql import functions as F
 from .common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, ROUNDS = 0.85, 20
+DAMPING = 0.85
+#: Ranks have settled when those of a side change by this in all in five rounds, of a sum of one.
+SETTLED = 1e-6
 #: Block a host if distrust > THRESHOLD * trust, each relative to its largest.
 THRESHOLD = 1.0
 #: Broadcast ranks and verdicts of hosts up to this many rows of about 60 bytes.
 BROADCAST_HOSTS = 200_000
+#: What no reader sees: comments, scripts, styles; what isn't closed goes to the end.
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
 _LINK = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -60,10 +65,11 @@ def by_rule(rules: tuple[Rule, ...], host: Column, path: Column) -> tuple[Column
 
 def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst, n) between different hosts: links in the pages, relative ones
-    left out, and between a host and its parent domain if both have pages."""
+    and those in comments, scripts and styles left out, and between a host and its parent domain if both have pages."""
     host, _ = host_path(F.col(url))
     target, _ = host_path(F.col("href"))
-    found = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col(html).cast("string"), F.lit("")), F.lit(_LINK), F.lit(1))).alias("href"))
+    page = F.regexp_replace(F.coalesce(F.col(html).cast("string"), F.lit("")), _UNSEEN, " ")
+    found = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(page, F.lit(_LINK), F.lit(1))).alias("href"))
     found = found.where(F.col("href").contains("://") | F.col("href").startswith("//")).withColumn("href", F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), F.col("href"))).otherwise(F.col("href")))
     links = found.select("src", target.alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
     hosts = pages.select(host.alias("host")).distinct()
@@ -74,13 +80,15 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return both.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def personalised_pagerank(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def personalised_pagerank(links: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """links(side, src, dst, n), seeds(side, host, seed) -> side, host, rank.
 
     Sides are walks of their own, in one loop.  A side's seeds add up to one of
     rank, which flows along its links in proportion to n; what reaches a host
     without links is lost.  Hosts that nothing reaches have no row; a side
-    without seeds has none.  Every fifth round is written, so plans stay short.
+    without seeds has none.  Every fifth round is written, so plans stay short;
+    rounds go on until ranks have SETTLED, which the damping brings about in
+    ninety or fewer, or are as many as asked for.
     Ranks of few hosts are broadcast to the links, those of more are joined.
     """
     total = seeds.groupBy("side").agg(F.sum("seed").alias("total"))
@@ -90,15 +98,23 @@ def personalised_pagerank(links: DataFrame, seeds: DataFrame, rounds: int = ROUN
     few = shares.count() + start.count() <= BROADCAST_HOSTS
     back = start.select("side", "host", ((1 - damping) * F.col("seed")).alias("rank"))
     rank = start.select("side", "host", F.col("seed").alias("rank"))
-    for i in range(rounds):
+    last = start.select("side", "host", F.col("seed").alias("rank"))
+    for i in count(1):
         flow = shares.join(F.broadcast(rank) if few else rank, ["side", "host"]).select("side", F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("rank"))
         rank = flow.union(back).groupBy("side", "host").agg(F.sum("rank").alias("rank"))
-        if i % 5 == 4 or i == rounds - 1:
+        if i == rounds:
+            return written(rank, "rank")
+        if i % 5 == 0:
             rank = written(rank, "rank")
-    return rank
+            if rounds is None:
+                both = rank.unionByName(last.withColumn("rank", -F.col("rank"))).groupBy("side", "host").agg(F.sum("rank").alias("change"))
+                moved = both.groupBy("side").agg(F.sum(F.abs("change")).alias("moved")).agg(F.max("moved")).first()[0]
+                if moved is None or moved < SETTLED:
+                    return rank
+                last = rank
 
 
-def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """host, trust, distrust, verdict of every host of the pages.
 
     A host is a seed by how many of its pages a rule decides: allowed ones of
@@ -120,7 +136,7 @@ def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int
     return both.withColumn("verdict", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page.
 
     Null urls and urls without `://` have empty host and path, which no rule
