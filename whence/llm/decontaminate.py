@@ -22,6 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -47,8 +48,8 @@ _INDEXES: dict[int, Index] = {}
 
 
 def hashes(own: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; Spark gives all Python workers one hash seed."""
-    return np.fromiter(map(hash, own), np.int64, len(own)).view(np.uint64)
+    """XXH64 of words: the same in every process."""
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(w) for w in own]), ">u8").astype(np.uint64)
 
 
 def words(text: str | None) -> list[bytes]:
