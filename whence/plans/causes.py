@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import causal_graph
+from ..operators import causal_graph, order_statistics
 from ..shared import kept
 from ..sources import tables
 from .claims import EDGES, LIFT, SHRINK, SQUASH, gated
@@ -94,11 +94,25 @@ def confidence_bands(spark, d):
     return s.groupBy(scoring.band(F.round("scalar", 6), BANDS).alias("band"), "kind").agg(F.count("*").alias("n"), F.round(F.min("scalar"), 6).alias("least"), F.round(F.max("scalar"), 6).alias("greatest"))
 
 
-@query("WITH " + _SCORES + "SELECT component, count(*) AS n, round(min(value), 6) AS least, round(max(value), 6) AS greatest, round(avg(value), 5) AS mean, count(*) FILTER (value = 0) AS inert FROM (UNPIVOT (SELECT rule, coalesce(historical, 0) AS historical, evidence FROM graded) ON rule, historical, evidence INTO NAME component VALUE value) GROUP BY 1")
+COMPONENTS = ("rule", "historical", "statistical", "diversity", "evidence", "connectivity", "temporal", "freedom")
+_BINS = " || ',' || ".join(f"count(*) FILTER (value IS NOT NULL AND least(9, floor(value * 10)) = {i})" for i in range(10))
+
+
+@query(
+    "WITH "
+    + _SCORES
+    + f""", long AS (SELECT component, value FROM (SELECT {", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in COMPONENTS)} FROM graded)
+  UNPIVOT INCLUDE NULLS (value FOR component IN ({", ".join(COMPONENTS)}))),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY value) AS r, count(value) OVER (PARTITION BY component) AS known FROM long)
+SELECT component, count(*) AS n, round(count(*) FILTER (value IS NULL) / count(*), 9) AS missing, min(value) AS least,
+  avg(value) FILTER (r IN ((known + 1) // 2, known // 2 + 1)) AS median, max(value) AS greatest, round(avg(value), 5) AS mean,
+  count(*) FILTER (value = 0) AS inert, {_BINS} AS bins FROM ordered GROUP BY 1"""
+)
 def component_tallies(spark, d):
-    s = scored(spark, d).select("rule", F.coalesce("historical", F.lit(0.0)).alias("historical"), "evidence")
-    long = s.unpivot([], ["rule", "historical", "evidence"], "component", "value")
-    return long.groupBy("component").agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("greatest"), F.round(F.avg("value"), 5).alias("mean"), F.count_if(F.col("value") == 0).alias("inert"))
+    """Of each of the eight components: missing share, least, median, greatest, mean, how many are zero, and ten bins."""
+    s = scored(spark, d).select(*[F.round(F.col(c).cast("double"), 6).alias(c) for c in COMPONENTS])
+    told = order_statistics.summary(s.unpivot([], list(COMPONENTS), "group", "value"))
+    return told.select(F.col("group").alias("component"), "n", F.round("missing", 9).alias("missing"), "least", "median", "greatest", F.round("mean", 5).alias("mean"), F.col("zeros").alias("inert"), "bins")
 
 
 # -- the graph ------------------------------------------------------------
