@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.temporal import separation
-from ..operators import cuts, retiming, rules
+from ..operators import cuts, retiming, rules, validity
 from ..shared import written
 from ..sources import tables
 from .causes import _DECIDED, promoted
@@ -62,7 +62,10 @@ def simulate_retiming(spark, d):
     """When everything would happen if all views came two hours later, all signups
     three hours earlier, or all clicks half an hour later: moved along measured
     delays only."""
-    links = written(_measured(spark, d), "measured")
+    return _retimed(spark, d, written(_measured(spark, d), "measured"))
+
+
+def _retimed(spark, d, links: DataFrame) -> DataFrame:
     shift = F.create_map(*[F.lit(x) for kv in SHIFTS.items() for x in kv])
     moved = links.where(F.col("source_type").isin(*SHIFTS)).select(F.col("source_type").alias("set_id"), F.col("source").alias("node"), F.element_at(shift, F.col("source_type")).cast("long").alias("shift")).distinct()
     at = tables.log_events(spark, d).select(F.col("event_id").alias("node"), F.unix_micros(F.col("known.t_earliest").cast("timestamp")).alias("lo"), F.unix_micros(F.col("known.t_latest").cast("timestamp")).alias("hi"))
@@ -105,3 +108,52 @@ def minimum_cut_sets(spark, d):
     known = {r.rule_id: r.cause_type for r in RULES}
     groups = [] if both.isEmpty() else [[known["BUY_FROM_CLICK"], known["BUY_FROM_VIEW"]]]
     return cuts.minimum_cut_sets(routes, bits, groups, CAP, CEILING)
+
+
+#: Beyond what was seen by up to this share of its range, a gap is at its edge.
+TOLERANCE = 0.1
+
+
+def _validity_sql() -> str:
+    moved_from = _retiming_sql().index(f"\nSELECT t.set_id, node, g.lo AS before_lo")
+    return _retiming_sql()[:moved_from] + f""",
+after AS MATERIALIZED (SELECT set_id, node, lo FROM time{LEVELS} UNION ALL SELECT set_id, node, lo + shift FROM moved JOIN log ON event_id = node),
+gaps AS (SELECT p.source, p.target, p.source_type, p.target_type, max(p.scalar) AS belief, any_value(a.lo) AS a_lo, any_value(b.lo) AS b_lo FROM promoted p
+  JOIN log a ON a.event_id = source JOIN log b ON b.event_id = target GROUP BY 1, 2, 3, 4),
+seen AS (SELECT source_type, target_type, min(b_lo - a_lo) AS low, max(b_lo - a_lo) AS high, count(*) AS n FROM gaps GROUP BY 1, 2),
+asked AS MATERIALIZED (SELECT k.set_id, g.source, g.target, belief, low, high, n, a.node IS NOT NULL AS from_moved, b.node IS NOT NULL AS into_moved,
+  CASE WHEN b.node IS NULL THEN b_lo ELSE b.lo END - CASE WHEN a.node IS NULL THEN a_lo ELSE a.lo END AS gap
+  FROM (SELECT DISTINCT set_id FROM moved) k CROSS JOIN gaps g JOIN seen USING (source_type, target_type)
+  LEFT JOIN after a ON a.set_id = k.set_id AND a.node = source LEFT JOIN after b ON b.set_id = k.set_id AND b.node = target
+  WHERE a.node IS NOT NULL OR b.node IS NOT NULL),
+links2 AS MATERIALIZED (SELECT *, CASE WHEN n < {MEASURED} OR gap IS NULL THEN 3 WHEN greatest(low - gap, gap - high) <= 0 THEN 0
+  WHEN greatest(low - gap, gap - high) <= {TOLERANCE} * (high - low) THEN 1 ELSE 2 END AS v FROM asked),
+starts AS (SELECT set_id, node FROM after),
+walked AS (SELECT set_id, node, 0 AS v, 1.0::DOUBLE AS p FROM starts UNION SELECT set_id, target, v, belief FROM links2 WHERE into_moved
+  UNION SELECT w.set_id, l.target, greatest(w.v, l.v), least(w.p, l.belief) FROM walked w JOIN links2 l ON l.set_id = w.set_id AND l.source = w.node)
+SELECT set_id, node, list_extract(['WITHIN', 'AT_EDGE', 'EXTRAPOLATION', 'NOT_ASSESSABLE'], max(v) + 1) AS verdict, round(min(p), 6) AS belief
+  FROM walked GROUP BY 1, 2"""
+
+
+@query(_validity_sql())
+def world_validity(spark, d):
+    """The retimed worlds beside what the data have shown: of every event that is
+    moved or touched the weakest verdict on the gaps that led to it, and the least
+    confidence on the way."""
+    measured = written(_measured(spark, d), "measured")
+    world = written(_retimed(spark, d, measured).select("set_id", "node", F.col("after_lo").alias("lo")), "world")
+    base = tables.log_events(spark, d).select("event_id", F.unix_micros(F.col("known.t_earliest").cast("timestamp")).alias("lo"))
+    e = promoted(spark, d).groupBy("source", "target", "source_type", "target_type").agg(F.max("scalar").alias("belief"))
+    e = e.join(base.toDF("source", "a_lo"), "source").join(base.toDF("target", "b_lo"), "target")
+    e = written(e.withColumn("was", F.col("b_lo") - F.col("a_lo")), "gaps")
+    seen = e.groupBy("source_type", "target_type").agg(F.min("was").alias("low"), F.max("was").alias("high"), F.count("*").alias("seen"))
+    e = e.join(F.broadcast(seen), ["source_type", "target_type"])
+    # A link changes if either end does: from the side of its source, then from that of its target.
+    at = world.select("set_id", "node", "lo", F.lit(True).alias("moved"))
+    out = e.join(at.toDF("set_id", "source", "a_new", "a_moved"), "source").select("set_id", "source", "target")
+    into = e.join(at.toDF("set_id", "target", "b_new", "b_moved"), "target").select("set_id", "source", "target")
+    changed = out.union(into).distinct().join(e, ["source", "target"])
+    changed = changed.join(at.toDF("set_id", "source", "a_new", "a_moved"), ["set_id", "source"], "left").join(at.toDF("set_id", "target", "b_new", "b_moved"), ["set_id", "target"], "left")
+    gap = F.when(F.col("b_moved").isNull(), F.col("b_lo")).otherwise(F.col("b_new")) - F.when(F.col("a_moved").isNull(), F.col("a_lo")).otherwise(F.col("a_new"))
+    links = changed.withColumn("verdict", validity.verdict(gap, F.col("low"), F.col("high"), F.col("seen"), MEASURED, TOLERANCE))
+    return validity.carried(links, world).withColumn("belief", F.round("belief", 6))
