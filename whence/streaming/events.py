@@ -67,12 +67,32 @@ def replay_stream(stream: DataFrame, transitions: dict[tuple[str, str], str], la
     return keyed.groupBy("timeline_id").applyInPandasWithState(run, STEP, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, base: str, mode: str) -> DataFrame:
+def once(stream: DataFrame, key: list[str], lateness: str = "1 day") -> DataFrame:
+    """The first to arrive of the rows with one key, however often and in whatever
+    order they come within the lateness of each other; a key leaves the state when
+    the watermark has passed it.  Rows later than the watermark don't count."""
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
+    return timed.dropDuplicatesWithinWatermark(key).drop("at")
+
+
+def joined(causes: DataFrame, effects: DataFrame, key: str, within: str, lateness: str = "1 day") -> DataFrame:
+    """source, target, key, gap_us of every cause and effect of one key that follows it
+    by more than nothing and at most `within`.  Two streams with watermarks of their
+    own: each side's rows leave the state when the other side's watermark rules
+    out that a partner still comes."""
+    a = causes.select(F.col(key).alias("a_key"), F.col("event_id").alias("source"), F.col("ts").cast("timestamp").alias("a_at")).withWatermark("a_at", lateness)
+    b = effects.select(F.col(key).alias("b_key"), F.col("event_id").alias("target"), F.col("ts").cast("timestamp").alias("b_at")).withWatermark("b_at", lateness)
+    met = a.join(b, F.expr(f"a_key = b_key AND b_at > a_at AND b_at <= a_at + INTERVAL {within}"))
+    return met.select("source", "target", F.col("a_key").alias(key), (F.unix_micros("b_at") - F.unix_micros("a_at")).alias("gap_us"))
+
+
+def run_to_table(stream: DataFrame, base: str, mode: str, where: str | None = None) -> DataFrame:
     """Runs all that is there now into a table under base, and reads it: every
     batch's rows, with its number as batch.  A batch that is run again after a
-    failure overwrites its own folder only."""
+    failure overwrites its own folder only.  where: the folder of an earlier run,
+    whose progress and rows are taken up again."""
     spark = stream.sparkSession
-    where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = where or f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{where}/rows/batch-{number}")
