@@ -78,14 +78,20 @@ def test_removal_spreads_through_chains_and_diamonds(spark):
     edges = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (1, 7), (7, 8), (8, 7)]
     e = spark.createDataFrame([(w, a, b) for w in ("x", "y") for a, b in edges + [(6, 4)] * (w == "y")], "world string, source long, target long")
     removed = spark.createDataFrame([("x", "a", 1), ("y", "a", 1), ("x", "b", 2), ("y", "c", 2), ("y", "c", 3), ("y", "c", 6)], "world string, set_id string, node long")
-    gone = {(r.world, r.set_id, r.node): r.round for r in simulation.eliminated(e, removed, 9, ("world",)).collect()}
+    gone = {(r.world, r.set_id, r.node): r.round for r in simulation.eliminated(e, removed, ("world",)).collect()}
     assert gone == {("x", "a", 1): 0, ("x", "a", 2): 1, ("x", "a", 3): 1, ("x", "a", 4): 2, ("x", "a", 5): 3, ("y", "a", 1): 0, ("y", "a", 2): 1, ("y", "a", 3): 1, ("x", "b", 2): 0} | {
         ("y", "c", 2): 0, ("y", "c", 3): 0, ("y", "c", 6): 0, ("y", "c", 4): 1, ("y", "c", 5): 2}
     one = causal_graph.share_of_incoming(spark.createDataFrame([(*p, 1.0) for p in edges], "source long, target long, scalar double"))
-    kept = {r.node: r.kept for r in simulation.simulated(one, spark.createDataFrame([("s", 2)], "set_id string, node long"), 9).collect()}
+    kept = {r.node: r.kept for r in simulation.simulated(one, spark.createDataFrame([("s", 2)], "set_id string, node long")).collect()}
     assert kept == {2: 0.0, 4: 0.5}  # half of the diamond stays, and nothing behind it is lost
 
 
+def test_removal_goes_to_the_end_of_a_long_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(12)], "source long, target long")
+    gone = {r.node: r.round for r in simulation.eliminated(e, spark.createDataFrame([("s", 0)], "set_id string, node long")).collect()}
+    assert gone == {i: i for i in range(13)}
+
+
 def test_chains_are_shortest_and_most_confident(spark):
     e = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.5), (2, 4, 0.5), (3, 4, 0.9), (4, 5, 0.5), (1, 5, 0.1)], "source long, target long, scalar double")
     c = {r.node: (r.distance, r.parent, round(r.confidence, 9)) for r in simulation.chains(e, spark.createDataFrame([(1,)], "node long"), 9).collect()}
