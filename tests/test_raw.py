@@ -21,6 +21,19 @@ def test_encodings():
         delimited.probe_encoding(b"\xff", candidates=("utf-8",))
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp1252", "latin-1"])
+def test_probe_and_read_in_other_encodings(spark, tmp_path, encoding):
+    lines = ["näme;preis"] + [f"café{i};{i} {'€' if encoding != 'latin-1' else '£'} “ü”".replace("“", '"' if encoding == "latin-1" else "“").replace("”", "x") for i in range(300)]
+    path = tmp_path / "in.csv"
+    path.write_bytes("\n".join(lines).encode(encoding) + (b"\n\x81" if encoding == "latin-1" else b""))
+    found = delimited.probe(spark, f"file://{path}")
+    assert found.encoding == ("utf-8" if encoding == "utf-8-sig" else encoding) and found.header == ("näme", "preis")
+    rows = delimited.numbered(spark, f"file://{path}", encoding).collect()
+    assert [r.line for r in sorted(rows, key=lambda r: r.row_number)][: len(lines)] == lines
+    back = spark.createDataFrame([(x,) for x in lines], "t string").select(delimited.encoded(F.col("t"), "cp1252").alias("b")).collect()
+    assert encoding != "cp1252" or [bytes(r.b) for r in back] == [x.encode("cp1252") for x in lines]
+
+
 def test_dialects():
     assert delimited.sniff("a;b;c\n1,5;2;3\n4;5,1;6\n") == ";"
     assert delimited.sniff("a\tb\n1\t2\n") == "\t" and delimited.sniff("a|b\n1|2\n") == "|"

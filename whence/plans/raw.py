@@ -11,6 +11,7 @@ from ..functions import mapping, temporal
 from ..functions.temporal import interval
 from ..operators import sequences
 from ..operators.stitched import bucket_of, stitched
+from ..shared import new_path
 from ..sources import delimited, tables
 from .common import LOG, query, sequenced
 
@@ -411,3 +412,24 @@ def attribute_lookup(spark, d):
     noted = F.create_map(F.lit("amount"), F.get_json_object("props", "$.k"))
     amount = mapping.attribute(changed, noted, "amount").try_cast("bigint")
     return e.groupBy("event_type").agg(F.count("*").alias("events"), F.sum(amount).alias("total"))
+
+
+_REMARK = "'Größe ' || o_orderpriority || ' – „' || o_orderstatus || '“; ' || (o_orderkey % 97) || ' €'"
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey, {_REMARK} AS remark FROM orders) SELECT o_orderkey AS order_key, remark, 'cp1252' AS encoding, ';' AS delimiter,
+  'FULL' AS shape FROM o"""
+)
+def raw_file(spark, d):
+    """Orders exported as a delimited file in cp1252, in as many parts as Spark
+    writes, probed, and read again by the encoding and dialect that the probe found."""
+    o = tables.table(spark, d, "orders")
+    key, star = F.col("o_orderkey").cast("string"), F.lit('"')
+    remark = F.concat(F.lit("Größe "), "o_orderpriority", F.lit(" – „"), "o_orderstatus", F.lit("“; "), (F.col("o_orderkey") % 97).cast("string"), F.lit(" €"))
+    lines = spark.createDataFrame([("order;remark;mark",)], "line string").union(o.select(F.concat(key, F.lit(";"), star, remark, star, F.lit(";x"))))
+    path = new_path(spark, "export")
+    lines.select(delimited.encoded(F.col("line"), "cp1252").cast("string")).write.text(path)
+    found = delimited.probe(spark, path)
+    rows = delimited.records(delimited.numbered(spark, path, found.encoding).where("row_number > 1"), found.header, found.delimiter, "v1")
+    return rows.select(F.col("order").cast("long").alias("order_key"), "remark", F.lit(found.encoding).alias("encoding"), F.lit(found.delimiter).alias("delimiter"), "shape")

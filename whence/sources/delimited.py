@@ -59,32 +59,71 @@ def sniff(text: str) -> str:
 
 
 def probe(spark: SparkSession, path: str) -> Probe:
-    """Of one file, from its start and end only."""
+    """Of one file, or of a folder of its parts, from its start and end only."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getFileStatus(hadoop).getLen()
+    parts = [hadoop]
+    if fs.getFileStatus(hadoop).isDirectory():  # a file in parts, whose names are in order
+        parts = sorted((f.getPath() for f in fs.listStatus(hadoop) if f.getLen() and f.getPath().getName()[0] not in "._"), key=lambda p: p.getName())
+    size = fs.getFileStatus(parts[-1]).getLen() if parts else 0
 
-    def read(at: int, n: int) -> bytes:
-        stream = fs.open(hadoop)
+    def read(part, at: int, n: int) -> bytes:
+        stream = fs.open(part)
         try:
             stream.seek(at)
             return bytes(stream.readNBytes(n))
         finally:
             stream.close()
 
-    head = read(0, min(size, WINDOW))
-    encoding, rejected = probe_encoding(head, read(max(WINDOW, size - WINDOW), min(size - WINDOW, WINDOW)) if size > WINDOW else b"")
+    head = read(parts[0], 0, WINDOW) if parts else b""
+    if len(parts) > 1:
+        tail = read(parts[-1], max(0, size - WINDOW), WINDOW)
+    else:
+        tail = read(parts[0], max(WINDOW, size - WINDOW), min(size - WINDOW, WINDOW)) if size > WINDOW else b""
+    encoding, rejected = probe_encoding(head, tail)
     text = head.decode(encoding, "ignore").lstrip("﻿")
     delimiter = sniff(text)
     return Probe(encoding, rejected, delimiter, tuple(text.splitlines()[0].split(delimiter)) if text else ())
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """row_number (from 1, in file order), line.  Lines are counted by the splits
-    that Spark reads and numbered by adding up: nothing is sorted or gathered."""
+def letters(encoding: str) -> tuple[str, str]:
+    """What a one-byte encoding makes of the upper bytes, where Latin-1 differs."""
+    latin = [chr(b) for b in range(128, 256)]
+    own = [bytes([b]).decode(encoding, "replace") for b in range(128, 256)]
+    pairs = [(x, y) for x, y in zip(latin, own, strict=True) if x != y]
+    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
+
+
+def decoded(raw: Column, encoding: str) -> Column:
+    """Text of bytes.  Spark knows few encodings: bytes of another one with one byte
+    a letter are read as Latin-1 and its letters translated; a byte that it doesn't
+    have becomes U+FFFD, as malformed UTF-8 does."""
+    name = encoding.lower()
+    if name.startswith("utf-8"):
+        return F.decode(raw, "UTF-8") if name == "utf-8" else F.regexp_replace(F.decode(raw, "UTF-8"), "^\ufeff", "")
+    text = F.decode(raw, "ISO-8859-1")
+    return text if name in ("latin-1", "iso-8859-1") else F.translate(text, *letters(name))
+
+
+def encoded(text: Column, encoding: str) -> Column:
+    """Bytes of text in a one-byte encoding; letters that it doesn't have become question marks."""
+    old, new = letters(encoding)
+    kept = [(x, y) for x, y in zip(old, new, strict=True) if y != "\ufffd"]
+    return F.encode(F.translate(text, "".join(y for _, y in kept), "".join(x for x, _ in kept)), "ISO-8859-1")
+
+
+def _line(encoding: str) -> Column:
+    """Spark keeps a line's bytes as they are, whatever they mean."""
+    return (F.col("value") if encoding.lower() == "utf-8" else decoded(F.col("value").cast("binary"), encoding)).alias("line")
+
+
+def numbered(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """row_number (from 1, in file order), line (read by a probe's encoding).  Lines are
+    counted by the splits that Spark reads and numbered by adding up: nothing is
+    sorted or gathered."""
     from ..shared import written
 
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id"), _line(encoding))
     lines = written(lines, "lines")
     splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = [(r["file"], r["block"], r["first"], r["n"]) for r in splits.orderBy("file", "block").collect()]  # a row for each split
@@ -121,12 +160,12 @@ def records(lines: DataFrame, header: tuple[str, ...], delimiter: str, version:
     return rows.select(evidence_id(version, F.col("row_number")).alias("evidence_id"), "row_number", *named, *more, last, shape)
 
 
-def pin(spark: SparkSession, path: str) -> dict:
+def pin(spark: SparkSession, path: str, encoding: str = "utf-8") -> dict:
     """Name, bytes and content hash of a file's lines, by which a later reader can
     tell that it reads the same: an order-free sum, so no task reads all."""
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
     half = lambda at: F.sum(F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("row_number").cast("string"), "line"), 256), at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
-    row = numbered(spark, path).agg(F.count("*").alias("rows"), F.concat_ws(":", half(1), half(16)).alias("content")).first()
+    row = numbered(spark, path, encoding).agg(F.count("*").alias("rows"), F.concat_ws(":", half(1), half(16)).alias("content")).first()
     return {"schema": 1, "path": path.rsplit("/", 1)[-1], "bytes": size, "rows": row["rows"], "content": row["content"]}
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.temporal import interval
+from .delimited import letters
 
 
 #: Types of event whose time is known to an hour or a minute only; of others it is exact.
@@ -50,22 +51,16 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.union(shipped).union(returned).union(fulfilled)
 
 
-def _letters(encoding: str) -> tuple[str, str]:
-    """What a one-byte encoding makes of the upper bytes, where Latin-1 differs."""
-    latin = [chr(b) for b in range(128, 256)]
-    own = [bytes([b]).decode(encoding, "replace") for b in range(128, 256)]
-    pairs = [(x, y) for x, y in zip(latin, own, strict=True) if x != y]
-    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
-
-
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", columns: list[str] | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", columns: list[str] | None = None, quoted_lines: bool = True) -> DataFrame:
     """A delimited file as text, every column a string; the header must be the
     declared one.  Spark reads few encodings, so a file in another one of one
-    byte a letter (cp1252, say) is read as Latin-1 and its letters translated."""
+    byte a letter (cp1252, say) is read as Latin-1 and its letters translated.
+    quoted_lines: fields may hold line ends; then a file can't be split and is
+    one task.  Without them it is read in parts."""
     direct = encoding.lower() in ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-32")
-    raw = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding if direct else "iso-8859-1").option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding if direct else "iso-8859-1").option("multiLine", quoted_lines).option("escape", '"').csv(path)
     if not direct:
-        old, new = _letters(encoding)
+        old, new = letters(encoding)
         table = str.maketrans(old, new)
         raw = raw.select([F.translate(F.col(f"`{c}`"), old, new).alias(c.translate(table)) for c in raw.columns])
     if columns is not None and raw.columns != columns:
