@@ -131,3 +131,21 @@ def test_delimited_files(spark, tmp_path):
     for run in ("r1", "r2"):
         tables.write_run(df, str(tmp_path / "out"), run)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).groupBy("run_id").count().collect())) == [("r1", 2), ("r2", 2)]
+
+
+def test_readings_of_a_changed_world(spark):
+    from whence.functions import perturbation as P
+    from whence.functions import scoring
+
+    rows = [(10.0, 0.5, [0.25, 0.25], False), (10.0, 0.0, [1.0], False), (10.0, -1.0, [0.7, 0.7], False), (10.0, 2.0, [], True), (None, 1.0, [0.5], False), (8.0, 4.0, [-0.1], False)]
+    df = spark.createDataFrame(rows, "r double, m double, removed array<double>, gone boolean")
+    got = [tuple(x) for x in df.select(P.scaled(F.col("r"), F.col("m")), P.unscaled(F.col("r"), F.col("m")), P.surviving_share(F.col("removed")), P.transmitted(F.col("r"), F.col("removed"), F.col("gone"))).collect()]
+    assert got == [(5.0, 20.0, 0.5, 5.0), (0.0, None, 0.0, 0.0), (None, None, None, None), (20.0, 5.0, 1.0, 0.0), (None, None, 0.5, None), (32.0, 2.0, None, None)]
+    at = spark.createDataFrame([("2024-01-05",), (None,)], "t string").select(temporal.interval(F.col("t").cast("timestamp_ntz"), "DAY").alias("at"))
+    a, b = at.select(P.shifted("at", F.lit(-3_600_000_000)).alias("x")).collect()
+    assert (str(a.x.t_earliest), str(a.x.t_latest), a.x.precision, a.x.moved_us) == ("2024-01-04 23:00:00", "2024-01-05 22:59:59.999999", "DAY", -3_600_000_000)
+    assert (b.x.t_earliest, b.x.precision, b.x.moved_us) == (None, "UNKNOWN", 0)
+    parts = spark.createDataFrame([(0.5, None, 0.25), (None, None, None), (0.0, 1.0, 1.0)], "rule double, temporal double, evidence double")
+    own = {c: F.col(c) for c in parts.columns}
+    got = [tuple(x) for x in parts.select(F.round(scoring.weighted_mean(own), 9), scoring.minimum(own)).collect()]
+    assert got == [(round((0.5 * 0.25 + 0.25 * 0.15) / 0.4, 9), 0.25), (None, None), (round(0.35 / 0.6, 9), 0.0)]

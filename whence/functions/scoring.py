@@ -58,6 +58,22 @@ def gated_mean(components: dict[str, Column], temporal: Column, contradiction: C
     return F.least(mean, ceiling(temporal, TEMPORAL_CEILING), ceiling(contradiction, CONTRADICTION_CEILING))
 
 
+#: Weights of the plain mean, whose missing components abstain.
+MEAN_WEIGHTS = {"rule": 0.25, "temporal": 0.20, "historical": 0.15, "statistical": 0.15, "evidence": 0.15, "connectivity": 0.10}
+
+
+def weighted_mean(components: dict[str, Column]) -> Column:
+    """The mean of the components that are there, by their weights; null without any."""
+    zero = F.lit(0.0)
+    total = sum((F.when(c.isNotNull(), MEAN_WEIGHTS[k]).otherwise(0.0) for k, c in components.items()), zero)
+    return F.try_divide(sum((F.coalesce(c, zero) * MEAN_WEIGHTS[k] for k, c in components.items()), zero), total)
+
+
+def minimum(components: dict[str, Column]) -> Column:
+    """The weakest of the components that are there."""
+    return F.least(*components.values())
+
+
 def band(score: Column, floors: tuple[tuple[str, float], ...]) -> Column:
     """The first band, from high to low, whose floor the score reaches."""
     out = F.lit(None).cast("string")

@@ -12,8 +12,10 @@ from ..sources import tables
 from .claims import EDGES, LIFT, SHRINK, SQUASH, gated
 from .common import HOUR, LOG, pairs, query
 
+#: Fixed value: generators at which a candidate's evidence counts for a half.
+SATURATION = 3
 #: Declared parameters of scoring and promotion, this library's own.
-SATURATION, GENERATORS, WIDE_US = 3, 7, 6 * HOUR
+GENERATORS, WIDE_US = 7, 6 * HOUR
 FLOORS = {"DIRECT": 0.142, "CONDITIONAL": 0.25}
 BANDS = (("STRONG", 0.45), ("SUGGESTIVE", 0.22), ("WEAK", 0.0))
 #: How much a contradiction of each kind takes from the freedom of contradictions.
@@ -278,13 +280,17 @@ m AS (SELECT max(reached) AS most FROM c), des AS (SELECT lever, reached, round(
   m)"""
 
 
+#: Weights of a lever's benefit, cost, belief and risk.
+BENEFIT, COST, BELIEF, RISK = 0.40, 0.25, 0.20, 0.15
+
+
 def _levers(spark, d) -> DataFrame:
     cost = F.create_map(*[F.lit(x) for kv in (("signup", 0.75), ("view", 0.25), ("click", 0.5), ("purchase", 1.0)) for x in kv])
     risk = F.create_map(*[F.lit(x) for kv in (("error", 0.0), ("view", 0.5)) for x in kv])
     c = promoted(spark, d).groupBy(F.col("source_type").alias("lever")).agg(F.count_distinct("target").alias("reached"), F.avg("scalar").alias("belief"))
     c = c.withColumn("cost", F.try_element_at(cost, F.col("lever"))).withColumn("risk", F.try_element_at(risk, F.col("lever"))).crossJoin(F.broadcast(c.agg(F.max("reached").alias("most"))))
     worst = lambda n: 1 - F.coalesce(n, F.lit(1.0))
-    score = 0.40 * F.col("reached") / F.col("most") + 0.25 * worst("cost") + 0.20 * F.col("belief") + 0.15 * worst("risk")
+    score = BENEFIT * F.col("reached") / F.col("most") + COST * worst("cost") + BELIEF * F.col("belief") + RISK * worst("risk")
     return c.select("lever", "reached", F.round("belief", 5).alias("belief"), "cost", F.round(score, 5).alias("desirability"))
 
 

@@ -14,8 +14,10 @@ from ..shared import kept, written
 from ..sources import tables
 from .common import HOUR, LOG, WINDOWS, pairs, query
 
+#: Fixed value: observations that a prior of history counts for.
+PRIOR = 20
 #: Declared parameters of this library's own rule pack.
-PRIOR, REFERENCE = 20, 3.0
+REFERENCE = 3.0
 RULES = (
     rules.CausalRule("CLICK_FROM_VIEW", "view", "click", 6 * HOUR, 0.6),
     rules.CausalRule("BUY_FROM_CLICK", "click", "purchase", 12 * HOUR, 0.8, ("effect.value", ">", 20)),
