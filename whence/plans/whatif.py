@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.temporal import separation
-from ..operators import cuts, retiming, rules, validity
+from ..operators import admission, cuts, retiming, rules, sequences, validity
 from ..shared import written
 from ..sources import tables
 from .causes import _DECIDED, promoted
 from .claims import RULES, _fired
-from .common import HOUR, query
+from .common import HOUR, LOG, query, sequenced
+from .common import STEPS as STEP_TYPES
+from .timelines import _REPLAY, MACHINE
 
 #: Declared changes: all events of a type that cause something, by so many microseconds.
 SHIFTS = {"view": 2 * HOUR, "signup": -3 * HOUR, "click": HOUR // 2}
@@ -157,3 +161,55 @@ def world_validity(spark, d):
     gap = F.when(F.col("b_moved").isNull(), F.col("b_lo")).otherwise(F.col("b_new")) - F.when(F.col("a_moved").isNull(), F.col("a_lo")).otherwise(F.col("a_new"))
     links = changed.withColumn("verdict", validity.verdict(gap, F.col("low"), F.col("high"), F.col("seen"), MEASURED, TOLERANCE))
     return validity.carried(links, world).withColumn("belief", F.round("belief", 6))
+
+
+#: Attributes that this library's own pack declares changeable.
+CHANGEABLE = (admission.Changeable("purchase", "value", 0.0, 90.0), admission.Changeable("view", "k", 0.0, 99.0))
+_LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in sorted({(s, to) for (s, _), to in MACHINE.items()}))
+_STEP_LIST = ", ".join(f"'{s}'" for s in STEP_TYPES)
+
+
+@query(
+    _REPLAY
+    + ", "
+    + _DECIDED.split(LOG, 1)[1].lstrip().lstrip(",")
+    + f""", pe AS (SELECT DISTINCT source, target FROM promoted),
+late AS (SELECT p.source AS target, bool_or(c.lo >= e.hi + {3 * HOUR}) OR bool_or(e.lo + {3 * HOUR} >= f.hi) AS late FROM pe p JOIN log e ON e.event_id = p.source
+  LEFT JOIN (SELECT target, max(lo) AS lo FROM pe JOIN log ON event_id = source GROUP BY 1) c ON c.target = p.source
+  LEFT JOIN (SELECT source, min(hi) AS hi FROM pe JOIN log ON event_id = target GROUP BY 1) f ON f.source = p.source GROUP BY 1),
+t AS (SELECT DISTINCT timeline_id FROM seq), had AS (SELECT DISTINCT timeline_id, event_type FROM seq),
+given AS (
+  SELECT 'SHIFT_TIMING' AS kind, CASE WHEN coalesce(late, false) THEN 'WOULD_VIOLATE_LAW_TIME' END AS reason FROM late
+  UNION ALL SELECT 'REMOVE_EVENT', CASE WHEN x.event_id IS NULL THEN 'UNKNOWN_TARGET' END FROM log a LEFT JOIN log x ON x.event_id = a.k * 150
+  UNION ALL SELECT 'INSERT_EVENT', NULL FROM t, (SELECT unnest([{_STEP_LIST}]) AS s) WHERE NOT EXISTS (SELECT 1 FROM had h
+    WHERE h.timeline_id = t.timeline_id AND h.event_type = s)
+  UNION ALL SELECT 'INSERT_EVENT', 'STEP_NOT_ADMITTED_BY_PROCESS' FROM log WHERE event_type = 'error'
+  UNION ALL SELECT 'CHANGE_ATTRIBUTE', CASE WHEN event_type = 'view' THEN 'ATTRIBUTE_NOT_DECLARED_CHANGEABLE' WHEN event_type <> 'purchase'
+    THEN 'DECLARATION_ABSENT' WHEN value = ceil(value / 10) * 10 THEN 'CHANGES_NOTHING' WHEN ceil(value / 10) * 10 BETWEEN 0 AND 90 THEN NULL
+    ELSE 'VALUE_OUTSIDE_DECLARED_BOUND' END FROM log
+  UNION ALL SELECT 'CHANGE_ENTITY_STATE', CASE WHEN c_custkey IS NULL THEN 'UNKNOWN_TARGET' WHEN (state, 'bought') NOT IN ({_LEGAL})
+    THEN 'TRANSITION_NOT_DECLARED' END FROM m LEFT JOIN customer ON c_custkey = split_part(timeline_id, '@', 1)::BIGINT WHERE state <> '!')
+SELECT kind, coalesce(reason, 'ADMITTED') AS reason, count(*) AS n FROM given GROUP BY 1, 2"""
+)
+def change_admission(spark, d):
+    """Five kinds of proposed changes, admitted or refused: causes moved by three hours,
+    events named in other events' properties removed, missing steps inserted,
+    values rounded up to tens, states turned into the last one."""
+    log = written(tables.log_events(spark, d).withColumns({"lo": F.unix_micros(F.col("known.t_earliest").cast("timestamp")), "hi": F.unix_micros(F.col("known.t_latest").cast("timestamp"))}), "log")
+    links = written(promoted(spark, d).select("source", "target").distinct(), "links")
+    made = admission.proposal
+    days = sequenced(spark, d)
+    rounded = (F.ceil(F.col("value") / 10) * 10).cast("bigint").cast("string")
+    taken = sequences.replay(days, MACHINE).where("not illegal")
+    every = [
+        made(links.select("source").distinct(), "SHIFT_TIMING", target=F.col("source"), shift=F.lit(3 * HOUR)),
+        made(log, "REMOVE_EVENT", target=F.col("k") * 150),
+        made(sequences.gaps(days, STEP_TYPES), "INSERT_EVENT", new_type=F.col("expected_type")),
+        made(log.where("event_type = 'error'"), "INSERT_EVENT", target=F.col("event_id"), new_type=F.lit("error")),
+        made(log, "CHANGE_ATTRIBUTE", target=F.col("event_id"), attribute=F.lit("value"), new_value=rounded),
+        made(taken, "CHANGE_ENTITY_STATE", entity=F.split_part("timeline_id", F.lit("@"), F.lit(1)), from_state=F.col("to_state"), to_state=F.lit("bought")),
+    ]
+    customers = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("entity"))
+    turns = sorted({(s, to) for (s, _), to in MACHINE.items()})
+    out = admission.admit(reduce(DataFrame.unionByName, every), log, links, customers, CHANGEABLE, STEP_TYPES, turns)
+    return out.groupBy("kind", F.coalesce("reason", F.lit("ADMITTED")).alias("reason")).agg(F.count("*").alias("n"))
