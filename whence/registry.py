@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import causes, claims, ingest, intervals, measures, more, raw, streams, timelines, whatif, worlds  # noqa: F401  each adds its queries
+from .plans import causes, claims, fusion, ingest, intervals, measures, more, raw, streams, timelines, whatif, worlds  # noqa: F401  each adds its queries
 from .plans.common import QUERIES, SQL
 
 
