@@ -51,6 +51,8 @@ def brute(rows, rounds=Q.ROUNDS):
         told = found[4]
         worth = [(k, odds(g, base, told[k])) for k, g in rows]
         found = rates(worth)
+        if max(abs(found[4][k] - told[k]) for k in told) < Q.SETTLED:
+            break
     prior, kh, kp, _, _, by_path, by_host = found
     out = []
     for (k, g), (_, w) in zip(rows, worth):

@@ -35,8 +35,9 @@ FIT_ROWS = 20_000
 KEEP = 0.5
 #: Weight of a unit of squared coefficient in the fit.
 RIDGE = 1.0
-#: Rounds in which sites' rates and documents' posteriors are told to each other.
-ROUNDS = 10
+#: Rounds, at most, in which sites' rates and documents' posteriors are told to each
+#: other, and by how much a path's rate may still change for the last one.
+ROUNDS, SETTLED = 10, 1e-4
 #: Sites are broadcast up to this many rows of about 100 bytes, and joined by site beyond.
 BROADCAST_SITES = 200_000
 #: Posteriors of sites stay away from 0 and 1 by this.
@@ -227,6 +228,9 @@ def sites(scored: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         worth = posterior(F.col("good"), F.col("base"), F.col("told"))
         paths = scored.join(rates, ["host", "path"]).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(worth).alias("s"), F.first("told").alias("told"), F.first("base").alias("base"))
         found = written(_rates(paths), "sites")
+        moved = found.agg(F.max(F.abs(F.col("path_rate") - F.col("told")))).first()[0]
+        if moved is None or moved < SETTLED:
+            break
     return found
 
 
