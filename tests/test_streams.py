@@ -57,3 +57,29 @@ def test_once_and_joined_in_any_order_and_after_a_restart(spark, tmp_path):
         s = events.read_log(spark, f"file://{tmp_path}/{seed}/plain.parquet", 1)
         met = events.run_to_table(events.joined(s.where("event_type = 'click'"), s.where("event_type = 'purchase'"), "user_id", "2 HOURS", "30 days"), f"file://{tmp_path}", "append")
         assert sorted((r.source, r.target) for r in met.collect()) == pairs
+
+
+def test_users_of_one_state_keep_their_own_days_and_versions(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(10 * u + i, u, t, start + datetime.timedelta(hours=i)) for u in range(20) for i, t in enumerate(("view", "view", "click"))]
+    path, where = f"file://{tmp_path}/events.parquet", f"file://{tmp_path}/run"
+    put = lambda r: spark.createDataFrame(r, "event_id long, user_id long, event_type string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(path)
+    told = []
+    for more in (rows, [(9999, 3, "purchase", start + datetime.timedelta(hours=5))]):
+        put(more)
+        told = events.run_to_table(events.replay_stream(events.read_log(spark, path), MACHINE, "30 days", 1), "", "append", where).collect()
+    assert {r.timeline_id for r in told if r.version == 2} == {"3@2024-01-01"}  # only who has new events comes again
+    ids = [r.event_id for r in sorted(told, key=lambda r: r.event_id) if r.version == 2]
+    assert ids == [30, 31, 32, 9999]
+    assert sorted(r.event_id for r in told if r.version == 1) == sorted(r[0] for r in rows)
+
+
+def test_a_state_is_called_for_many_users(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(u, u, "view", start) for u in range(2000)]
+    path, where = f"file://{tmp_path}/events.parquet", f"file://{tmp_path}/run"
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz").coalesce(1).write.parquet(path)
+    got = events.run_to_table(events.replay_stream(events.read_log(spark, path), MACHINE), "", "append", where)
+    assert got.count() == 2000
+    state = spark.read.format("statestore").load(f"{where}/progress")
+    assert state.count() <= 256

@@ -29,12 +29,15 @@ def window_counts(stream: DataFrame, width: str = "1 hour", lateness: str = "1 d
     return timed.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def replay_stream(stream: DataFrame, transitions: dict[tuple[str, str], str], lateness: str = "1 day") -> DataFrame:
+def replay_stream(stream: DataFrame, transitions: dict[tuple[str, str], str], lateness: str = "1 day", groups: int = 256) -> DataFrame:
     """Transitions of each user's day, with the version of the day that they belong
     to.  A day's events are kept until the watermark has passed it; whenever some
     arrive, in whatever order, all of the day are taken by time again and come out
     as its next version, which stands for the ones before.  The first event that
-    triggers anything sets the state, an illegal one halts the day."""
+    triggers anything sets the state, an illegal one halts the day.
+
+    A state holds one of so many groups of users on one day, as calling Python is
+    dearer than a user's few events; only users who have new events come out."""
     first: dict[str, str] = {}
     for (_, trigger), to in sorted(transitions.items()):
         first.setdefault(trigger, to)
@@ -44,27 +47,37 @@ def replay_stream(stream: DataFrame, transitions: dict[tuple[str, str], str], la
         if state.hasTimedOut:
             state.remove()
             return
-        us, ids, types, version = state.get if state.exists else ([], [], [], 0)
-        held = list(zip(us, ids, types, strict=True))
+        lines, us, ids, types, known, versions = state.get if state.exists else ([], [], [], [], [], [])
+        held, new = set(zip(lines, us, ids, types, strict=True)), set()
         for p in parts:
-            held += list(zip(p["us"].tolist(), p["event_id"].tolist(), p["event_type"].tolist(), strict=True))
-        held = sorted(set(held))
-        state.update(([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], version + 1))
-        day_end = (held[-1][0] // 86_400_000_000 + 1) * 86_400_000
+            new.update(p["timeline_id"].tolist())
+            held.update(zip(p["timeline_id"].tolist(), p["us"].tolist(), p["event_id"].tolist(), p["event_type"].tolist(), strict=True))
+        held = sorted(held)
+        version = dict(zip(known, versions, strict=True))
+        for line in new:
+            version[line] = version.get(line, 0) + 1
+        state.update((*([h[i] for h in held] for i in range(4)), list(version), list(version.values())))
+        day_end = (max(h[1] for h in held) // 86_400_000_000 + 1) * 86_400_000
         state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
-        now, rows = None, []
-        for _, event_id, event_type in held:
+        last, now, rows = None, None, []
+        for line, _, event_id, event_type in held:
+            if line not in new:
+                continue
+            if line != last:
+                last, now = line, None
             if event_type in first and now != "!":
                 to = first[event_type] if now is None else transitions.get((now, event_type), "!")
-                rows.append((key[0], event_id, event_type, now, None if to == "!" else to, to == "!", version + 1))
+                rows.append((line, event_id, event_type, now, None if to == "!" else to, to == "!", version[line]))
                 now = to
         yield pd.DataFrame(rows, columns=names)
 
-    day = F.concat_ws("@", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    date = F.date_format("ts", "yyyy-MM-dd")
+    line = F.concat_ws("@", F.col("user_id").cast("string"), date)
     at = F.col("ts").cast("timestamp")
-    keyed = stream.select(day.alias("timeline_id"), "event_id", "event_type", F.unix_micros(at).alias("us"), at.alias("at")).withWatermark("at", lateness)
-    state = "us array<bigint>, ids array<bigint>, types array<string>, version bigint"
-    return keyed.groupBy("timeline_id").applyInPandasWithState(run, STEP, state, "append", GroupStateTimeout.EventTimeTimeout)
+    group = F.pmod(F.xxhash64("user_id"), F.lit(groups))
+    keyed = stream.select(date.alias("day"), group.alias("group"), line.alias("timeline_id"), "event_id", "event_type", F.unix_micros(at).alias("us"), at.alias("at")).withWatermark("at", lateness)
+    state = "timelines array<string>, us array<bigint>, ids array<bigint>, types array<string>, known array<string>, versions array<bigint>"
+    return keyed.groupBy("day", "group").applyInPandasWithState(run, STEP, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def once(stream: DataFrame, key: list[str], lateness: str = "1 day") -> DataFrame:
