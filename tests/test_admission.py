@@ -53,3 +53,19 @@ def test_every_kind_and_reason(spark):
     assert {r[-1] for r in bare} == {"DECLARATION_ABSENT"}
     assert {r for _, r in CASES if r} | {"DECLARATION_ABSENT"} == set(A.REASONS)
     assert run(spark, []) == []
+
+
+def test_proposals_without_a_target_are_dealt_to_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 4000, 1, 16).select(F.when(F.col("id") < 0, F.col("id")).alias("target"), "id")
+    facts = spark.createDataFrame([(-1, "x"), (-2, "y"), (5, "z")], "target long, told string").hint("merge")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = A._looked_up(rows, facts, "target")
+        tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count("told").alias("told")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(tasks) > 1 and sum(t.n for t in tasks) == 4000
+    assert not any(t.told for t in tasks)  # no row without a key meets an event of a like number

@@ -53,8 +53,9 @@ def admit(proposals: DataFrame, events: DataFrame, links: DataFrame, entities: D
     causes = links.join(at.select(F.col("event_id").alias("source"), "lo"), "source").groupBy("target").agg(F.max("lo").alias("after"))
     effects = links.join(at.select(F.col("event_id").alias("target"), "hi"), "target").groupBy(F.col("source").alias("target")).agg(F.min("hi").alias("before"))
     known = events.select(F.col("event_id").alias("target"), F.col("event_type").alias("target_type"), "lo", "hi", F.col("value").alias("current"))
-    rows = proposals.join(known, "target", "left").join(causes, "target", "left").join(effects, "target", "left")
-    rows = rows.join(entities.select("entity", F.lit(True).alias("there")).distinct(), "entity", "left")
+    known = known.join(causes, "target", "left").join(effects, "target", "left")
+    rows = _looked_up(proposals, known, "target")
+    rows = _looked_up(rows, entities.select("entity", F.lit(True).alias("there")).distinct(), "entity")
 
     kind, missing = F.col("kind"), F.col("target_type").isNull()
     late = F.coalesce(F.col("after") >= F.col("hi") + F.col("shift"), F.lit(False)) | F.coalesce(F.col("lo") + F.col("shift") >= F.col("before"), F.lit(False))
@@ -86,3 +87,11 @@ def admit(proposals: DataFrame, events: DataFrame, links: DataFrame, entities: D
         .when(kind == "CHANGE_ENTITY_STATE", state)
     )
     return rows.select(*proposals.columns, reason.alias("reason"))
+
+
+def _looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the facts(key, ...) on their key, null where there are none.  Rows
+    without a key are dealt by where they lie: a join would send all of them to one task."""
+    dealt = rows.withColumn("_at", F.coalesce(F.col(key).cast("long"), (-1 - F.spark_partition_id()).cast("long")))
+    own = facts.withColumnRenamed(key, "_key")
+    return dealt.join(own, (F.col("_at") == F.col("_key")) & F.col(key).isNotNull(), "left").drop("_at", "_key")
