@@ -9,6 +9,7 @@ are counted, and sets are tried on the families, which a vocabulary bounds.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -25,31 +26,30 @@ def _least(masks: Column) -> Column:
     return F.array_sort(F.filter(masks, lambda m: ~F.exists(masks, lambda o: (o != m) & (o.bitwiseAND(m) == o))))
 
 
-def route_masks(edges: DataFrame, seeds: DataFrame, bits: DataFrame, depth: int) -> DataFrame:
+def route_masks(edges: DataFrame, seeds: DataFrame, bits: DataFrame, depth: int, ends: DataFrame | None = None) -> DataFrame:
     """seed, node, masks: the least type masks of all routes of up to depth links
     from each seed(node) to what it reaches; a route's mask has the types of its
-    nodes but the last one's.
+    nodes but the last one's.  ends(node): only the routes to these are told.
 
     edges(source, target, source_type); bits(event_type, bit), one row per type.
-    A round keeps one row per seed and node with no more masks than antichains of
-    types allow, and only follows masks that are new.
+    A round writes a row per seed, node and mask that routes of its length have,
+    whatever the number of routes.
     """
     e = edges.select("source", "target", "source_type").distinct().join(F.broadcast(bits.withColumnRenamed("event_type", "source_type")), "source_type")
     e = written(e.select("source", "target", "bit"), "cut-edges")
-    start = seeds.select(F.col("node").alias("seed"), "node").distinct()
-    known = written(start.withColumns({"masks": F.array(F.lit(0).cast("long")), "new": F.array(F.lit(0).cast("long"))}), "routes")
+    last = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).cast("long").alias("mask")).distinct()
+    rounds = []
     for _ in range(depth):
-        last = known.where(F.size("new") > 0).select("seed", F.col("node").alias("source"), F.explode("new").alias("mask"))
-        step = last.join(e, "source").select("seed", F.col("target").alias("node"), F.col("mask").bitwiseOR(F.col("bit")).alias("mask"))
-        found = step.groupBy("seed", "node").agg(F.collect_set("mask").alias("found"))
-        both = known.select("seed", "node", F.col("masks").alias("old")).join(found, ["seed", "node"], "full")
-        none = F.array().cast("array<long>")
-        merged = both.select("seed", "node", F.coalesce("old", none).alias("old"), _least(F.array_union(F.coalesce("old", none), F.coalesce("found", none))).alias("masks"))
-        # A mask that holds an old one leads nowhere new: that one came by as few links.
-        known = written(merged.select("seed", "node", "masks", F.array_except("masks", "old").alias("new")), "routes")
-        if known.where(F.size("new") > 0).isEmpty():
+        step = last.withColumnRenamed("node", "source").join(e.hint("merge"), "source").select("seed", F.col("target").alias("node"), F.col("mask").bitwiseOR(F.col("bit")).alias("mask"))
+        # A route that comes back to its seed holds the mask of what is left without the loop.
+        last = written(step.where("seed <> node").distinct(), "routes")
+        if last.isEmpty():
             break
-    return known.where("seed <> node").select("seed", "node", "masks")
+        rounds.append(last)
+    every = reduce(DataFrame.union, rounds or [last])
+    if ends is not None:
+        every = every.join(ends.select("node").hint("merge"), "node", "left_semi")
+    return every.groupBy("seed", "node").agg(_least(F.collect_set("mask")).alias("masks"))
 
 
 def closed(types: list[str], groups: list[list[str]], most: int) -> tuple[list[frozenset[str]], list[frozenset[str]]]:

@@ -7,12 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.temporal import separation
 from ..operators import admission, cuts, retiming, rules, sequences, validity
 from ..shared import written
 from ..sources import tables
 from .causes import _DECIDED, promoted
-from .claims import RULES, _fired
+from .claims import RULES, narrow
 from .common import HOUR, LOG, query, sequenced
 from .common import STEPS as STEP_TYPES
 from .timelines import _REPLAY, MACHINE
@@ -28,10 +27,9 @@ LEVELS = 12
 def _measured(spark, d) -> DataFrame:
     """source, target, low, high: promoted edges whose types' delays are measured, with the least and greatest of these."""
     e = promoted(spark, d).select("source", "target", "source_type", "target_type").distinct()
-    at = tables.log_events(spark, d).select("event_id", "known")
-    e = e.join(at.toDF("source", "cause"), "source").join(at.toDF("target", "effect"), "target")
-    low, high = separation("cause", "effect", clipped=False)
-    e = written(e.select("source", "target", "source_type", "target_type", low.alias("least"), high.alias("most")), "separations")
+    at = narrow(spark, d).select("event_id", "lo", "hi")
+    e = e.join(at.toDF("source", "a_lo", "a_hi"), "source").join(at.toDF("target", "b_lo", "b_hi"), "target")
+    e = written(e.select("source", "target", "source_type", "target_type", (F.col("b_lo") - F.col("a_hi")).alias("least"), (F.col("b_hi") - F.col("a_lo")).alias("most")), "separations")
     # As many rows as there are pairs of types.
     delays = e.groupBy("source_type", "target_type").agg(F.count("*").alias("n"), F.min("least").alias("low"), F.max("most").alias("high")).where(F.col("n") >= MEASURED)
     return e.join(F.broadcast(delays), ["source_type", "target_type"]).select("source", "target", "low", "high", "source_type")
@@ -72,7 +70,7 @@ def simulate_retiming(spark, d):
 def _retimed(spark, d, links: DataFrame) -> DataFrame:
     shift = F.create_map(*[F.lit(x) for kv in SHIFTS.items() for x in kv])
     moved = links.where(F.col("source_type").isin(*SHIFTS)).select(F.col("source_type").alias("set_id"), F.col("source").alias("node"), F.element_at(shift, F.col("source_type")).cast("long").alias("shift")).distinct()
-    at = tables.log_events(spark, d).select(F.col("event_id").alias("node"), F.unix_micros(F.col("known.t_earliest").cast("timestamp")).alias("lo"), F.unix_micros(F.col("known.t_latest").cast("timestamp")).alias("hi"))
+    at = narrow(spark, d).select(F.col("event_id").alias("node"), "lo", "hi")
     return retiming.retimed(links.drop("source_type"), at, moved)
 
 
@@ -103,14 +101,15 @@ SELECT array_to_string(members, ',') AS members, len(members)::INTEGER AS size,
 def minimum_cut_sets(spark, d):
     """Which types of events, taken together, cut purchases off from the views and
     signups that lead to them in three steps; what a joint rule needs together counts together."""
-    e = promoted(spark, d).select("source", "target", "source_type").distinct()
+    e = written(promoted(spark, d).select("source", "target", "source_type").distinct(), "links")
     bits = cuts.numbered(e.select(F.col("source_type").alias("event_type")))
     seeds = e.where(F.col("source_type").isin("signup", "view")).select(F.col("source").alias("node")).distinct()
-    bought = tables.log_events(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("node"))
-    routes = cuts.route_masks(e, seeds, bits, STEPS).join(bought, "node", "left_semi")
-    both = rules.joint(_fired(spark, d), ("BUY_FROM_CLICK", "BUY_FROM_VIEW"))
-    known = {r.rule_id: r.cause_type for r in RULES}
-    groups = [] if both.isEmpty() else [[known["BUY_FROM_CLICK"], known["BUY_FROM_VIEW"]]]
+    bought = tables.table(spark, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("node"))
+    routes = cuts.route_masks(e, seeds, bits, STEPS, bought)
+    # A target of both rules: whether there is one needs neither the sources nor their order.
+    joint = [r for r in RULES if r.rule_id in ("BUY_FROM_CLICK", "BUY_FROM_VIEW")]
+    both = rules.firings(tables.log_events(spark, d), joint, "user_id").groupBy("target").agg(F.min("rule_id").alias("a"), F.max("rule_id").alias("b")).where("a <> b")
+    groups = [] if both.isEmpty() else [[r.cause_type for r in joint]]
     return cuts.minimum_cut_sets(routes, bits, groups, CAP, CEILING)
 
 
