@@ -22,20 +22,20 @@ BY = ["set_id", "node"]
 def touched(links: DataFrame, moved: DataFrame) -> DataFrame:
     """set_id, node of all that a set's moved(set_id, node) events lead to, these
     left out: an event that is moved by itself stays where it is put."""
-    e = links.select("source", "target").distinct()
-    seen = written(moved.select(*BY).distinct(), "touched")
-    parts, last = [seen], seen
-    while True:
-        step = last.withColumnRenamed("node", "source").join(e, "source").select("set_id", F.col("target").alias("node")).distinct()
-        for part in parts:
-            step = step.join(part, BY, "left_anti")
-        last = written(step, "touched")
+    e = links.select("source", "target")
+    last = written(moved.select(*BY).distinct(), "touched")
+    parts = [last.withColumn("round", F.lit(0))]
+    for r in count(1):
+        step = last.withColumnRenamed("node", "source").join(e.hint("merge"), "source").select("set_id", F.col("target").alias("node"), F.lit(r).alias("round"))
+        # What is known is among the rows of the same grouping, by an earlier round.
+        every = reduce(DataFrame.unionByName, [*parts, step]).groupBy(*BY).agg(F.min("round").alias("round"))
+        last = written(every.where(F.col("round") == r).select(*BY), "touched")
         if last.isEmpty():
             break
-        parts.append(last)
+        parts.append(last.withColumn("round", F.lit(r)))
         if len(parts) > 16:  # what is known becomes one table again
             parts = [written(reduce(DataFrame.union, parts), "touched")]
-    return reduce(DataFrame.union, parts).join(moved.select(*BY), BY, "left_anti")
+    return reduce(DataFrame.union, parts).where("round > 0").select(*BY)
 
 
 def retimed(links: DataFrame, times: DataFrame, shifts: DataFrame) -> DataFrame:
